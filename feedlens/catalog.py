@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedlens.plans import feed
+
+_PLANS = (feed,)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _plan in _PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
