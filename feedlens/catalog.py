@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.plans import feed
+from feedlens.plans import feed, scalars
 
-_PLANS = (feed,)
+_PLANS = (feed, scalars)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -52,11 +52,16 @@ def pay_parse(text: Column) -> Column:
     money = F.filter(found, lambda a: (a["sign"] != "") | a["digits"].contains(",") | (F.coalesce(a["k"], F.lit("")) != ""))
     value = lambda a: F.replace(a["digits"], F.lit(","), F.lit("")).cast("double") * F.when(F.coalesce(a["k"], F.lit("")) != "", 1000.0).otherwise(1.0)
     amounts = F.filter(F.transform(F.slice(money, 1, 4), value), lambda x: x > 0)
-    first, second = F.get(amounts, F.lit(0)), F.get(amounts, F.lit(1))
-    high = F.when(second >= first, second)
-    period = normalize_period(text)
-    fine = speaks & first.isNotNull() & annual_equivalent(first, high, period).isNotNull()
-    return F.when(fine, F.struct(first.alias("min"), high.alias("max"), currency_of(text).alias("currency"), period.alias("period")))
+
+    def build(read: Column) -> Column:
+        first, second = F.get(read["amounts"], F.lit(0)), F.get(read["amounts"], F.lit(1))
+        high = F.when(second >= first, second)
+        fine = first.isNotNull() & annual_equivalent(first, high, read["period"]).isNotNull()
+        return F.when(fine, F.struct(first.alias("min"), high.alias("max"), read["currency"].alias("currency"), read["period"].alias("period")))
+
+    # one array element binds what is read from the text, so that it is computed once
+    read = F.array(F.struct(amounts.alias("amounts"), normalize_period(text).alias("period"), currency_of(text).alias("currency")))
+    return F.when(speaks, F.get(F.transform(read, build), F.lit(0)))
 
 
 def pay_from_parts(low: Column, high: Column, currency: Column, period: Column) -> Column:
@@ -83,7 +88,8 @@ def format_pay(low: Column, high: Column, currency: Column, period: Column) -> C
         unit = F.when(period == name, F.lit(label)).otherwise(unit)
     both = low.isNotNull() & high.isNotNull() & (low != high)
     body = F.when(both, F.concat(sign, _money(low), F.lit("–"), sign, _money(high))).otherwise(F.concat(sign, _money(F.coalesce(low, high))))
-    return F.concat(body, unit, F.when(code == "CAD", F.lit(" CAD")).otherwise(F.lit("")))
+    shown = F.concat(body, unit, F.when(code == "CAD", F.lit(" CAD")).otherwise(F.lit("")))
+    return F.when(F.coalesce(low, high).isNotNull(), shown)
 
 
 def lenient_number(raw: Column) -> Column:

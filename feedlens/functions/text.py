@@ -51,7 +51,7 @@ def truncate_words(c: Column, most: int) -> Column:
         lambda a: a["n"],
     )
     head = F.when(F.octet_length(chars) == F.length(chars), chars).otherwise(F.substring(chars, F.lit(1), fitting))
-    cut = F.when(head.rlike(r"\s"), F.regexp_replace(head, r"\s+\S*$", "")).otherwise(head)
+    cut = F.when(head.rlike(r"\s"), F.regexp_replace(head, r"\s+\S*\z", "")).otherwise(head)
     return F.when(F.octet_length(c) <= most, c).otherwise(cut)
 
 

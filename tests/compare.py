@@ -48,7 +48,7 @@ def differs(spark, con, sf_dir: str, query, sql: str) -> str:
         return f"{len(got)} and {len(want)} rows; only here {[x for x in got if x not in want][:2]}; only there {[x for x in want if x not in got][:2]}" if len(got) < 3000 else f"{len(got)} and {len(want)} rows"
     for a, b in zip(got, want, strict=True):
         if a != b:
-            return f"{sorted(names)}: {a} and {b}"
+            return "; ".join(f"{n}: {str(x)[:80]!r} and {str(y)[:80]!r}" for n, x, y in zip(sorted(names), a, b, strict=True) if x != y)
     return "" if got else "no rows"
 
 
