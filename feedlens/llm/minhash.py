@@ -7,8 +7,9 @@
    the packed signatures estimate the similarity, corrected for chance agreement of two bits, and the best pair of each
    member is confirmed on the full sets. Confirmed pairs join components, so a bucket with a million near copies costs a
    million pairs.
-3. What is left are buckets that hold several components. There every node outside the bucket's largest component meets
-   all nodes of other components; estimates prune, full sets decide. No bucket, partner or candidate is capped.
+3. What is left are buckets that hold several components. Their nodes get a signature of 2048 two-bit minima, and there
+   every node outside the bucket's largest component meets all nodes of other components; the long signatures prune, full
+   sets decide. A pair counts in the first band it shares only. No bucket, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ from pyspark.sql import functions as F
 from feedlens.llm.common import by_rows, cut, forget
 
 SHINGLE, HASHES, BITS, BANDS, ROWS = 4, 128, 2, 25, 5
-#: Estimates this far below the threshold are dropped unconfirmed: over four standard errors of 128 two-bit minima.
+#: Estimates this far below the threshold are dropped unconfirmed: over four standard errors of 128 and 2048 minima.
 MARGIN = 0.2
+LONG_HASHES, LONG_MARGIN = 2048, 0.05
 #: Broadcast at most so many ids (8 bytes each); beyond that, ids and rows meet by a shuffle.
 MOST_IDS = 1_000_000
 STARS = 3
 
 _rng = np.random.default_rng(20260101)
-MUL = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
+MUL = (_rng.integers(0, 2**31, LONG_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+XOR = _rng.integers(0, 2**32, LONG_HASHES, dtype=np.uint32)[:, None]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -65,19 +67,20 @@ def shingle_hashes(words: list[bytes], known: WordHash) -> np.ndarray:
     return np.unique(mix64(h + np.uint64(size)))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, count: int = HASHES) -> np.ndarray:
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 2**32 - 1, np.uint32)
-    for at in range(0, len(x), 1024):
-        h = x[None, at : at + 1024] ^ XOR
-        h *= MUL
+    out = np.full(count, 2**32 - 1, np.uint32)
+    step = 1024 * HASHES // count
+    for at in range(0, len(x), step):
+        h = x[None, at : at + step] ^ XOR[:count]
+        h *= MUL[:count]
         np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
 def pack_bits(low: np.ndarray) -> np.ndarray:
-    """(rows, 128) minima -> (rows, 4) longs with the low bits of a mix of each."""
-    bits = (mix64(low.astype(np.uint64)) & np.uint64(3)).reshape(len(low), 4, 32)
+    """(rows, hashes) minima -> longs with the two low bits of a mix of each."""
+    bits = (mix64(low.astype(np.uint64)) & np.uint64(3)).reshape(len(low), -1, 32)
     return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
@@ -118,15 +121,34 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, SIGNED)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def long_signatures(docs: DataFrame) -> DataFrame:
+    """docs: doc_id and text. (node, long): two bits of LONG_HASHES minima of each text with words."""
+    longs = pa.list_(pa.int64())
+    out = pa.schema([("node", pa.int64()), ("long", longs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+
+        def work(texts: list, part: pa.RecordBatch) -> pa.RecordBatch:
+            words = [words_of(x) for x in texts]
+            low = np.array([minima(shingle_hashes(w, known), LONG_HASHES) for w in words if w], np.uint32).reshape(-1, LONG_HASHES)
+            ids = part.column("doc_id").filter(pa.array([bool(w) for w in words], pa.bool_()))
+            return pa.RecordBatch.from_arrays([ids, pa.array(list(pack_bits(low)), longs)], schema=out)
+
+        yield from by_rows(batches, "text", work)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, long array<long>").dropDuplicates(["node"])
+
+
+def estimate(a: Column, b: Column, hashes: int = HASHES) -> Column:
     """Similarity from two packed signatures: the share of equal two-bit minima, less the quarter that agree by chance."""
     same = F.lit(0)
-    for k in range(HASHES * BITS // 64):
+    for k in range(hashes * BITS // 64):
         x = a[k].bitwiseXOR(b[k])
         even = F.bitwise_not(x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555))
         same = same + F.bit_count(even)
     chance = 1 / 2**BITS
-    return (same / F.lit(float(HASHES)) - F.lit(chance)) / F.lit(1 - chance)
+    return (same / F.lit(float(hashes)) - F.lit(chance)) / F.lit(1 - chance)
 
 
 def with_ids(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
@@ -255,16 +277,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     if rows.limit(1).count():
         sizes = rows.groupBy("key", "comp").count()
         main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        ids = cut(rows.select("node").distinct(), "ids")
+        signs = cut(long_signatures(with_ids(docs, "doc_id", ids, "left_semi")), "long")
+        facts = classes.select("node", "n", "bands").join(signs, "node")
         rows = rows.join(main, "key").join(facts, "node")
-        a, b = (rows.select("key", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "sig"))) for s in "ab")
+        a, b = (rows.select("key", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "bands", "long"))) for s in "ab")
+        band = F.array_position("bands_a", F.col("key")).cast("int") - 1
+        earlier = F.arrays_zip(F.slice("bands_a", F.lit(1), band).alias("x"), F.slice("bands_b", F.lit(1), band).alias("y"))
         meets = (
             (F.col("comp_a") != F.col("comp_b"))
             & ((F.col("comp_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
             & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            & (estimate(F.col("sig_a"), F.col("sig_b")) >= percent / 100 - MARGIN)
+            & (estimate(F.col("long_a"), F.col("long_b"), LONG_HASHES) >= percent / 100 - LONG_MARGIN)
+            & ~F.exists(earlier, lambda p: p["x"] == p["y"])
         )
         rest = a.where("comp_a <> main").join(b.drop("main"), "key").where(meets)
-        joined(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+        joined(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     tops = classes.select("cls", "node")
     if labels is not None:
         tops = tops.join(labels, "node", "left").select("cls", F.coalesce("comp", "node").alias("component_id"))
