@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.plans import feed, scalars
+from feedlens.plans import feed, scalars, state
 
-_PLANS = (feed, scalars)
+_PLANS = (feed, scalars, state)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

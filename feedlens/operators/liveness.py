@@ -28,7 +28,7 @@ def days(n: int) -> Column:
 def alive_scopes(seen: DataFrame, policy: DataFrame, failed: DataFrame) -> DataFrame:
     """Scopes that a run vouches for: boards by (source, company), listings by source, samples by none; failed sources by
     none. policy: (source, policy); failed: (source)."""
-    rows = seen.join(policy, "source").join(failed, "source", "left_anti").where("policy <> 'sampled'")
+    rows = seen.join(policy, "source").join(failed, "source", "left_anti").where("policy = 'listing' OR policy = 'boards' AND company IS NOT NULL")
     return rows.select("source", F.when(F.col("policy") == "boards", F.col("company")).alias("company")).distinct()
 
 
