@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.plans import feed, scalars, search, state
+from feedlens.plans import feed, mining, scalars, search, state
 
-_PLANS = (feed, scalars, search, state)
+_PLANS = (feed, scalars, search, state, mining)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
