@@ -81,9 +81,8 @@ class Merges:
 def merge_matrix(ids: np.ndarray, table: Merges, emit) -> None:
     """ids: rows of one bucket, padded with -1 at the right. emit(row numbers, finished rows) gets every row once."""
     where = np.arange(len(ids))
-    pad = lambda a, b, r: np.where((a < 0) | (b < 0), NONE, r)
     rank, merged = table.find(np.maximum(ids[:, :-1], 0), np.maximum(ids[:, 1:], 0))
-    rank = pad(ids[:, :-1], ids[:, 1:], rank)
+    rank[ids[:, 1:] < 0] = NONE
     while rank.shape[1]:
         at = rank.argmin(axis=1)
         going = rank[np.arange(len(where)), at] != NONE
@@ -92,19 +91,21 @@ def merge_matrix(ids: np.ndarray, table: Merges, emit) -> None:
             ids, rank, merged, at, where = ids[going], rank[going], merged[going], at[going], where[going]
             if not len(where):
                 return
-        rows = np.arange(len(where))
+        rows, width = np.arange(len(where)), ids.shape[1]
         ids[rows, at] = merged[rows, at]
-        n = ids.shape[1] - 1
-        step = np.arange(n)[None, :]
-        ids = np.take_along_axis(ids, step + (step > at[:, None]), axis=1)
-        step = np.arange(n - 1)[None, :]
-        move = step + (step > at[:, None])
-        rank, merged = np.take_along_axis(rank, move, axis=1), np.take_along_axis(merged, move, axis=1)
-        for near in (at - 1, at):
-            ok = np.flatnonzero((near >= 0) & (near < n - 1))
-            a, b = ids[ok, near[ok]], ids[ok, near[ok] + 1]
-            r, m = table.find(np.maximum(a, 0), np.maximum(b, 0))
-            rank[ok, near[ok]], merged[ok, near[ok]] = pad(a, b, r), m
+        stays = np.ones(ids.shape, bool)
+        stays[rows, at + 1] = False
+        ids = ids[stays].reshape(-1, width - 1)
+        stays = np.ones(rank.shape, bool)
+        stays[rows, np.minimum(at + 1, width - 2)] = False
+        rank, merged = rank[stays].reshape(len(where), width - 2), merged[stays].reshape(len(where), width - 2)
+        # only the pairs at both sides of the merged symbol are new
+        left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+        r, c = np.concatenate([left, right]), np.concatenate([at[left] - 1, at[right]])
+        y = ids[r, c + 1]
+        new, to = table.find(ids[r, c], np.maximum(y, 0))
+        new[y < 0] = NONE
+        rank[r, c], merged[r, c] = new, to
     emit(where, ids)
 
 
