@@ -87,8 +87,8 @@ def relevance(spark: SparkSession, d: str) -> DataFrame:
 
 def promoted(spark: SparkSession, d: str) -> DataFrame:
     """Entries of two turns each, ordered by score within a conversation."""
-    e = X.entry_scores(scored(spark, d).withColumn("pos", F.floor(F.col("bullet") / 4)), ["url", "pos"]).withColumn("entry_score", F.round("entry_score", 6))
-    return X.promote(e, ["url"], F.col("url") % 2 == 0).select("url", "pos", "place", F.round("entry_score", 4).alias("entry_score"))
+    e = X.entry_scores(scored(spark, d).withColumn("pos", F.floor(F.col("bullet") / 4)), ["url", "pos"]).withColumn("raw", F.col("entry_score")).withColumn("entry_score", F.round("entry_score", 6))
+    return X.promote(e, ["url"], F.col("url") % 2 == 0).select("url", "pos", "place", F.round("raw", 4).alias("entry_score"))
 
 
 def selected(spark: SparkSession, d: str) -> DataFrame:
@@ -165,8 +165,8 @@ SELECT url, description, strftime(c, '%Y-%m-%d') AS closes, salary_min, CASE WHE
 SELECT page_id, array_to_string(list_filter([CASE WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'net' WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'org' END,
 CASE WHEN host IS NOT NULL AND NOT contains(url, '/search') AND NOT contains(url, '?q=') AND host <> 'example.org' AND NOT ends_with(host, '.example.org') THEN 'page' END, CASE WHEN page_id % 4 = 0 THEN 'mirror' END], lambda x: x IS NOT NULL), '>') AS route FROM h""",
     "bullet_relevance": f"WITH {_REL} SELECT bullet, url, round(relevance, 4) AS relevance, array_to_string(covered, ',') AS covered FROM rel",
-    "promote_entries": f"""WITH {_REL}, en AS (SELECT url, bullet // 4 AS pos, round(max(relevance) + 0.3 * (sum(relevance) - max(relevance)), 6) AS s FROM rel GROUP BY 1, 2)
-SELECT url, pos, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN url % 2 = 0 THEN -s ELSE 0 END, pos) AS place, round(s, 4) AS entry_score FROM en""",
+    "promote_entries": f"""WITH {_REL}, en AS (SELECT url, bullet // 4 AS pos, max(relevance) + 0.3 * (sum(relevance) - max(relevance)) AS s FROM rel GROUP BY 1, 2)
+SELECT url, pos, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN url % 2 = 0 THEN -round(s, 6) ELSE 0 END, pos) AS place, round(s, 4) AS entry_score FROM en""",
     "tailoring_coverage": f"""WITH {_REL}, hs AS (SELECT url, list_distinct(flatten(list(covered))) AS has FROM rel WHERE bullet < 4 GROUP BY url), ask AS (SELECT url, list(skill ORDER BY emphasis, skill) AS asked FROM dem GROUP BY url)
 SELECT ask.url, len(asked) AS required, len(list_filter(asked, lambda x: list_contains(coalesce(has, []), x))) AS covered, array_to_string(list_filter(asked, lambda x: NOT list_contains(coalesce(has, []), x)), ',') AS missing FROM ask LEFT JOIN hs ON hs.url = ask.url""",
     "variant_overrides": """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN p_brand ELSE p_name END AS text, CASE WHEN p_partkey % 9 = 0 THEN true ELSE p_partkey % 2 = 0 END AS included,
