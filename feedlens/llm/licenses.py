@@ -127,3 +127,29 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float
         F.array_join(everything, ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
+
+
+def oracle(templates: tuple = TEMPLATES, threshold: float = 0.9) -> str:
+    """DuckDB SQL for the query's rows: every block against every template."""
+    rows = ", ".join("({}, '{}', [{}])".format(k, label, ", ".join(f"'{t}'" for t in tokens(text))) for k, (label, text) in enumerate(templates))
+    split = r"list_filter(regexp_split_to_array({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    at = []
+    for phrase, _ in PHRASES:
+        hit = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        at.append(f"list_filter(range(1, len(words) + 1), lambda i: coalesce({hit}, false))")
+    named = ", ".join(f"CASE WHEN len(a{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
+    both = "list_concat(a0, list_concat(a1, a2))"
+    return f"""
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT doc_id, low, {split.format("low")} AS words FROM n),
+b AS (SELECT doc_id, len(words) AS n_words, {", ".join(f"{a} AS a{k}" for k, a in enumerate(at))} FROM w),
+l AS (SELECT doc_id, {split.format("line")} AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM n)),
+k AS (SELECT doc_id, list_distinct(words[s + 1:s + {WINDOW}]) AS block FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - {WINDOW // 2}, 1), {WINDOW // 2})) AS s FROM l WHERE len(words) > 0)),
+t(id, label, tokens) AS (VALUES {rows}),
+m AS (SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS share FROM k, t WHERE len(list_intersect(block, tokens)) >= ceil({threshold} * len(tokens) - 1e-9)),
+f AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM m GROUP BY doc_id),
+r AS (SELECT b.*, list_filter([{named}], lambda x: x IS NOT NULL) AS base, more, best FROM b LEFT JOIN f ON f.doc_id = b.doc_id)
+SELECT doc_id, n_words, len({both}) AS n_base, list_min({both}) - 1 AS first_word, list_max({both}) - 1 AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels, CASE WHEN len({both}) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM r
+"""

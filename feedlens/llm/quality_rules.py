@@ -171,3 +171,34 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & fine).alias("kept"),
         *(_share(m).alias(f"share_{m}") for m in METRICS), *(f"limit_{m}" for m in METRICS),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query's rows, with the same sketches."""
+    share = lambda m: f"CAST(coalesce(floor(1000 * {METRICS[m][0]} / nullif({METRICS[m][1]}, 0)), 0) AS BIGINT)"
+    low = "greatest(length(bin(v)) - 7, 0)"
+    pick = lambda m: f"CASE WHEN o.total >= {LEAST} THEN o.{m} WHEN l.total >= {LEAST} THEN l.{m} ELSE a.{m} END"
+    level = lambda k, lang, source: f"SELECT {k} AS level, {lang} AS lang, {source} AS source, metric, bucket FROM long_"
+    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (_, _, s) in METRICS.items())
+    shares, limits_ = ", ".join(f"{share(m)} AS share_{m}" for m in METRICS), ", ".join(f"{pick(m)} AS limit_{m}" for m in METRICS)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+h AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT d.doc_id, d.lang, d.source, len(w.words) AS n_words, length(array_to_string(w.words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n.n_dup_lines, 0) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters, coalesce(n.n_lines, 0) AS n_lines
+  FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
+long0 AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {share(m)} AS v FROM c WHERE n_words > 0" for m in METRICS)}),
+long_ AS (SELECT lang, source, metric, (v >> {low}) << {low} AS bucket FROM long0),
+k AS (SELECT level, lang, source, metric, bucket, count(*) AS n FROM ({level(0, "lang", "source")} UNION ALL {level(1, "lang", "''")} UNION ALL {level(2, "''", "''")}) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto FROM k),
+q AS (SELECT level, lang, source, metric, min(bucket) FILTER (upto >= 0.25 * total) AS q25, min(bucket) FILTER (upto >= 0.75 * total) AS q75, max(total) AS total FROM u GROUP BY ALL),
+t AS (SELECT level, lang, source, CAST(max(total) AS BIGINT) AS total, {", ".join(f"max(CASE WHEN metric = '{m}' THEN q75 + 3 * (q75 - q25) + CASE metric {slack} END END) AS {m}" for m in METRICS)} FROM q GROUP BY level, lang, source),
+j AS (SELECT c.*, {shares}, {limits_} FROM c LEFT JOIN t o ON o.level = 0 AND o.lang = c.lang AND o.source = c.source LEFT JOIN t l ON l.level = 1 AND l.lang = c.lang LEFT JOIN t a ON a.level = 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {" AND ".join(f"share_{m} <= limit_{m}" for m in METRICS)} AS kept, {", ".join(f"share_{m}, limit_{m}" for m in METRICS)}
+FROM j
+"""

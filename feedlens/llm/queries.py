@@ -77,4 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_licenses": licenses.oracle(),
+    "op7_quality_rules": quality_rules.oracle(),
+}
