@@ -85,9 +85,12 @@ def days_to(closes_at: Column, as_of: Column) -> Column:
 
 def urgency(closes_at: Column, as_of: Column) -> Column:
     """-1 when closed, 1 within three days, halving every seven days after, 0 past 45 days and without a deadline."""
-    d = days_to(closes_at, as_of)
+    return urgency_of(days_to(closes_at, as_of))
+
+
+def urgency_of(d: Column) -> Column:
     return (
-        F.when(closes_at.isNull(), 0.0).when(d < 0, -1.0).when(d <= 3, 1.0).when(d > 45, 0.0)
+        F.when(d.isNull(), 0.0).when(d < 0, -1.0).when(d <= 3, 1.0).when(d > 45, 0.0)
         .otherwise(F.pow(F.lit(0.5), (d - 3.0) / 7.0))
     )
 
@@ -135,21 +138,20 @@ def pass_one(items: DataFrame, p: Profile, as_of: Column, coverage: Column | Non
     if coverage is not None:
         terms["skills"] = F.when(opp, F.coalesce(w.skill * coverage, F.lit(0.0))).otherwise(0.0)
     year = pay.annual_equivalent(F.col("salary_min"), F.col("salary_max"), F.col("salary_period"))
-    terms["pay"] = F.when(opp, w.pay * pay.pay_score(year)).otherwise(0.0)
-    merit = F.lit(0.0)
-    for c in terms.values():
-        merit = merit + c
+    terms["pay"] = F.when(opp, w.pay * pay.pay_score(F.col("_year"))).otherwise(0.0)
     dated = opp | (F.col("item_type") == "Event")
     clock = {
         "recent": recency(F.col("ts"), as_of, w.recency),
-        "closed": F.when(dated & (urgency(F.col("closes_at"), as_of) < 0), -CLOSED_PENALTY).otherwise(0.0),
+        "closed": F.when(dated & (F.col("days_left") < 0), -CLOSED_PENALTY).otherwise(0.0),
         "seen": F.when(F.col("seen"), -w.seen_penalty).otherwise(0.0),
     }
-    score = F.col("merit")
-    for c in clock.values():
-        score = score + c
-    parts = F.array(*(F.struct(F.lit(name).alias("label"), c.cast("double").alias("points")) for name, c in {**terms, **clock}.items()))
-    return items.withColumn("merit", merit).withColumn("score", score).withColumn("breakdown", F.filter(parts, lambda t: t["points"] != 0))
+    # every term is computed once, as a field, and read from there by merit, score and breakdown
+    rows = items.withColumns({"_year": year, "days_left": days_to(F.col("closes_at"), as_of)})
+    rows = rows.withColumn("_terms", F.struct(*(c.cast("double").alias(name) for name, c in {**terms, **clock}.items())))
+    add = lambda names: sum((F.col(f"_terms.{n}") for n in names), F.lit(0.0))
+    parts = F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"_terms.{n}").alias("points")) for n in (*terms, *clock)))
+    rows = rows.withColumns({"merit": add(terms), "score": add((*terms, *clock)), "breakdown": F.filter(parts, lambda t: t["points"] != 0)})
+    return rows.drop("_year", "_terms")
 
 
 def kind_of(item_type: Column) -> Column:
@@ -187,18 +189,19 @@ def measure_bars(scored: DataFrame) -> DataFrame:
 def pass_two(scored: DataFrame, bars: DataFrame, p: Profile, as_of: Column) -> DataFrame:
     """Adds the urgency points, gated by merit against the bar of the kind, and last_call. bars has two rows."""
     joined = scored.withColumn("kind", kind_of(F.col("item_type"))).join(F.broadcast(bars), "kind", "left")
-    u = urgency(F.col("closes_at"), as_of)
-    open_ = F.coalesce(F.col("closes_at").isNotNull() & F.col("kind").isNotNull() & (u >= 0), F.lit(False))
+    joined = joined.withColumn("_u", urgency_of(F.col("days_left")))
+    open_ = F.coalesce(F.col("kind").isNotNull() & (F.col("days_left") >= 0), F.lit(False))
     gate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("merit") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
-    points = F.when(open_, p.weights.urgency * u * gate).otherwise(0.0)
+    joined = joined.withColumn("_points", F.when(open_, p.weights.urgency * F.col("_u") * gate).otherwise(0.0))
+    points = F.col("_points")
     more = F.when(points != 0, F.array(F.struct(F.lit("closing").alias("label"), points.alias("points"))))
     full = F.concat("breakdown", F.coalesce(more, F.array().cast("array<struct<label:string,points:double>>")))
     ordered = F.transform(F.array_sort(F.transform(full, lambda t: F.struct((-t["points"]).alias("k"), t["label"].alias("label")))), lambda t: F.struct(t["label"].alias("label"), (-t["k"]).alias("points")))
     return (
         joined.withColumn("score", F.col("score") + points)
-        .withColumn("last_call", open_ & (F.col("merit") >= F.col("hi")) & (days_to(F.col("closes_at"), as_of) <= LAST_CALL_DAYS))
+        .withColumn("last_call", open_ & (F.col("merit") >= F.col("hi")) & (F.col("days_left") <= LAST_CALL_DAYS))
         .withColumn("breakdown", ordered)
-        .drop("lo", "hi")
+        .drop("lo", "hi", "_u", "_points")
     )
 
 
