@@ -101,8 +101,8 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     """
     homes = F.when(F.col("c_nationkey") % 2 == 0, F.lit("Canada")).otherwise(F.lit("USA"))
     segment = F.col("c_mktsegment")
-    readers = views.table(spark, d, "customer").select(segment.alias("segment"), homes.alias("home")).distinct().limit(1001)
-    few = readers.count() <= 1000
+    readers = views.table(spark, d, "customer").select(segment.alias("segment"), homes.alias("home")).distinct()
+    few = readers.limit(1001).count() <= 1000
     base = derived(spark, d).select("url", "company", "source_platform", "location_tags", "matched_interests", R.fit(PROFILE).alias("base"))
     met = base.crossJoin(F.broadcast(readers) if few else readers)
     liked = F.array_contains("matched_interests", F.when(F.col("segment") < "C", "X").when(F.col("segment") < "H", "Y").otherwise("Z"))
