@@ -135,13 +135,14 @@ def limits(counts: DataFrame) -> DataFrame:
     )
     own, of_lang, of_all = (per.where(F.col("level") == k) for k in range(3))
     of_lang = of_lang.select("lang", F.col("total").alias("t1"), *(F.col(m).alias(f"{m}_1") for m in METRICS))
-    of_all = of_all.select(*(F.col(m).alias(f"{m}_2") for m in METRICS))
+    of_all = of_all.select(F.lit(1).alias("_corpus"), *(F.col(m).alias(f"{m}_2") for m in METRICS))
     pick = lambda m: (
         F.when(F.col("total") >= LEAST, F.col(m)).when(F.col("t1") >= LEAST, F.col(f"{m}_1")).otherwise(F.col(f"{m}_2"))
     )
     return (
         own.join(of_lang, "lang", "left")
-        .join(F.broadcast(of_all))  # one row
+        .withColumn("_corpus", F.lit(1))
+        .join(F.broadcast(of_all), "_corpus")  # one row
         .select("lang", "source", *(pick(m).alias(f"limit_{m}") for m in METRICS))
     )
 
