@@ -127,7 +127,27 @@ def prefs(spark: SparkSession, d: str) -> DataFrame:
     return L.preferences(raw, {"jobs": True, "news": True})
 
 
+def variants(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col(KEY)
+    place = F.struct(F.struct(F.lit("Norway").alias("name")).alias("country"), F.when(n % 2 == 0, "Oslo").alias("city"), F.when(n % 3 == 0, "Oslo, Norway").alias("name"))
+    return shown(L.variant_board(payloads(spark, d, F.col("o_orderpriority").alias("name"), URL().alias("url"), place.alias("location"), F.when(n % 5 == 0, "Internship").alias("type"), F.date_format("day", "yyyy-MM-dd").alias("published_date"))))
+
+
+def countries(spark: SparkSession, d: str) -> DataFrame:
+    geo = F.when(F.col(KEY) % 2 == 0, "USA,  Canada, UK, Chile").otherwise("Peru")
+    return shown(L.country_board(payloads(spark, d, F.col("o_orderpriority").alias("jobTitle"), URL().alias("url"), geo.alias("jobGeo"), F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("pubDate"), F.format_number(F.floor(PRICE), 0).alias("annualSalaryMin"))))
+
+
+def details(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col(KEY)
+    body = F.struct(F.concat(F.lit("<p>We do "), n.cast("string"), F.lit("</p><p>And  more</p>")).alias("content"), F.struct(F.lit("<li>one</li><li>two</li>").alias("must")).alias("lists"))
+    p = views.table(spark, d, "orders").select(F.when(n % 2 == 0, "a").otherwise("b").alias("source"), URL().alias("url"), F.to_json(body).alias("payload"))
+    mapping = spark.createDataFrame([("a", "$.content", "overview", 0), ("a", "$.lists.must", "requirements", 1), ("b", "$.lists.must", "requirements", 0)], "source string, json_path string, section string, place int")
+    return L.detail_lines(p, mapping)
+
+
 QUERIES = {
+    "land_variants": variants, "land_countries": countries, "detail_lines": details,
     "land_listings": listings, "land_front_page": link_page, "land_hiring_thread": thread, "land_graph_edges": edges, "land_hackathons": contests, "land_remote": remote, "land_boards": boards,
     "continued_rows": continued, "latest_issues": issues, "board_registry": registry, "permissive_items": permissive, "list_rows": rows_out, "reader_preferences": prefs,
 }
@@ -145,6 +165,10 @@ _I = "CASE WHEN o_orderkey % 4 = 0 THEN 'Internship' ELSE 'Job' END"
 _PAY = "CASE WHEN o_totalprice BETWEEN 10000 AND 2000000 THEN round(o_totalprice, 2) END"
 _UNIT = "CASE WHEN o_totalprice BETWEEN 10000 AND 2000000 THEN 'year' END"
 ORACLES = {
+    "land_variants": f"SELECT {_row(title='o_orderpriority', item_type='CASE WHEN o_orderkey % 5 = 0 THEN ' + chr(39) + 'Internship' + chr(39) + ' ELSE ' + chr(39) + 'Job' + chr(39) + ' END', url=_U, day=_D, location='CASE WHEN o_orderkey % 6 IN (0, 2, 3, 4) THEN ' + chr(39) + 'Oslo, Norway' + chr(39) + ' ELSE ' + chr(39) + 'Norway' + chr(39) + ' END')} FROM orders",
+    "land_countries": f"""SELECT {_row(title='o_orderpriority', item_type=chr(39) + 'Job' + chr(39), url=_U, day=_D, location='CASE WHEN o_orderkey % 2 = 0 THEN ' + chr(39) + 'Canada | USA | UK' + chr(39) + ' ELSE ' + chr(39) + 'Peru' + chr(39) + ' END', salary_min='CASE WHEN o_totalprice >= 10000 THEN floor(o_totalprice) END', salary_period='CASE WHEN o_totalprice >= 10000 THEN ' + chr(39) + 'year' + chr(39) + ' END')} FROM orders""",
+    "detail_lines": f"""SELECT {_U} AS url, section, line, text FROM orders, (VALUES (0, 'overview', 0, NULL), (0, 'overview', 1, 'And more'), (0, 'requirements', 10000, 'one'), (0, 'requirements', 10001, 'two'), (1, 'requirements', 0, 'one'), (1, 'requirements', 1, 'two')) v(odd, section, line, t0),
+LATERAL (SELECT coalesce(t0, concat('We do ', CAST(o_orderkey AS VARCHAR))) AS text) WHERE o_orderkey % 2 = odd""",
     "land_listings": f"SELECT {_row(title='o_orderpriority', item_type=chr(39) + 'Internship' + chr(39), url=_U, content_text='''concat(o_orderstatus, ' · Summer 2026')''', day=_D, location='''\'Toronto | Paris\'''', company='''CASE WHEN o_orderkey % 5 <> 0 THEN 'Co' END''', simplify_id='CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) END')} FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0",
     "land_front_page": f"SELECT {_row(title='o_orderpriority', item_type=chr(39) + 'Article' + chr(39), url='CASE WHEN o_orderkey % 2 = 0 THEN ' + _U + chr(32) + '''ELSE concat('https://news.example.com/item?id=', CAST(o_orderkey AS VARCHAR)) END''', content_text=chr(39) * 2, day=_D)} FROM orders",
     "land_hiring_thread": """WITH p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'Intern' ELSE p_name END AS role FROM part WHERE p_partkey % 4 = 1)

@@ -220,3 +220,37 @@ def saved_snapshots(state: DataFrame, schema: str) -> DataFrame:
     """Snapshots of saved rows that can be read; saved is true and seen comes from the state."""
     rows = state.where("saved_at IS NOT NULL").select("url", "saved_at", F.col("seen_at").isNotNull().alias("seen"), F.from_json("snapshot", schema).alias("s"))
     return rows.where("s.title IS NOT NULL").select("url", "saved_at", "seen", F.lit(True).alias("saved"), "s.*")
+
+
+def variant_board(payloads: DataFrame) -> DataFrame:
+    """A board whose location and type come as an object, a string or null; place parts that another part holds are dropped."""
+    get = lambda path: F.get_json_object("payload", path)
+    named = lambda f: F.coalesce(get(f"$.{f}.name"), F.when(~F.coalesce(get(f"$.{f}"), F.lit("")).startswith("{"), get(f"$.{f}")))
+    parts = F.filter(F.array(named("location"), get("$.location.city"), get("$.location.country.name")), lambda x: x.isNotNull() & (x != ""))
+    place = F.aggregate(parts, F.lit(""), lambda a, x: F.when(a.contains(x), a).when(a == "", x).otherwise(F.concat_ws(", ", a, x)))
+    return listing(
+        payloads, title=get("$.name"), item_type=kind(F.lower(named("type")).contains("intern")), url=get("$.url"), ts=F.coalesce(dates.date_or_timestamp(get("$.published_date")), "fetched_at"),
+        location=F.nullif(place, F.lit("")), company=get("$.company.name"),
+    )
+
+
+def country_board(payloads: DataFrame, first: str = "Canada", most: int = 3) -> DataFrame:
+    """Remote postings by country: numbers may be strings, the home country moves to the front, at most `most` places."""
+    p = parsed(payloads, "struct<jobTitle string, url string, companyName string, jobGeo string, pubDate string, annualSalaryMin string, annualSalaryMax string, salaryCurrency string, jobLevel string>")
+    places = F.filter(F.transform(F.split("jobGeo", ","), lambda x: F.trim(x)), lambda x: x != "")
+    home = F.when(F.array_contains(places, first), F.array(F.lit(first))).otherwise(F.array().cast("array<string>"))
+    place = F.array_join(F.slice(F.concat(home, F.array_remove(places, first)), 1, most), " | ")
+    p = p.withColumn("pay", pay.pay_from_parts(pay.lenient_number(F.col("annualSalaryMin")), pay.lenient_number(F.col("annualSalaryMax")), F.col("salaryCurrency"), F.lit("year")))
+    return listing(
+        p, title=F.col("jobTitle"), item_type=kind(F.lower("jobLevel").contains("intern")), url=F.col("url"), ts=F.coalesce(dates.lenient_date(F.col("pubDate")), "fetched_at"), location=F.nullif(place, F.lit("")), company=F.col("companyName"),
+        salary_min=F.col("pay.min"), salary_max=F.col("pay.max"), salary_currency=F.col("pay.currency"), salary_period=F.col("pay.period"),
+    )
+
+
+def detail_lines(payloads: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(url, section, line, text): text fields of fetched details. mapping: (source, json_path, section, place) says which
+    field of which source's payload opens which section; it is a small table, joined by source."""
+    met = payloads.join(F.broadcast(mapping), "source")  # one row per source and field
+    body = F.regexp_replace(F.regexp_replace(F.expr("get_json_object(payload, json_path)"), r"(?i)<br\s*/?>|</p>|</li>", "\n"), r"<[^>]+>", "")
+    rows = met.select("url", "section", "place", F.posexplode(F.split(body, "\n")).alias("pos", "raw"))
+    return rows.select("url", "section", (F.col("place") * 10_000 + F.col("pos")).alias("line"), collapse_ws(F.col("raw")).alias("text")).where("text <> ''")
