@@ -226,6 +226,11 @@ class ByteBpe:
         for name, ms in zip(names, cut, strict=True):
             cache[name] = get(ms[0]) if len(ms) == 1 else b"".join(map(get, ms))
 
+    def forget(self) -> None:
+        """Frees what the task has cached; the worker may serve other stages next."""
+        self.cache.clear()
+        self.pieces.clear()
+
     def parts(self, text: str) -> list[str]:
         """Cuts a text where no match can cross: before a lone space between two other characters. Else whole."""
         if not text or text[0].isspace() or text[-1].isspace() or self.gap(text):
@@ -290,6 +295,7 @@ def _round_trip(path: str, pattern: str, digests: bool):
             )
 
         yield from by_rows(batches, "text", work, rows=512)
+        bpe.forget()
 
     return run
 

@@ -64,3 +64,4 @@ def by_rows(
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield work(part.column(texts).to_pylist(), part)
+    pa.default_memory_pool().release_unused()

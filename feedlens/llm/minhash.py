@@ -46,7 +46,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
