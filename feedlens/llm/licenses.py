@@ -4,8 +4,8 @@ The tokens of the templates are ordered by their document frequency in the whole
 threshold t a block must share at least a = ceil(t |T|) tokens with template T, hence at least one of the |T| - a + 1
 rarest ones (prefix filter); it must hold at least a template tokens (length filter); and from the places of a shared
 token in both ordered lists follows a bound on the overlap (position filter). Pairs that pass are verified on the whole
-sets. A block is a line, or a window of 64 words of a longer line; windows overlap by half, so any 32 words in a row lie
-within one. All of it is DataFrame operations.
+sets. A block is a line, or a window of 64 words of a longer line or of the whole text, so that a wrapped wording is found
+too; windows overlap by half, so any 32 words in a row lie within one. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -86,10 +86,11 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float
     least = min((row[5] for row in index), default=1)
     found = docs.sparkSession.createDataFrame(index, "token string, template int, label string, i int, size int, need int, tokens array<string>")
 
-    lines = split.where(F.arrays_overlap("words", _literal(prefixes))).select("doc_id", F.posexplode(F.split("low", "\n")).alias("line", "text"))
-    lines = lines.select("doc_id", "line", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    likely = split.where(F.arrays_overlap("words", _literal(prefixes))).withColumn("lines", F.split("low", "\n"))
+    whole = F.when(F.size("lines") > 1, F.array("words")).otherwise(F.array().cast("array<array<string>>"))  # else the line is the text
+    spans = likely.select("doc_id", F.posexplode(F.concat(F.transform("lines", words_of), whole)).alias("line", "words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - WINDOW // 2, F.lit(0)), F.lit(WINDOW // 2))
-    windows = lines.select("doc_id", "line", F.posexplode(F.transform(starts, lambda s: F.slice("words", s + 1, WINDOW))).alias("window", "words"))
+    windows = spans.select("doc_id", "line", F.posexplode(F.transform(starts, lambda s: F.slice("words", s + 1, WINDOW))).alias("window", "words"))
     block = F.array_intersect(_literal(vocabulary), F.col("words"))  # in order of frequency
     blocks = windows.select("doc_id", "line", "window", block.alias("block")).where(F.size("block") >= least)
     probes = blocks.select("*", F.posexplode("block").alias("j", "token"))

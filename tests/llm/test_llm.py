@@ -220,6 +220,24 @@ def test_licenses(spark, docs, odd, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    """Headers as they are usually wrapped, one wrapped after each word, and one across the end of a window of the text."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "This Source Code Form is subject to the terms of the\n# Mozilla Public License, v. 2.0."
+    broken = "permission\nis\nhereby granted free of charge to any person obtaining"
+    texts = {1: mit, 2: gpl, 3: bsd, 4: mpl, 5: bsd.replace(" ", "\n"), 6: " ".join(f"w{k}" for k in range(55)) + "\n" + mit, 7: broken, 8: f"{mit}\n\n{bsd}"}
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {1: "mit", 2: "gpl", 3: "bsd", 4: "mpl-2.0", 5: "bsd", 6: "mit", 7: "", 8: "bsd,mit"}
+    assert {i: r["score"] for i, r in got.items() if i != 7} == {i: 1.0 for i in texts if i != 7}
+    sets = [(label, set(licenses.tokens(t))) for label, t in licenses.TEMPLATES]
+    for i, t in texts.items():  # every run of 32 words against every template
+        w = re.findall(r"[a-z0-9]+", t.lower())
+        runs = [set(w[k : k + 32]) for k in range(max(len(w) - 31, 1))]
+        assert {label for label, s in sets if any(len(r & s) >= 0.9 * len(s) for r in runs)} <= set(got[i]["labels"].split(","))
+
+
 def test_toxicity(spark, docs, odd, empty):
     texts = [(k, f"{'you idiot ' if k % 7 == 0 else ''}{' '.join(WORDS[(k * j) % 20] for j in range(1, 30))} {'scum' if k % 14 == 0 else ''}") for k in range(700)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
