@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -68,21 +71,84 @@ def due(registry: DataFrame, ledger: DataFrame, as_of: Column, retry_minutes: in
     return registry.join(ledger, "source", "left").where(F.col("enabled") & (F.lit(forced) | F.col("last_run_at").isNull() | (age >= limit)))
 
 
-def strikes(answers: DataFrame, key: str, ts: str, answer: str, gap_hours: int = 24) -> DataFrame:
-    """Board health: a Gone or Empty answer counts as a strike when the last counted one is gap_hours old; Rows reset.
+#: So many spans of time are joined into one at a time, three times over; the last join has a row per 4,096 gaps of a board.
+SPANS = 64
+_SPAN = "first long, reset boolean, offs array<long>, n array<long>, last array<long>, none_n long, none_last long"
+
 
-    The recurrence is sequential per board; a board's answers are few small structs, folded in time order.
+def _join_spans(spans: list[dict], gap: int) -> dict:
+    """One span for several in time order.
+
+    A span tells what becomes of a board that enters it: offs are rising limits of the last strike's offset in the gap
+    before the span's first one, n and last what is counted up to that limit. none_n and none_last hold beyond the
+    limits. A board whose last strike is older takes the first limit. A span with a reset has one outcome for all.
     """
-    events = F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col(ts).cast("timestamp")).alias("t"), F.col(answer).alias("a"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("at"))
+    out = spans[0]
+    for b in spans[1:]:
+        if b["reset"]:
+            out = b | {"first": out["first"]}
+            continue
+        exits = [*zip(b["n"], b["last"], strict=True), (b["none_n"], b["none_last"])]
+
+        def after(n: int, last: int | None, b: dict = b, exits: list = exits) -> tuple[int, int | None]:
+            near = last is not None and last // gap == b["first"] - 1
+            more, at = exits[bisect_left(b["offs"], last % gap) if near else 0]
+            return n + more, last if at is None else at
+
+        ends = [after(n, last) for n, last in zip(out["n"], out["last"], strict=True)]
+        kept = [k for k in range(len(ends)) if k + 1 == len(ends) or ends[k] != ends[k + 1]]
+        none_n, none_last = after(out["none_n"], out["none_last"])
+        out = {
+            "first": out["first"], "reset": out["reset"], "offs": [out["offs"][k] for k in kept],
+            "n": [ends[k][0] for k in kept], "last": [ends[k][1] for k in kept], "none_n": none_n, "none_last": none_last,
+        }
+    return out
+
 
-    def step(s: Column, e: Column) -> Column:
-        counts = e["a"].isin("Gone", "Empty") & (s["at"].isNull() | (e["t"] - s["at"] >= gap_hours * 3600))
-        fresh = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("at"))
-        return F.when(e["a"] == "Rows", fresh).when(counts, F.struct((s["n"] + 1).alias("n"), e["t"].alias("at"))).otherwise(s)
+def strikes(answers: DataFrame, key: str, ts: str, answer: str, gap_hours: int = 24) -> DataFrame:
+    """Board health: a Gone or Empty answer counts as a strike when the last counted one is gap_hours old; Rows reset.
 
-    folded = answers.groupBy(key).agg(events.alias("e")).select(key, F.aggregate("e", start, step).alias("s"))
-    return folded.select(key, F.col("s.n").alias("strikes"), F.col("s.at").alias("last_strike"))
+    Within one gap of the clock at most one answer counts, so a board's answers become a span per gap with its distinct
+    seconds, and neighbouring spans are joined. No row or group holds the answers of more than a bounded time. Answers
+    without a time come first and count each.
+    """
+    gap = gap_hours * 3600
+    if gap <= 0:
+        raise ValueError("gap_hours must be positive")
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    rows = answers.select(F.col(key).alias("_key"), F.pmod(seconds, F.lit(gap)).alias("_off"), seconds.alias("_t"), F.col(answer).alias("_a"))
+    rows = rows.withColumn("_first", ((F.col("_t") - F.col("_off")) / gap).cast("long"))
+    struck = F.col("_a").isin("Gone", "Empty")
+    rows_at = F.max(F.when(F.col("_a") == "Rows", F.coalesce("_off", F.lit(0))))  # Rows stand last within a second
+    per_gap = rows.groupBy("_key", "_first").agg(
+        rows_at.alias("_rows"), F.array_sort(F.collect_set(F.when(struck, F.col("_off")))).alias("_offs"), F.count_if(struck & F.col("_t").isNull()).alias("_undated")
+    )
+    per_gap = per_gap.withColumn("_offs", F.when(F.col("_rows").isNull(), F.col("_offs")).otherwise(F.filter("_offs", lambda o: o > F.col("_rows"))))
+    reset, some, at = F.col("_rows").isNotNull(), F.size("_offs") > 0, lambda o: F.col("_first") * gap + o
+    none = F.array().cast("array<long>")
+    spans = per_gap.select(
+        "_key",
+        F.col("_first").alias("first"),
+        reset.alias("reset"),
+        F.when(reset, none).otherwise(F.col("_offs")).alias("offs"),
+        F.when(reset, none).otherwise(F.transform("_offs", lambda o: F.lit(1).cast("long"))).alias("n"),
+        F.when(reset, none).otherwise(F.transform("_offs", at)).alias("last"),
+        F.when(reset, some.cast("long")).otherwise(F.col("_undated")).alias("none_n"),
+        F.when(reset & some, at(F.get("_offs", F.lit(0)))).alias("none_last"),
+    )
+    names = [x.partition(" ")[0] for x in _SPAN.split(", ")]
+    schema = T.StructType([T.StructField("_key", answers.schema[key].dataType), *T.StructType.fromDDL(_SPAN)])
+
+    def join(group: pa.Table) -> pa.Table:
+        spans = sorted(group.select(names).to_pylist(), key=lambda x: (x["first"] is not None, x["first"] or 0))
+        one = _join_spans(spans, gap)
+        return pa.table([group.column("_key").slice(0, 1), *(pa.array([one[c]], group.schema.field(c).type) for c in names)], names=["_key", *names])
+
+    for part in (F.floor(F.col("first") / SPANS), F.floor(F.col("first") / SPANS**2), None):
+        grouped = spans.groupBy("_key") if part is None else spans.groupBy("_key", part.alias("_part"))
+        spans = grouped.applyInArrow(join, schema)
+    first = lambda many, other: F.coalesce(F.get(many, F.lit(0)), F.col(other))
+    return spans.select(F.col("_key").alias(key), first("n", "none_n").cast("int").alias("strikes"), first("last", "none_last").alias("last_strike"))
 
 
 def marks(events: DataFrame, keys: Sequence[str], flag: str, on: str, ts: str) -> DataFrame:
