@@ -20,8 +20,8 @@ from feedlens.llm.common import by_rows
 
 CHUNK, OVERLAP = 256, 32
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 6, 2, 32, 16
-#: Labelled rows of each class that training reads at most, and chunks of a long text that training looks at.
-SAMPLE, TRAIN_CHUNKS = 1200, 24
+#: Labelled rows of each class that training reads at most; their texts are read whole.
+SAMPLE = 1200
 
 
 def chunks_of(text: str | None) -> np.ndarray:
@@ -56,14 +56,18 @@ class Net:
     def params(self) -> list[np.ndarray]:
         return [self.embed, self.conv, self.conv_b, self.hid, self.hid_b, self.out, self.out_b]
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Max-pooled filter responses of each chunk, and where they are."""
-        e = self.embed[chunks].reshape(len(chunks), CHUNK * EMBED)
-        windows = np.lib.stride_tricks.sliding_window_view(e, WIDTH * EMBED, axis=1)[:, :: STEP * EMBED]
-        r = np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBED) @ self.conv
-        r = r.reshape(len(chunks), -1, FILTERS)
-        at = r.argmax(axis=1)
-        return np.take_along_axis(r, at[:, None, :], axis=1)[:, 0] + self.conv_b, at
+    def pooled(self, chunks: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Max-pooled filter responses of each chunk, and where they are, in blocks that stay in the cache."""
+        out, at = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+        for lo in range(0, len(chunks), block):
+            part = chunks[lo : lo + block]
+            e = self.embed[part].reshape(len(part), CHUNK * EMBED)
+            windows = np.lib.stride_tricks.sliding_window_view(e, WIDTH * EMBED, axis=1)[:, :: STEP * EMBED]
+            r = np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBED) @ self.conv
+            r = r.reshape(len(part), -1, FILTERS)
+            at[lo : lo + block] = r.argmax(axis=1)
+            out[lo : lo + block] = np.take_along_axis(r, at[lo : lo + block, None, :], axis=1)[:, 0]
+        return out + self.conv_b, at
 
     def maxima(self, chunks: np.ndarray, block: int = 128) -> np.ndarray:
         """As pooled, without places, in blocks that stay in the cache."""
@@ -131,13 +135,15 @@ class Net:
         d_hid, d_hid_b = p.T @ da, da.sum(axis=0)
         dp = (da @ self.hid.T) * (pooled > 0)
         # only the window that won the pool has a gradient
-        begin = at * STEP
-        bytes_at = chunks[np.arange(len(chunks))[:, None, None], begin[:, :, None] + np.arange(WIDTH)]
-        x = self.embed[bytes_at].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-        d_conv = np.einsum("cfw,cf->wf", x, dp, optimize=True).astype(np.float32)
-        back = (dp[:, :, None] * self.conv.T[None]).reshape(-1, EMBED)
-        d_embed = np.zeros((256, EMBED), np.float32)
-        np.add.at(d_embed, bytes_at.reshape(-1), back)
+        d_conv, d_embed = np.zeros_like(self.conv), np.zeros((256, EMBED), np.float32)
+        for lo in range(0, len(chunks), 512):
+            part, dpart = chunks[lo : lo + 512], dp[lo : lo + 512]
+            begin = at[lo : lo + 512] * STEP
+            bytes_at = part[np.arange(len(part))[:, None, None], begin[:, :, None] + np.arange(WIDTH)]
+            x = self.embed[bytes_at].reshape(len(part), FILTERS, WIDTH * EMBED)
+            d_conv += np.einsum("cfw,cf->wf", x, dpart, optimize=True).astype(np.float32)
+            back = (dpart[:, :, None] * self.conv.T[None]).reshape(-1, EMBED)
+            np.add.at(d_embed, bytes_at.reshape(-1), back)
         return loss, [d_embed, d_conv, dp.sum(axis=0), d_hid, d_hid_b, d_out.astype(np.float32), d_out_b]
 
 
@@ -173,7 +179,7 @@ def fit(samples: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int =
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Net:
     """labels: doc_id and quality. `usable` tells from a label's doc_id whether training may see it. The driver gets at
-    most 2 x sample texts of at most TRAIN_CHUNKS chunks each."""
+    most 2 x sample whole texts."""
     told = labels.where(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = [told.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])  # at most 2 x sample ids
@@ -183,11 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(texts: list, part: pa.RecordBatch) -> pa.RecordBatch:
-            raw = []
-            for text in texts:
-                c = chunks_of(text)
-                take = np.unique(np.linspace(0, len(c) - 1, min(len(c), TRAIN_CHUNKS)).astype(int))
-                raw.append(np.ascontiguousarray(c[take]).tobytes())
+            raw = [np.ascontiguousarray(chunks_of(text)).tobytes() for text in texts]
             return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(raw, pa.binary())], schema=out)
 
         yield from by_rows(batches, "text", work)

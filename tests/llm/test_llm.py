@@ -290,6 +290,22 @@ def test_quality_classifier(spark, odd, empty):
     assert quality_cnn.score(empty, net).count() == 0
 
 
+def test_quality_training_reads_long_texts_whole(spark):
+    """Texts of 40 chunks whose classes differ within one chunk, which a spread sample of 24 chunks leaves out."""
+    rng = np.random.default_rng(4)
+    size = 39 * (quality_cnn.CHUNK - quality_cnn.OVERLAP) + quality_cnn.CHUNK
+    at = 2 * (quality_cnn.CHUNK - quality_cnn.OVERLAP) + quality_cnn.OVERLAP
+    rows = []
+    for k in range(240):
+        t = " ".join(rng.choice(WORDS, 2200))[:size]
+        rows.append((k, t[:at] + "#$%*&#$%*& " * 15 + t[at + 165 :] if k % 2 else t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, (k + 1) % 2) for k in range(240)], "doc_id long, quality int")
+    net = quality_cnn.train(df, labels, F.col("doc_id") < 160)
+    scores = {r["doc_id"]: r["score"] for r in quality_cnn.score(df, net).collect() if r["doc_id"] >= 160}
+    assert np.mean([(s >= 0.7) == (i % 2 == 0) for i, s in scores.items()]) > 0.95
+
+
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 255, 256, 257, 480, 481, 10_000):
         c = quality_cnn.chunks_of("ab" * (n // 2) + "c" * (n % 2))
