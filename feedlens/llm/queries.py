@@ -17,7 +17,8 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, weights=html_text.fit(pages))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
