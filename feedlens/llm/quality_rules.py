@@ -1,5 +1,9 @@
 """Quality rules whose cut-offs come from the corpus: quantile sketches per language and source, then a joined filter.
 
+The limit of a group is the quantile KEEP of its own sketch; no constant is added to it. How far a group is trusted follows
+from its size without a switch: its quantile and that of its language are averaged with weights n and PULL documents, and
+that of the language was averaged with the corpus' before in the same way.
+
 A sketch is a table of (bucket, count) rows. Its buckets are whole per-mille values below 128 and keep the seven
 highest bits above, so a quantile is exact or within 1/64 of its value. Two sketches merge by adding counts, which makes
 the map-side combine of a hot source a merge too, and gives the sketch of a language from those of its sources.
@@ -7,8 +11,10 @@ the map-side combine of a hot source a merge too, and gives the sketch of a lang
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +25,50 @@ from feedlens.llm.common import by_rows, cut
 
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\x0b\x0c\r"
+BREAK = re.compile(rb"[ \t-\r]").search
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines")
-#: metric -> (numerator, denominator, slack in per mille). The limit of a group is q75 + 3 (q75 - q25) + slack.
+#: metric -> (numerator, denominator); its value is their ratio in per mille.
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 350),
-    "upper": ("n_upper", "n_letters", 250),
-    "word_len": ("word_chars", "n_words", 4000),
+    "symbols": ("n_symbols", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "upper": ("n_upper", "n_letters"),
+    "word_len": ("word_chars", "n_words"),
 }
-#: Groups of fewer documents than this use the sketch of their language, and small languages that of the corpus.
-LEAST = 50
+#: Per cent of a group's documents that each metric's limit lets through.
+KEEP = 95
+#: Documents that the wider sketch counts for when limits are averaged.
+PULL = 50
+#: Bytes of a text that are cut into words at a time.
+STEP = 1 << 20
+
+
+def word_numbers(raw: bytes) -> np.ndarray:
+    """The words between blanks, numbered by first appearance. Only distinct words are held besides a step of the text."""
+    known: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(raw):
+        end = BREAK(raw, at + STEP)
+        end = end.start() if end else len(raw)
+        words = raw[at:end].split()  # on the six ASCII blanks only
+        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def repeated_words(ids: np.ndarray) -> int:
+    """Words in windows of five that occur twice or more. Windows are numbered exactly, from the numbers of their halves."""
+    if len(ids) < 6:
+        return 0
+    number = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+    two = number(ids[:-1], ids[1:])
+    five = number(number(two[:-2], two[2:])[:-1], ids[4:])
+    again = np.bincount(five)[five] > 1
+    if not again.any():
+        return 0
+    edge = np.zeros(len(ids) + 1, np.int64)
+    edge[: len(again)] += again
+    edge[5 : 5 + len(again)] -= again
+    return int(np.count_nonzero(np.cumsum(edge[:-1])))
 
 
 def count_text(text: str | None) -> tuple[int, ...]:
@@ -36,8 +76,8 @@ def count_text(text: str | None) -> tuple[int, ...]:
     if not text:
         return (0,) * len(COUNTS)
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()  # on the six ASCII blanks only
-    n = len(words)
+    ids = word_numbers(raw)
+    n = len(ids)
     chars = len(text) - (len(raw) - len(raw.translate(None, BLANK)))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     seen: set[bytes] = set()
@@ -49,17 +89,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    repeat = 0
-    if n >= 6:
-        windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
-        if len(set(windows)) < len(windows):
-            first: dict[tuple, int] = {}
-            hit = bytearray(n)
-            for i, w in enumerate(windows):
-                j = first.setdefault(w, i)
-                if j != i:
-                    hit[i : i + 5] = hit[j : j + 5] = b"\1\1\1\1\1"
-            repeat = hit.count(1)
+    repeat = repeated_words(ids)
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     letters = sum(map(str.isalpha, text))
     return n, chars, symbols, dup, repeat, upper, letters, lines
@@ -88,7 +118,7 @@ def count_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _share(metric: str) -> Column:
-    top, bottom, _ = METRICS[metric]
+    top, bottom = METRICS[metric]
     return F.coalesce(F.floor(F.lit(1000) * F.col(top) / F.nullif(F.col(bottom), F.lit(0))), F.lit(0)).cast("long")
 
 
@@ -99,52 +129,27 @@ def _bucket(value: Column) -> Column:
 
 
 def limits(counts: DataFrame) -> DataFrame:
-    """Limits per (lang, source), by name of metric: sketches, merged upwards where a group is small."""
-    name = lambda c: F.coalesce(F.col(c), F.lit("\0null"))
+    """Limits per (lang, source), by name of metric, from the sketches of the group, its language and the corpus."""
     long_form = counts.where("n_words > 0").select(
-        name("lang").alias("lang"),
-        name("source").alias("source"),
-        F.inline(
-            F.array(*(F.struct(F.lit(m).alias("metric"), _bucket(_share(m)).alias("bucket")) for m in METRICS))
-        ),
+        "lang", "source", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), _bucket(_share(m)).alias("bucket")) for m in METRICS)))
     )
     sketch = long_form.groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    levels = [
-        sketch.withColumn("level", F.lit(0)),
-        sketch.withColumn("source", F.lit("")).withColumn("level", F.lit(1)),
-        sketch.withColumn("source", F.lit("")).withColumn("lang", F.lit("")).withColumn("level", F.lit(2)),
-    ]
-    merged = (
-        levels[0].unionByName(levels[1]).unionByName(levels[2])
-        .groupBy("level", "lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
-    )
-    group = W.Window.partitionBy("level", "lang", "source", "metric")
-    ranked = merged.select(
-        "*",
-        F.sum("n").over(group).alias("total"),
-        F.sum("n").over(group.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0)).alias("upto"),
-    )
-    quantile = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("bucket")))
-    slack = F.create_map(*(F.lit(x) for m, (_, _, s) in METRICS.items() for x in (m, s)))
-    per = (
-        ranked.groupBy("level", "lang", "source", "metric")
-        .agg(quantile(0.25).alias("q25"), quantile(0.75).alias("q75"), F.max("total").alias("total"))
-        .withColumn("limit", F.col("q75") + 3 * (F.col("q75") - F.col("q25")) + slack[F.col("metric")])
-        .groupBy("level", "lang", "source")
-        .agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in METRICS))
-    )
-    own, of_lang, of_all = (per.where(F.col("level") == k) for k in range(3))
-    of_lang = of_lang.select("lang", F.col("total").alias("t1"), *(F.col(m).alias(f"{m}_1") for m in METRICS))
-    of_all = of_all.select(F.lit(1).alias("_corpus"), *(F.col(m).alias(f"{m}_2") for m in METRICS))
-    pick = lambda m: (
-        F.when(F.col("total") >= LEAST, F.col(m)).when(F.col("t1") >= LEAST, F.col(f"{m}_1")).otherwise(F.col(f"{m}_2"))
-    )
-    return (
-        own.join(of_lang, "lang", "left")
-        .withColumn("_corpus", F.lit(1))
-        .join(F.broadcast(of_all), "_corpus")  # one row
-        .select("lang", "source", *(pick(m).alias(f"limit_{m}") for m in METRICS))
-    )
+
+    def quantiles(keys: list[str], tag: str) -> DataFrame:
+        merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+        group = W.Window.partitionBy(*keys, "metric")
+        upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0))
+        ranked = merged.select("*", F.sum("n").over(group).alias("total"), upto.alias("upto"))
+        reached = F.when(100 * F.col("upto") >= KEEP * F.col("total"), F.col("bucket"))
+        return ranked.groupBy(*keys, "metric").agg(F.min(reached).alias(f"q{tag}"), F.max("total").alias(f"t{tag}"))
+
+    own, of_all = quantiles(["lang", "source"], "0"), quantiles([], "2")
+    of_lang = quantiles(["lang"], "1").join(of_all, "metric")
+    wide = F.expr(f"(t1 * q1 + {PULL} * q2) div (t1 + {PULL})")
+    of_lang = of_lang.select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), wide.alias("q1"))
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m")))
+    limit = F.expr(f"(t0 * q0 + {PULL} * q1) div (t0 + {PULL})")
+    return joined.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, limit)).alias(f"limit_{m}") for m in METRICS))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,22 +157,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document is kept when it has ten words or more, at most a fifth of them in repeated five-word windows, and no
     metric above its group's limit. Null texts have no words and fail. Null languages and sources form groups of their
-    own. Rows that repeat an id are judged one by one; an empty table gives no rows.
+    own. Rows that repeat an id are judged one by one; an empty table gives no rows. Columns besides id, text, lang and
+    source, whatever their names, are not read.
     """
     counts = cut(count_texts(docs, id_col, text_col), "rules")
-    lim = limits(counts).select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"limit_{m}" for m in METRICS)
-    )
-    joined = counts.join(
-        lim,
-        (F.coalesce(counts["lang"], F.lit("\0null")) == F.col("_lang"))
-        & (F.coalesce(counts["source"], F.lit("\0null")) == F.col("_source")),
-        "left",
-    )
+    lim = limits(counts).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"limit_{m}" for m in METRICS))
+    joined = counts.join(lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fine = F.lit(True)
     for m in METRICS:
-        fine = fine & (_share(m) <= F.coalesce(F.col(f"limit_{m}"), F.lit(2**62)))
+        fine = fine & (_share(m) <= F.coalesce(F.col(f"limit_{m}"), F.lit(2**62)))  # a group without words has no limits and fails
     return joined.select(
         "doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & fine).alias("kept"),
         *(_share(m).alias(f"share_{m}") for m in METRICS), *(f"limit_{m}" for m in METRICS),
@@ -178,12 +177,16 @@ def oracle() -> str:
     """DuckDB SQL for the query's rows, with the same sketches."""
     share = lambda m: f"CAST(coalesce(floor(1000 * {METRICS[m][0]} / nullif({METRICS[m][1]}, 0)), 0) AS BIGINT)"
     low = "greatest(length(bin(v)) - 7, 0)"
-    pick = lambda m: f"CASE WHEN o.total >= {LEAST} THEN o.{m} WHEN l.total >= {LEAST} THEN l.{m} ELSE a.{m} END"
-    level = lambda k, lang, source: f"SELECT {k} AS level, {lang} AS lang, {source} AS source, metric, bucket FROM long_"
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (_, _, s) in METRICS.items())
-    shares, limits_ = ", ".join(f"{share(m)} AS share_{m}" for m in METRICS), ", ".join(f"{pick(m)} AS limit_{m}" for m in METRICS)
+    shares = ", ".join(f"{share(m)} AS share_{m}" for m in METRICS)
+
+    def quantiles(name: str, keys: str) -> str:
+        first = f"{keys}, " if keys else ""
+        ranked = f"SELECT {first}metric, bucket, sum(n) OVER (PARTITION BY {first}metric) AS total, sum(n) OVER (PARTITION BY {first}metric ORDER BY bucket) AS upto FROM (SELECT {first}metric, bucket, sum(n) AS n FROM k GROUP BY ALL)"
+        return f"{name} AS (SELECT {first}metric, min(bucket) FILTER (100 * upto >= {KEEP} * total) AS q, max(total) AS t FROM ({ranked}) GROUP BY ALL)"
+
+    pivot = ", ".join(f"CAST(max(v) FILTER (metric = '{m}') AS BIGINT) AS limit_{m}" for m in METRICS)
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
 g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 h AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
@@ -194,11 +197,12 @@ c AS (SELECT d.doc_id, d.lang, d.source, len(w.words) AS n_words, length(array_t
   FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
 long0 AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {share(m)} AS v FROM c WHERE n_words > 0" for m in METRICS)}),
 long_ AS (SELECT lang, source, metric, (v >> {low}) << {low} AS bucket FROM long0),
-k AS (SELECT level, lang, source, metric, bucket, count(*) AS n FROM ({level(0, "lang", "source")} UNION ALL {level(1, "lang", "''")} UNION ALL {level(2, "''", "''")}) GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto FROM k),
-q AS (SELECT level, lang, source, metric, min(bucket) FILTER (upto >= 0.25 * total) AS q25, min(bucket) FILTER (upto >= 0.75 * total) AS q75, max(total) AS total FROM u GROUP BY ALL),
-t AS (SELECT level, lang, source, CAST(max(total) AS BIGINT) AS total, {", ".join(f"max(CASE WHEN metric = '{m}' THEN q75 + 3 * (q75 - q25) + CASE metric {slack} END END) AS {m}" for m in METRICS)} FROM q GROUP BY level, lang, source),
-j AS (SELECT c.*, {shares}, {limits_} FROM c LEFT JOIN t o ON o.level = 0 AND o.lang = c.lang AND o.source = c.source LEFT JOIN t l ON l.level = 1 AND l.lang = c.lang LEFT JOIN t a ON a.level = 2)
+k AS (SELECT lang, source, metric, bucket, count(*) AS n FROM long_ GROUP BY ALL),
+{quantiles("o", "lang, source")}, {quantiles("l", "lang")}, {quantiles("a", "")},
+e AS (SELECT l.lang, l.metric, (l.t * l.q + {PULL} * a.q) // (l.t + {PULL}) AS q FROM l JOIN a USING (metric)),
+t AS (SELECT o.lang, o.source, o.metric, (o.t * o.q + {PULL} * e.q) // (o.t + {PULL}) AS v FROM o JOIN e ON e.lang IS NOT DISTINCT FROM o.lang AND e.metric = o.metric),
+p AS (SELECT lang, source, {pivot} FROM t GROUP BY lang, source),
+j AS (SELECT c.*, {shares}, p.* EXCLUDE (lang, source) FROM c LEFT JOIN p ON p.lang IS NOT DISTINCT FROM c.lang AND p.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {" AND ".join(f"share_{m} <= limit_{m}" for m in METRICS)} AS kept, {", ".join(f"share_{m}, limit_{m}" for m in METRICS)}
 FROM j
