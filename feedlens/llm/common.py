@@ -29,31 +29,47 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    made = tempfile.mkdtemp(prefix="feedlens-")
-    spark.sparkContext.setCheckpointDir(made)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation of what stands above."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feedlens-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Removes tables that cut() wrote and nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-            if "/feedlens-" in path.toString():
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = file.rpartition("/")[0]
+            if "/feedlens-" in path:
+                _delete(df.sparkSession, path)
+                _written[:] = [x for x in _written if not path.endswith(x.rpartition("/")[2])]
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that cut() wrote in this process; call it when the results read from them are stored."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def by_rows(

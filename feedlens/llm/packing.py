@@ -1,11 +1,11 @@
 """Packing of tokenised documents into sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt to shards of about `shard_rows` by a hash. Each shard is solved by several islands, one group of
-(shard, island) per task: seeds are best-fit-decreasing packings under different orders, and crossover injects the
-well-filled bins of one parent whole into another, dissolves the bins that hold a duplicate of an injected piece, and
-best-fits the displaced pieces. After each epoch an island sends its elite to its neighbour in a ring; in the end the
-best elite of the shard counts. A shard that reaches its lower bound stops at once. The worst-filled bins of all shards
-are then packed once more in fewer, fresh shards.
+Pieces are dealt to shards of about `shard_rows` by a hash. A shard whose best-fit-decreasing seed meets the lower bound is
+done, as no packing is better. Each other one is solved by several islands, one group of (shard, island) in a task: seeds are
+best-fit-decreasing packings under blurred orders, crossover injects well-filled bins of one parent whole into another,
+dissolves the bins that hold a duplicate of an injected piece, and best-fits the displaced pieces. After each epoch an
+island sends its elite to its neighbour in a ring; in the end the best elite of the shard counts. The loose bins of all
+shards are then packed once more in fresh shards of the same size.
 """
 
 from __future__ import annotations
@@ -162,83 +162,131 @@ def best_fit(lengths: list[int], order: list[int], capacity: int, free: list[tup
     return put, bins
 
 
-def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, rng: np.random.Generator, population: int = 4, generations: int = 3) -> np.ndarray:
-    """One epoch of one island: the bin of every piece in the best packing found."""
-    n, plain = len(lengths), lengths.tolist()
+def fitness(bins: np.ndarray, lengths: np.ndarray) -> tuple[int, float]:
+    """Lower is better: the number of bins, then how evenly they are filled."""
+    fill = np.bincount(bins, weights=lengths)
+    return int((fill > 0).sum()), -float((fill**2).sum())
+
+
+def seed(lengths: np.ndarray, capacity: int, rng: np.random.Generator, jitter: float = 0.0) -> np.ndarray:
+    """A best-fit-decreasing packing; jitter blurs the order."""
+    order = np.argsort(-lengths * (1 + jitter * rng.random(len(lengths))), kind="stable").tolist()
+    put, _ = best_fit(lengths.tolist(), order, capacity, [], 0)
+    bins = np.empty(len(lengths), np.int64)
+    bins[list(put)] = list(put.values())
+    return bins
+
+
+def refill(bins: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, jitter: float = 0.0) -> np.ndarray:
+    """Best-fits the displaced pieces (bin -1) into the bins there are, longest first up to the jitter."""
+    placed = bins >= 0
+    out = bins.copy()
+    _, out[placed] = np.unique(bins[placed], return_inverse=True)
+    k = int(out.max()) + 1
+    fill = np.bincount(out[placed], weights=lengths[placed], minlength=k) if k else np.zeros(0)
+    free = sorted((int(capacity - f), j) for j, f in enumerate(fill) if f < capacity)
+    left = np.flatnonzero(~placed)
+    put, _ = best_fit(lengths.tolist(), left[np.argsort(-lengths[left] * (1 + jitter * rng.random(len(left))), kind="stable")].tolist(), capacity, free, k)
+    out[list(put)] = list(put.values())
+    return out
+
+
+def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, well: float = 0.995) -> np.ndarray:
+    """Injects a part of a's well-filled bins (or of its best quarter) whole into b, dissolves the bins of b that hold a
+    duplicate of an injected piece, and best-fits the displaced pieces."""
+    fill = np.bincount(a, weights=lengths)
+    good = np.flatnonzero(fill >= well * capacity)
+    if len(good) < 2:
+        used = np.flatnonzero(fill)
+        good = used[np.argsort(-fill[used], kind="stable")[: max(1, len(used) // 4)]]
+    chosen = np.zeros(len(fill), bool)
+    chosen[rng.choice(good, size=max(1, int(len(good) * rng.uniform(0.3, 1.0))), replace=False)] = True
+    inject = chosen[a]
+    fill = np.bincount(b, weights=lengths)
+    broken = (fill < well * capacity) & (rng.random(len(fill)) < rng.uniform(0.0, 1.0))  # room for the displaced
+    broken[b[inject]] = True
+    child = np.where(broken[b], -1, b)
+    child[inject] = a[inject] + len(broken)
+    return refill(child, lengths, capacity, rng, float(rng.choice([0.0, 0.1, 0.5, 2.0])))
+
+
+def mutate(bins: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, share: float = 0.1) -> np.ndarray:
+    """Dissolves the emptiest bin and some others, those with more room more often, and best-fits their pieces anew in random order."""
+    fill = np.bincount(bins, weights=lengths)
+    used = np.flatnonzero(fill)
+    room = capacity - fill[used] + 1
+    gone = np.zeros(len(fill), bool)
+    gone[used[rng.choice(len(used), size=max(1, int(len(used) * share)), replace=False, p=room / room.sum())]] = True
+    gone[used[fill[used].argmin()]] = True
+    return refill(np.where(gone[bins], -1, bins), lengths, capacity, rng, float(rng.choice([0.0, 0.1, 0.5, 2.0])))
+
+
+def evolve(
+    lengths: np.ndarray, elites: list[np.ndarray], capacity: int, rng: np.random.Generator, population: int = 12, generations: int = 60, crossover: bool = True
+) -> np.ndarray:
+    """One epoch of one island: the bin of every piece in the best packing found.
+
+    elites: packings that the island starts from besides its own best-fit seeds, its last elite and its neighbour's.
+    A child takes the place of the worst packing if it is better. crossover=False leaves the seeds and mutations alone.
+    """
     bound = -(-int(lengths.sum()) // capacity)
-
-    def fitness(bins: np.ndarray) -> tuple[int, float]:
-        fill = np.bincount(bins, weights=lengths)
-        return int((fill > 0).sum()), -float((fill**2).sum())
-
-    def seed(jitter: float) -> np.ndarray:
-        order = np.argsort(-lengths * (1 + jitter * rng.random(n)), kind="stable").tolist()
-        put, _ = best_fit(plain, order, capacity, [], 0)
-        bins = np.empty(n, np.int64)
-        bins[list(put)] = list(put.values())
-        return bins
-
-    def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        fill = np.bincount(a, weights=lengths)
-        well = np.flatnonzero(fill >= capacity * 0.98)
-        chosen = np.zeros(len(fill), bool)
-        if len(well):
-            chosen[rng.choice(well, size=max(1, len(well) // 2), replace=False)] = True
-        inject = chosen[a]
-        broken = np.zeros(int(b.max()) + 1, bool)
-        broken[b[inject]] = True
-        stays = ~inject & ~broken[b]
-        child = np.full(n, -1, np.int64)
-        _, child[inject] = np.unique(a[inject], return_inverse=True)
-        k = int(child[inject].max()) + 1 if inject.any() else 0
-        _, kept = np.unique(b[stays], return_inverse=True)
-        child[stays] = kept + k
-        k = int(child.max()) + 1
-        fill = np.bincount(child[child >= 0], weights=lengths[child >= 0], minlength=k)
-        free = sorted((int(capacity - f), j) for j, f in enumerate(fill) if f < capacity)
-        left = np.flatnonzero(child < 0)
-        order = left[np.argsort(-lengths[left], kind="stable")].tolist()
-        put, _ = best_fit(plain, order, capacity, free, k)
-        child[list(put)] = list(put.values())
-        return child
-
-    pool = list(elites) or [seed(0.0)]
-    best = min(pool, key=fitness)
-    while fitness(best)[0] > bound and len(pool) < population:
-        pool.append(seed(0.02 * len(pool)))
-        best = min(best, pool[-1], key=fitness)
-    for _ in range(generations):
-        if fitness(best)[0] <= bound:
+    rank = lambda bins: fitness(bins, lengths)
+    pool = [(rank(x), x) for x in elites] or [(rank(x), x) for x in (seed(lengths, capacity, rng),)]
+    while min(f for f, _ in pool)[0] > bound and len(pool) < population:
+        x = seed(lengths, capacity, rng, float(rng.choice([0.02, 0.1, 0.5, 2.0])))
+        pool.append((rank(x), x))
+    pool.sort(key=lambda p: p[0])
+    for turn in range(generations):
+        if pool[0][0][0] <= bound:
             break
-        a, b = rng.choice(len(pool), size=2, replace=len(pool) < 2)
-        child = cross(pool[a], pool[b])
-        pool[max(range(len(pool)), key=lambda j: fitness(pool[j]))] = child
-        best = min(best, child, key=fitness)
-    return best
+        one, two = sorted(rng.integers(len(pool), size=2)), rng.integers(len(pool))
+        parent = pool[one[0]][1]
+        if crossover and turn % 3:
+            child = cross(parent, pool[two][1], lengths, capacity, rng)
+        else:
+            child = mutate(parent, lengths, capacity, rng)
+        got = rank(child)
+        if got < pool[-1][0] and all(got != f for f, _ in pool):
+            pool[-1] = (got, child)
+            pool.sort(key=lambda p: p[0])
+    return pool[0][1]
+
+
+#: An island sends its elite so many places on in the ring.
+NEIGHBOUR = 1
+STATE = PIECE + ", shard int, island int, bin long, solved boolean"
+STATE_ARROW = pa.schema([*PIECE_ARROW, ("shard", pa.int32()), ("island", pa.int32()), ("bin", pa.int64()), ("solved", pa.bool_())])
+KEY = [("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")]
 
 
-STATE = PIECE + ", shard int, island int, bin long"
-KEY = [("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")]
+def _lengths(group: pa.Table) -> np.ndarray:
+    return group["length"].to_numpy().astype(np.int64)
 
 
 def _pack_round(pieces: DataFrame, shards: int, capacity: int, islands: int, epochs: int, salt: int) -> DataFrame:
-    """PIECE rows -> STATE rows of each shard's best elite."""
-    schema = pa.schema([*PIECE_ARROW, ("shard", pa.int32()), ("island", pa.int32()), ("bin", pa.int64())])
-    names = schema.names
+    """PIECE rows -> STATE rows of each shard's best elite.
+
+    A shard whose best-fit seed meets the lower bound is solved and travels no further; the others go to all islands.
+    """
+
+    def done(rows: pa.Table, bins: np.ndarray, lengths: np.ndarray) -> pa.Table:
+        solved = fitness(bins, lengths)[0] <= -(-int(lengths.sum()) // capacity)
+        rows = rows.drop_columns([c for c in ("bin", "solved") if c in rows.column_names])
+        return rows.append_column("bin", pa.array(bins, pa.int64())).append_column("solved", pa.array([solved] * len(bins), pa.bool_())).select(STATE_ARROW.names).cast(STATE_ARROW)
+
+    def sow(group: pa.Table) -> pa.Table:
+        group = group.sort_by(KEY)
+        lengths = _lengths(group)
+        return done(group, seed(lengths, capacity, np.random.default_rng(salt)), lengths)
 
     def epoch(number: int):
         def run(group: pa.Table) -> pa.Table:
             group = group.sort_by(KEY)
-            shard, island = group["shard"][0].as_py(), group["island"][0].as_py()
-            rng = np.random.default_rng([salt, number, shard, island])
-            if number == 0:
-                rows, elites = group, []
-            else:
-                parts = [group.filter(pa.compute.equal(group["origin"], k)) for k in range(2)]
-                parts = [p for p in parts if p.num_rows]
-                rows, elites = parts[0], [p["bin"].to_numpy() for p in parts]
-            bins = evolve(rows["length"].to_numpy().astype(np.int64), elites, capacity, rng)
-            return rows.drop_columns("bin").append_column("bin", pa.array(bins, pa.int64())).select(names).cast(schema)
+            rng = np.random.default_rng([salt, number, group["shard"][0].as_py(), group["island"][0].as_py()])
+            parts = [group.filter(pa.compute.equal(group["origin"], k)) for k in range(2)]
+            parts = [p for p in parts if p.num_rows]
+            lengths = _lengths(parts[0])
+            return done(parts[0], evolve(lengths, [p["bin"].to_numpy() for p in parts], capacity, rng), lengths)
 
         return run
 
@@ -246,50 +294,45 @@ def _pack_round(pieces: DataFrame, shards: int, capacity: int, islands: int, epo
         found = {}
         for k in sorted(set(group["island"].to_pylist())):
             own = group.filter(pa.compute.equal(group["island"], k))
-            fill = np.bincount(own["bin"].to_numpy(), weights=own["length"].to_numpy())
-            found[(int((fill > 0).sum()), -float((fill**2).sum()), k)] = own
-        return found[min(found)].select(names).cast(schema)
+            found[(*fitness(own["bin"].to_numpy(), _lengths(own)), k)] = own
+        return found[min(found)].select(STATE_ARROW.names).cast(STATE_ARROW)
 
     shard = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "length", "ids_crc32"), F.lit(shards)).cast("int")
-    state = pieces.select(
-        *PIECE_ARROW.names, shard.alias("shard"), F.explode(F.array(*(F.lit(k) for k in range(islands)))).alias("island"), F.lit(0).cast("long").alias("bin")
-    )
-    state = state.groupBy("shard", "island").applyInArrow(epoch(0), STATE)
-    for number in range(1, epochs):
-        ring = F.array(F.struct(F.col("island").alias("to"), F.lit(0).alias("origin")), F.struct(((F.col("island") + 1) % islands).cast("int").alias("to"), F.lit(1).alias("origin")))
-        state = (
-            state.withColumn("move", F.explode(ring))
-            .withColumn("island", F.col("move.to"))
-            .withColumn("origin", F.col("move.origin"))
-            .drop("move")
-            .groupBy("shard", "island")
-            .applyInArrow(epoch(number), STATE)
-        )
-    return state.groupBy("shard").applyInArrow(best, STATE)
-
-
-def pack(pieces: DataFrame, capacity: int = 4096, shard_rows: int = 8_192, islands: int = 2, epochs: int = 2) -> DataFrame:
+    sown = pieces.select(*PIECE_ARROW.names, shard.alias("shard"), F.lit(0).alias("island")).groupBy("shard").applyInArrow(sow, STATE)
+    sown = cut(sown, "sown")
+    if not sown.where("NOT solved").limit(1).count():
+        return sown
+    state = sown.where("NOT solved").withColumn("island", F.explode(F.array(*(F.lit(k) for k in range(islands))))).withColumn("origin", F.lit(0))
+    for number in range(epochs):
+        if number:  # the elite of an island, and that of its neighbour in the ring
+            ring = F.array(F.struct(F.col("island").alias("to"), F.lit(0).alias("origin")), F.struct(((F.col("island") + NEIGHBOUR) % islands).cast("int").alias("to"), F.lit(1).alias("origin")))
+            state = state.withColumn("move", F.explode(ring)).withColumn("island", F.col("move.to")).withColumn("origin", F.col("move.origin")).drop("move")
+        state = state.groupBy("shard", "island").applyInArrow(epoch(number), STATE)
+    return sown.where("solved").unionByName(state.groupBy("shard").applyInArrow(best, STATE))
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, shard_rows: int = 4_096, islands: int = 3, epochs: int = 3, loose: float = 0.97) -> DataFrame:
     """PIECE rows plus sequence_id and offset (gapless from 0 in each sequence), in few sequences of at most capacity.
 
-    Every row is placed: repeated rows and null ids too. Pieces as long as capacity get a sequence each. The only figure
-    that reaches the driver is the number of pieces. A group in a task has about shard_rows times islands small rows.
+    Every row is placed: repeated rows and null ids too, and an empty table gives no rows. Pieces as long as capacity get a
+    sequence each. Pieces of bins less than `loose` full, of all shards, are dealt once more. The only figures that reach the
+    driver are numbers of pieces. A group in a task holds about shard_rows small rows, twice that where islands meet, and
+    islands times that where the best of them is chosen, in both rounds.
     """
     pieces = cut(pieces, "pieces")
     n = pieces.count()
     shards = max(1, -(-n // shard_rows))
     first = cut(_pack_round(pieces, shards, capacity, islands, epochs, 1), "packed")
+    forget(pieces)
+    done = first.withColumn("shard", F.col("shard").cast("long"))
     if shards > 1:
         fill = first.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
         tagged = cut(first.join(fill, ["shard", "bin"]), "filled")
-        forget(pieces, first)
-        loose = tagged.where(F.col("fill") < int(capacity * 0.97)).select(*PIECE_ARROW.names)
-        again = _pack_round(loose, max(1, shards // 8), capacity, islands, epochs, 2)
-        full = tagged.where(F.col("fill") >= int(capacity * 0.97)).drop("fill")
-        done = full.withColumn("shard", F.col("shard").cast("long")).unionByName(
-            again.withColumn("shard", F.col("shard").cast("long") + F.lit(shards))
-        )
-    else:
-        done = first.withColumn("shard", F.col("shard").cast("long"))
+        forget(first)
+        left = tagged.where(F.col("fill") < int(capacity * loose)).select(*PIECE_ARROW.names)
+        again = _pack_round(left, max(1, -(-left.count() // shard_rows)), capacity, islands, epochs, 2)
+        full = tagged.where(F.col("fill") >= int(capacity * loose)).drop("fill")
+        done = full.withColumn("shard", F.col("shard").cast("long")).unionByName(again.withColumn("shard", F.col("shard").cast("long") + F.lit(shards)))
     out = pa.schema([*PIECE_ARROW, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(group: pa.Table) -> pa.Table:
@@ -306,4 +349,6 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_rows: int = 8_192, islan
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The packed pieces of all documents: PIECE columns, sequence_id and offset. Null and empty texts are one end id; null ids
+    and repeated rows are packed like others; an empty table gives no rows; other columns are not read."""
     return pack(tokenize_pieces(docs, path, capacity, id_col=id_col, text_col=text_col), capacity)

@@ -162,13 +162,54 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_crossover_keeps_every_piece():
-    rng = np.random.default_rng(1)
-    lengths = rng.integers(1500, 2600, 400)
-    first = packing.evolve(lengths, [], 4096, rng, generations=0)
-    best = packing.evolve(lengths, [first], 4096, rng, generations=6)
-    fill = np.bincount(best, weights=lengths)
-    assert len(best) == 400 and fill.max() <= 4096 and (fill > 0).sum() <= len(np.unique(first))
+def triplets(n, rng):
+    """Three pieces fill each sequence to the brim, which best fit rarely finds."""
+    a, b = rng.integers(1100, 1600, n), rng.integers(1100, 1600, n)
+    return rng.permutation(np.concatenate([a, b, 4096 - a - b]))
+
+
+def n_bins(bins, lengths):
+    fill = np.bincount(bins, weights=lengths)
+    assert len(bins) == len(lengths) and fill.max() <= 4096
+    return int((fill > 0).sum())
+
+
+def test_crossover_beats_best_fit_and_mutation():
+    best, without, seeds = 0, 0, 0
+    for k in range(4):
+        lengths = triplets(1000, np.random.default_rng(k))
+        seeds += n_bins(packing.seed(lengths, 4096, np.random.default_rng(0)), lengths)
+        without += n_bins(packing.evolve(lengths, [], 4096, np.random.default_rng(7), crossover=False), lengths)
+        best += n_bins(packing.evolve(lengths, [], 4096, np.random.default_rng(7)), lengths)
+    assert 4000 <= best < without - 20 < seeds - 200
+
+
+def test_crossover_injects_bins_whole():
+    rng = np.random.default_rng(3)
+    lengths = triplets(200, rng)
+    a = np.repeat(np.arange(200), 3)
+    order = np.argsort(rng.random(600))
+    lengths = lengths[order]
+    whole = packing.evolve(lengths, [], 4096, rng)
+    child = packing.cross(whole, packing.seed(lengths, 4096, rng), lengths, 4096, rng)
+    groups = lambda bins: {frozenset(np.flatnonzero(bins == k).tolist()) for k in np.unique(bins)}
+    good = {g for g in groups(whole) if lengths[list(g)].sum() >= 0.995 * 4096}
+    assert len(a) == len(child) and len(good & groups(child)) >= 0.3 * len(good) > 10 and n_bins(child, lengths)
+
+
+def test_migration_and_epochs_count(spark, monkeypatch):
+    lengths = triplets(600, np.random.default_rng(11)).tolist()
+    rows = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECE).repartition(3)
+
+    def bins(**how):
+        got = packing.pack(rows, **how).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert sum(r["n"] for r in got) == sum(lengths) and max(r["n"] for r in got) <= 4096
+        return len(got)
+
+    best, one = bins(), bins(epochs=1)
+    monkeypatch.setattr(packing, "NEIGHBOUR", 0)
+    alone = bins()
+    assert 600 <= best < alone < one
 
 
 def test_language(spark, docs, odd, empty):
