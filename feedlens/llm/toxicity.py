@@ -1,13 +1,14 @@
 """Toxicity by weak supervision.
 
-1. Lexicon and pattern mining: Spark counts, over a bounded sample of labelled training rows, in how many toxic and other
-   documents each word (lexicon) and each word beginning (pattern) occurs. The strongest become voters for "toxic";
-   two more voters say "clean" when no lexicon entry or no pattern at all is found.
-2. A generative label model is fitted to the votes by expectation maximisation, without looking at labels but for the
-   prior: each voter has a rate of firing on toxic and on clean documents (its accuracy). Correlations between voters
-   given the latent class are estimated from the same posteriors, and a voter's evidence is divided by the correlated
-   evidence around it, so a cluster of voters that fire together counts about once.
-3. A linear classifier over the voters' counts is trained on the posteriors and scores every document.
+1. Voters. A lexicon of insults and patterns of abuse is written down here. Further lexicon entries (words) and patterns (word
+   beginnings) are proposed from a bounded labelled sample: every one with enough support that is far more frequent in toxic
+   documents becomes a voter, without a cap on their number. Two more voters say "clean" when no lexicon entry or no pattern fires.
+2. A generative label model is fitted to the votes of a bounded sample of documents by expectation maximisation. It sees no
+   labels: the share of toxic documents, each voter's rates of firing on toxic and on clean documents (its accuracy) and
+   the correlations of the voters given the latent class are all estimated from the votes. The correlation matrix is
+   solved for the share of its evidence that each voter adds to the others', so voters that fire together count about once.
+3. A linear classifier over the voters' counts is trained on the posteriors and scores every document. Where on its scale
+   the decision lies is read off the labelled sample.
 """
 
 from __future__ import annotations
@@ -21,15 +22,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import by_rows
+from feedlens.llm.common import by_rows, cut
 
-#: Labelled rows of each class that training reads at most, chosen by a hash of their id.
-SAMPLE = 6000
-#: Voters of each kind.
-VOTERS = 400
+#: Labelled rows of each class from which voters are proposed, and rows on which the label model is fitted; by a hash of the id.
+SAMPLE, ROWS = 6000, 6000
+#: A proposed voter occurs in this share of the toxic documents, and is this many times as frequent there as in clean ones.
+SUPPORT, LIFT = 0.015, 20.0
 #: Lengths of word beginnings that serve as patterns.
 PREFIXES = (3, 4, 5)
 WORD = re.compile(r"[^\W\d_]+")
+LEXICON = """
+abomination airhead arsehole asshole bastard bigot bitch blockhead bonehead bootlicker buffoon bullshit chump clown clowns coward creep cretin crap
+degenerate despicable dimwit dipshit dirtbag disgrace disgusting douche dumb dumbass dunce failure fat filth filthy fool fools freak fuck fucking
+garbage goon gross halfwit hateful hideous hypocrite idiot idiotic idiots ignorant imbecile incompetent inferior jackass jerk lame liar loathsome
+loser losers lowlife lunatic maggot moron moronic morons nasty nincompoop nitwit parasite pathetic pest pig prick psycho puke rat repulsive
+revolting rubbish savage scum scumbag shit shithead shitty sicko simpleton slimy slob stupid sucker swine thug traitor trash twit ugly useless
+vermin vile weasel weirdo whiner whore worthless wretch
+""".split()
+#: Name, words of which one must occur, and pattern.
+PATTERNS = (
+    ("~shut", {"shut"}, re.compile(r"\bshut (?:the \w+ |your \w+ )?up\b")),
+    ("~hell", {"hell"}, re.compile(r"\b(?:go to|burn in|rot in) hell\b")),
+    ("~kill", {"kill", "hang", "hurt"}, re.compile(r"\b(?:kill|hang|hurt) (?:yourself|yourselves|you|them all)\b")),
+    ("~hate", {"hate", "despise", "detest"}, re.compile(r"\b(?:hate|despise|detest) (?:you|them all|your \w+)\b")),
+    ("~dead", {"drop", "deserve", "hope"}, re.compile(r"\b(?:drop dead|deserves? to die|hope (?:you|they) die)\b")),
+    ("~waste", {"waste", "piece", "bunch", "pack"}, re.compile(r"\b(?:waste of (?:space|air|oxygen|skin)|(?:piece|bunch|pack) of (?:\w+ )?(?:trash|garbage|filth|idiots|morons|liars|animals|rats|scum))\b")),
+    ("~nobody", {"nobody", "everyone"}, re.compile(r"\b(?:nobody (?:likes|wants|needs|loves)|everyone hates) (?:you|your|them)\b")),
+    ("~lost", {"get", "crawl", "go"}, re.compile(r"\b(?:get lost|crawl back|go back to your country)\b")),
+    ("~you", {"you", "such"}, re.compile(r"\b(?:you|you're|you are|such) (?:an? |all |just |nothing but |really |so |complete |absolute |utter )*(?:" + "|".join(LEXICON) + r")\b")),
+)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -38,18 +59,24 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """features: entry -> column; entries that end in * are beginnings. weights, bias: of the linear classifier."""
+    """features: entry -> column; entries that end in * are beginnings, those that start with ~ patterns. weights, bias: of the linear classifier."""
 
     features: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2))
     bias: float = -2.0
 
+    @classmethod
+    def over(cls, entries: list[str]) -> Model:
+        return cls({x: k for k, x in enumerate(entries)}, np.zeros(len(entries) + 2))
+
     def counts(self, text: str | None) -> dict[int, int]:
+        """How often each voter fires on a whole text."""
         found: dict[int, int] = {}
         get = self.features.get
-        words = words_of(text)
         seen: dict[str, int] = {}
-        for w in words:
+        lowered = text.lower() if text else ""
+        for m in WORD.finditer(lowered):
+            w = m[0]
             seen[w] = seen.get(w, 0) + 1
         for w, n in seen.items():
             k = get(w)
@@ -60,25 +87,24 @@ class Model:
                     k = get(w[:size] + "*")
                     if k is not None:
                         found[k] = found.get(k, 0) + n
+        for name, triggers, pattern in PATTERNS:
+            if not triggers.isdisjoint(seen) and (k := get(name)) is not None and (n := sum(1 for _ in pattern.finditer(lowered))):
+                found[k] = n
         return found
 
     def row(self, found: dict[int, int]) -> np.ndarray:
         """Votes of the lexicon and pattern voters as damped counts, and the two silent voters last."""
-        x = np.zeros(len(self.features) + 2)
+        x = np.zeros(len(self.features) + 2, np.float32)
         for k, n in found.items():
             x[k] = 1 + 0.5 * np.log(n)
-        words = {k for name, k in self.features.items() if not name.endswith("*")}
-        x[-2] = not (found.keys() & words)
-        x[-1] = not (found.keys() - words)
+        x[-2] = not any(self.is_word[k] for k in found)
+        x[-1] = all(self.is_word[k] for k in found)
         return x
 
     def score(self, text: str | None) -> float:
-        found = self.counts(text)
-        z = self.bias + float(self.weights[-2:].sum())
-        if found:
-            is_word = self.is_word
-            z = self.bias + sum(float(self.weights[k]) * (1 + 0.5 * np.log(n)) for k, n in found.items())
-            z += float(self.weights[-2]) * (not any(is_word[k] for k in found)) + float(self.weights[-1]) * all(is_word[k] for k in found)
+        found, is_word = self.counts(text), self.is_word
+        z = self.bias + sum(float(self.weights[k]) * (1 + 0.5 * np.log(n)) for k, n in found.items())
+        z += float(self.weights[-2]) * (not any(is_word[k] for k in found)) + float(self.weights[-1]) * all(is_word[k] for k in found)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     @property
@@ -86,33 +112,46 @@ class Model:
         if not hasattr(self, "_is_word"):
             flags = [True] * len(self.features)
             for name, k in self.features.items():
-                flags[k] = not name.endswith("*")
+                flags[k] = not (name.endswith("*") or name.startswith("~"))
             self._is_word = flags
         return self._is_word
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of toxic per row and each voter's (rate on toxic, rate on clean), from 0/1 votes of shape (rows, voters)."""
-    post = start.copy()
-    n = len(votes)
-    for _ in range(rounds):
+def shares(corr: np.ndarray, n: int) -> np.ndarray:
+    """What each voter adds to the others' evidence: the best linear combination under the correlations, shrunk by the
+    number of rows they are known from. One for a voter on its own, about 1/k for each of k that always fire together."""
+    shrink = max(0.02, len(corr) / (len(corr) + n))
+    return np.clip(np.linalg.solve((1 - shrink) * corr + shrink * np.eye(len(corr)), np.ones(len(corr))), 0.0, 1.0)
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From 0/1 votes of shape (rows, voters) and a first guess: the posterior of toxic per row, each voter's (rate on toxic,
+    rate on clean), and the correlations given the class."""
+    post, n = start.astype(np.float64), len(votes)
+    votes = votes.astype(np.float32)
+    corr = np.eye(votes.shape[1])
+    share = np.ones(votes.shape[1])
+    for turn in range(rounds):
         on, off = post.sum(), n - post.sum()
-        hit1 = (votes.T @ post + 0.05) / (on + 1)
-        hit0 = (votes.T @ (1 - post) + 0.01) / (off + 1)
-        # correlations given the latent class
-        centred = votes - np.outer(post, hit1) - np.outer(1 - post, hit0)
-        cov = centred.T @ centred / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.abs(cov / np.outer(sd, sd))
-        share = 1 / np.maximum(1.0, np.where(corr > 0.2, corr, 0).sum(axis=1))
+        hit1 = (votes.T @ post.astype(np.float32) + 0.05) / (on + 1)
+        hit0 = (votes.T @ (1 - post).astype(np.float32) + 0.01) / (off + 1)
+        if turn % 8 == 2:  # correlations given the latent class
+            centred = votes - np.outer(post, hit1).astype(np.float32) - np.outer(1 - post, hit0).astype(np.float32)
+            cov = (centred.T @ centred).astype(np.float64) / n
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            corr = cov / np.outer(sd, sd)
+            np.fill_diagonal(corr, 1.0)
+            share = shares(corr, n)
         fired = (np.log(hit1) - np.log(hit0)) * share
         silent = (np.log1p(-np.minimum(hit1, 0.999)) - np.log1p(-np.minimum(hit0, 0.999))) * share
-        z = np.log(prior / (1 - prior)) + votes @ fired + (1 - votes) @ silent
+        prior = np.clip(on / n, 0.005, 0.5)
+        z = np.log(prior / (1 - prior)) + votes @ (fired - silent) + silent.sum()
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            return new, np.stack([hit1, hit0])
+        moved = np.abs(new - post).max()
         post = new
-    return post, np.stack([hit1, hit0])
+        if turn > 12 and moved < 1e-4:
+            break
+    return post, np.stack([hit1, hit0]), corr
 
 
 def linear(x: np.ndarray, target: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -132,14 +171,21 @@ def linear(x: np.ndarray, target: np.ndarray, steps: int = 400, rate: float = 0.
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """labels: doc_id and toxic. `usable` tells from a label's doc_id whether training may see it."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """labels: doc_id and toxic. `usable` tells from a doc_id whether training may see its label or text.
+
+    The driver gets the voters and their votes on about `rows` documents and the labelled sample. Null texts are left out,
+    copies of a text count once, an empty table gives a model without voters but those written down.
+    """
     told = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = [told.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])  # at most 2 x sample ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & usable)
+    share = int(min(1.0, rows / max(docs.count(), 1)) * 1_000_000)
+    some = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share
     # copies would make the words of one text look like a rule
-    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("y").cast("int").alias("y"))
+    read = texts.join(F.broadcast(ids), "doc_id", "left").where(F.col("y").isNotNull() | some).groupBy("text").agg(F.max("y").cast("int").alias("y"))
+    read = cut(read, "voted")
     out = pa.schema([("entry", pa.string()), ("y", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,19 +201,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
         yield from by_rows(batches, "text", work, rows=64)
 
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = read.where("y IS NOT NULL")
+    size = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
-    if not pos or not neg:
-        return Model(bias=4.0 if pos else -4.0)
-    hits = rows.mapInArrow(entries, "entry string, y int").groupBy("entry").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    odds = F.log((F.col("p") + 0.5) / F.lit(pos + 1.0)) - F.log((F.col("n") - F.col("p") + 0.5) / F.lit(neg + 1.0))
-    least = max(3, round(0.015 * pos))
-    strong = hits.where(F.col("p") >= least).withColumn("odds", odds).where("odds > 2.5")
-    gain = F.col("p") * F.col("odds")
-    tops = [strong.where(cond).orderBy(F.desc(gain), "entry").limit(VOTERS).collect() for cond in (~F.col("entry").endswith("*"), F.col("entry").endswith("*"))]
-    model = Model({r["entry"]: k for k, r in enumerate([*tops[0], *tops[1]])})
-    if not model.features:
-        return Model(bias=float(np.log(pos / neg)))
+    hits = labelled.mapInArrow(entries, "entry string, y int").groupBy("entry").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    clean = F.col("n") - F.col("p")
+    odds = F.log((F.col("p") + 0.5) / F.lit(pos + 1.0)) - F.log((clean + 0.5) / F.lit(neg + 1.0))
+    often = (F.col("p") >= max(3, round(SUPPORT * pos))) & (odds > float(np.log(LIFT)))
+    mined = [r["entry"] for r in hits.where(often).select("entry").orderBy("entry").collect()] if pos and neg else []
+    model = Model.over(list(dict.fromkeys([*LEXICON, *(name for name, _, _ in PATTERNS), *mined])))
     schema = pa.schema([("y", pa.int32()), ("k", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,31 +219,46 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
         yield from by_rows(batches, "text", work)
 
-    seen = rows.mapInArrow(votes, "y int, k array<int>, n array<int>").toPandas()
-    y = seen["y"].to_numpy(float)
-    x = np.zeros((len(seen), len(model.features) + 2))
-    flags = np.array(model.is_word)
+    seen = read.mapInArrow(votes, "y int, k array<int>, n array<int>").toPandas()
+    x = np.zeros((len(seen), len(model.features) + 2), np.float32)
     for i, (k, n) in enumerate(zip(seen["k"], seen["n"], strict=True)):
-        k = np.asarray(k, int)
-        x[i, k] = 1 + 0.5 * np.log(np.asarray(n, float))
-        x[i, -2], x[i, -1] = not flags[k].any(), flags[k].all()
-    fired = (x > 0).astype(float)
-    tally = fired[:, :-2].sum(axis=1)
-    post, _ = label_model(fired, float(np.clip(y.mean(), 0.02, 0.98)), np.where(tally > 0, 0.9, 0.05))
-    model.weights, model.bias = linear(x, post)
-    # the training labels place the decision: most toxic rows found, a false alarm weighing three times a miss
-    z = x @ model.weights + model.bias
+        x[i] = model.row(dict(zip(np.asarray(k, int).tolist(), np.asarray(n, int).tolist(), strict=True)))
+    # voters that never fire in the sample keep the weight of an average one, if they were written down
+    live = np.flatnonzero((x > 0).any(axis=0)) if len(x) else np.zeros(0, int)
+    fired = (x[:, live] > 0).astype(np.float32)
+    tally = (x[:, :-2] > 0).sum(axis=1)
+    if not len(x) or not tally.any():
+        model.weights[:-2], model.bias = 3.0, -2.0
+        return model
+    post, _, _ = label_model(fired, np.where(tally > 0, 0.9, 0.05))
+    weights, model.bias = linear(x[:, live], post)
+    model.weights[:] = max(0.0, float(np.mean(weights[:-2])))
+    model.weights[-2:] = 0.0
+    model.weights[live] = weights
+    y = seen["y"].to_numpy(float)
+    known = ~np.isnan(y)
+    model.bias -= decision((x @ model.weights + model.bias)[known], y[known] > 0)
+    return model
+
+
+def decision(z: np.ndarray, y: np.ndarray) -> float:
+    """The log odds between two neighbouring rows where most of the toxic share found is left, three times the share of
+    false alarms taken off. 0 where one class is missing."""
+    if y.all() or not y.any():
+        return 0.0
     order = np.argsort(-z, kind="stable")
-    gain = np.cumsum(np.where(y[order] > 0, 1 / max(pos, 1), -3 / max(neg, 1)))
+    gain = np.cumsum(np.where(y[order], 1 / y.sum(), -3 / (~y).sum()))
     ends = np.flatnonzero(np.concatenate([z[order][:-1] > z[order][1:], [True]]))
     best = ends[gain[ends].argmax()]
     below = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1
-    model.bias -= float((z[order][best] + below) / 2)
-    return model
+    return float((z[order][best] + below) / 2)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1, higher: more toxic) of every whole text; null counts as empty."""
+    """doc_id and score (0 to 1, higher: more toxic) of every whole text; null counts as empty.
+
+    Repeated rows and null ids give a row each; an empty table gives no rows; other columns are not read.
+    """
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,7 +273,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that score below the limit."""
+    """The rows, with all their columns, that score below the limit. Null texts count as empty; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
