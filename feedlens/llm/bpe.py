@@ -2,7 +2,9 @@
 
 Every row of a matrix is one piece of text as symbol ids. A round looks up the rank of each adjacent pair, merges the
 leftmost pair of minimum rank in every row, and closes the gap by a gather (compaction). Rows without a known pair
-leave the matrix. Pairs are found in an open-addressing hash table held in two numpy arrays.
+leave the matrix. Pairs are found in an open-addressing hash table held in two numpy arrays. Rows of the longest buckets
+stand alone, and a round merges the leftmost minimum-rank pair together with its later copies, so the number of rounds follows
+the number of different pairs and not the length.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from feedlens.llm.common import by_rows
 
 NONE = np.int32(2**31 - 1)
-#: Pieces of more symbols than this are merged with a heap instead of a matrix, in n log n steps.
+#: Rows of more symbols than this stand alone in their matrix.
 LONG = 1024
 #: Entries that a worker's word cache holds before it starts anew.
 CACHE = 300_000
@@ -72,11 +73,6 @@ class Merges:
             slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
         return rank, merged
 
-    @functools.cached_property
-    def known(self) -> dict[int, tuple[int, int]]:
-        used = np.flatnonzero(self.rank != NONE)
-        return dict(zip(self.keys[used].tolist(), zip(self.rank[used].tolist(), self.merged[used].tolist(), strict=True), strict=True))
-
 
 def merge_matrix(ids: np.ndarray, table: Merges, emit) -> None:
     """ids: rows of one bucket, padded with -1 at the right. emit(row numbers, finished rows) gets every row once."""
@@ -109,30 +105,42 @@ def merge_matrix(ids: np.ndarray, table: Merges, emit) -> None:
     emit(where, ids)
 
 
-def merge_long(ids: list[int], table: Merges) -> np.ndarray:
-    """The same merges for one very long piece, by a heap over a linked list."""
-    known, n = table.known, len(ids)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (got := known.get(ids[i] << 32 | ids[j])):
-            heapq.heappush(heap, (got[0], i, ids[i], ids[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        if not alive[i] or ids[i] != a or (j := after[i]) >= n or ids[j] != b:
-            continue
-        ids[i], alive[j], after[i] = known[a << 32 | b][1], False, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
-    return np.array([x for x, ok in zip(ids, alive, strict=True) if ok], np.int32)
+def _merge_at(x: np.ndarray, rank: np.ndarray, merged: np.ndarray, at: np.ndarray, table: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row with the pairs at `at` (which do not overlap) merged, its pairs' ranks and symbols, and the ranks that are new."""
+    y = x.copy()
+    y[at] = merged[at]
+    stays = np.ones(len(x), bool)
+    stays[at + 1] = False
+    old = np.flatnonzero(stays)
+    y, rank, merged = y[old], rank[old[:-1]], merged[old[:-1]]
+    place = at - np.arange(len(at))
+    pairs = np.unique(np.concatenate([place[place > 0] - 1, place[place < len(y) - 1]]))
+    rank[pairs], merged[pairs] = table.find(y[pairs], y[pairs + 1])
+    return y, rank, merged, rank[pairs]
+
+
+def merge_row(x: np.ndarray, table: Merges) -> np.ndarray:
+    """One long row. Copies of the leftmost minimum-rank pair are merged with it, of overlapping ones every other, unless a pair
+    of lower rank would arise on the way; then only the leftmost one is."""
+    rank, merged = table.find(x[:-1], x[1:])
+    while len(rank):
+        low = rank.min()
+        if low == NONE:
+            break
+        at = np.flatnonzero(rank == low)
+        if len(at) > 1:
+            k = np.arange(len(at))
+            start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, k, 0))
+            at = at[(k - start) % 2 == 0]
+        got = _merge_at(x, rank, merged, at, table)
+        if len(at) > 1:
+            # a pair with the next symbol as it stands before that one is merged itself
+            inner = at[at + 2 < len(x)]
+            between, _ = table.find(merged[inner], x[inner + 2])
+            if (got[3] < low).any() or (between < low).any():
+                got = _merge_at(x, rank, merged, at[:1], table)
+        x, rank, merged, _ = got
+    return x
 
 
 def merge_all(pieces: list[bytes], first: np.ndarray, last: np.ndarray, table: Merges, rows: int = 16_384) -> list[bytes]:
@@ -158,7 +166,7 @@ def merge_all(pieces: list[bytes], first: np.ndarray, last: np.ndarray, table: M
             symbols[ends - 1] = last[flat[ends - 1]]
             if width > LONG:
                 for k, lo, hi in zip(part, (ends - lens).tolist(), ends.tolist(), strict=True):
-                    out[k] = merge_long(symbols[lo:hi].tolist(), table).astype("<u4").tobytes()
+                    out[k] = merge_row(symbols[lo:hi], table).astype("<u4").tobytes()
                 continue
             if width <= 16:
                 ids = symbols.reshape(len(part), width)
