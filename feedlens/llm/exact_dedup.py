@@ -8,8 +8,9 @@ collision never merges two texts:
    that makes up a third of the table reaches `salts` tasks as one row from each reading task,
 3. per (digest, text) over the winners of the salts.
 
-The rows then find their group by sha-256, xxhash64 and length of the text; no text is shuffled for that, and a hot
-digest is split by AQE's skew join.
+The rows then find their group by sha-256, xxhash64 and length of the text, so no text is shuffled a third time. That is
+exact: should two texts ever share all three, the query stops with an error, as the groups, which were made by content, show it.
+A hot digest is split by AQE's skew join.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         local.groupBy("digest", "norm")
         .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
         .select("digest", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len"), "keep_id", "group_size")
+        .groupBy("digest", "h", "len")
+        .agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("long")))
+        .drop("texts")
     )
     keys = rows.select("doc_id", "digest", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len"))
     return keys.join(groups, ["digest", "h", "len"]).select(
