@@ -1,6 +1,6 @@
 """Near-duplicate groups by b-bit MinHash, confirmed on full shingle sets.
 
-1. One Arrow pass gives each document a digest of its word sequence, the size of its shingle set, 128 minima cut to two
+1. One Arrow pass gives each document the sha-256 of its word sequence, the exact size of its shingle set, 128 minima cut to two
    bits each and packed in four longs, and 25 band keys over five minima each (a pair at 0.8 is missed by all bands with
    a chance of 5e-5; at 0.9 of 1e-10). Documents of one word sequence become one node, named by its smallest doc_id.
 2. Star rounds: in every band bucket one node leads, another one each round. A member meets the leaders of its buckets,
@@ -9,7 +9,8 @@
    million pairs.
 3. What is left are buckets that hold several components. Their nodes get a signature of 2048 two-bit minima, and there
    every node outside the bucket's largest component meets all nodes of other components; the long signatures prune, full
-   sets decide. A pair counts in the first band it shares only. No bucket, partner or candidate is capped.
+   sets decide. A pair counts in the first band it shares only. A large bucket is split: one side is dealt to parts, the
+   other goes to each of them. No bucket, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LONG_HASHES, LONG_MARGIN = 2048, 0.05
 #: Broadcast at most so many ids (8 bytes each); beyond that, ids and rows meet by a shuffle.
 MOST_IDS = 1_000_000
 STARS = 3
+#: Rows of a bucket that one task pairs with the whole bucket.
+PART = 1024
 
 _rng = np.random.default_rng(20260101)
 MUL = (_rng.integers(0, 2**31, LONG_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -57,10 +60,31 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def numbered(words: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """The words as numbers of distinct words, and the hash of each distinct word."""
+    own: dict[bytes, int] = {}
+    ids = np.fromiter([own.setdefault(w, len(own)) for w in words], np.int64, len(words))
+    return ids, np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+
+
+def count_shingles(ids: np.ndarray) -> int:
+    """Distinct shingles, exactly: pairs of words are numbered, then pairs of pairs counted."""
+    if len(ids) < SHINGLE:
+        return int(len(ids) > 0)
+    pair = ids[:-1] * (int(ids.max()) + 1) + ids[1:]
+    pair = np.unique(pair, return_inverse=True)[1]
+    return len(np.unique(pair[:-2] * (int(pair.max()) + 1) + pair[2:]))
+
+
 def shingle_hashes(words: list[bytes], known: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than a shingle count as one."""
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(SHINGLE, len(words))
+    ids, hashes = numbered(words, known)
+    return hashes_of(ids, hashes)
+
+
+def hashes_of(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    w = hashes[ids]
+    size = min(SHINGLE, len(w))
     h = np.zeros(len(w) - size + 1, np.uint64)
     for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
@@ -107,10 +131,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             n, low = np.zeros(len(texts), np.int64), np.zeros((len(texts), HASHES), np.uint32)
             for k, text in enumerate(texts):
                 words = words_of(text)
-                cls.append(hashlib.md5(b" ".join(words)).digest() if words else None)
+                cls.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
                 if words:
-                    h = shingle_hashes(words, known)
-                    n[k], low[k] = len(h), minima(h)
+                    ids, hashes = numbered(words, known)
+                    n[k], low[k] = count_shingles(ids), minima(hashes_of(ids, hashes))
             sig, bands = pack_bits(low), np.ascontiguousarray(band_keys(low))
             lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.reshape(-1))
             return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cls, pa.binary()), pa.array(n), lists(sig), lists(bands)], schema=out)
@@ -281,7 +305,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         signs = cut(long_signatures(with_ids(docs, "doc_id", ids, "left_semi")), "long")
         facts = classes.select("node", "n", "bands").join(signs, "node")
         rows = rows.join(main, "key").join(facts, "node")
-        a, b = (rows.select("key", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "bands", "long"))) for s in "ab")
+        parts = sizes.groupBy("key").agg(F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
+        rows = rows.join(parts, "key")
+        a = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        a, b = (x.select("key", "part", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "bands", "long"))) for x, s in ((a, "a"), (b, "b")))
         band = F.array_position("bands_a", F.col("key")).cast("int") - 1
         earlier = F.arrays_zip(F.slice("bands_a", F.lit(1), band).alias("x"), F.slice("bands_b", F.lit(1), band).alias("y"))
         meets = (
@@ -291,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             & (estimate(F.col("long_a"), F.col("long_b"), LONG_HASHES) >= percent / 100 - LONG_MARGIN)
             & ~F.exists(earlier, lambda p: p["x"] == p["y"])
         )
-        rest = a.where("comp_a <> main").join(b.drop("main"), "key").where(meets)
+        rest = a.where("comp_a <> main").join(b.drop("main"), ["key", "part"]).where(meets)
         joined(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     tops = classes.select("cls", "node")
     if labels is not None:

@@ -110,6 +110,53 @@ def test_near_duplicates_in_a_family(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_recall_at_the_threshold():
+    """Pairs of sets at exactly 0.8, of 9 to 900 shared elements: hardly any misses all bands or falls under an estimate's margin."""
+    rng = np.random.default_rng(8)
+    missed, cut_short, cut_long, pairs = 0, 0, 0, 0
+    for shared, own in ((8, 1), (80, 10), (800, 100)):
+        for _ in range(1200 if shared < 800 else 300):
+            h = rng.integers(0, 2**63, shared + 2 * own, dtype=np.uint64)
+            sides = [np.sort(np.concatenate([h[:shared], h[shared + k * own :][:own]])) for k in range(2)]
+            low = np.array([minhash.minima(x) for x in sides])
+            keys = minhash.band_keys(low)
+            missed += not (keys[0] == keys[1]).any()
+            for size, margin in ((minhash.HASHES, minhash.MARGIN), (minhash.LONG_HASHES, minhash.LONG_MARGIN)):
+                sig = minhash.pack_bits(np.array([minhash.minima(x, size) for x in sides])).view(np.uint64)
+                differ = sig[0] ^ sig[1]
+                same = sum(bin(int(~(x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))).count("1") for x in differ) / size
+                under = (same - 0.25) / 0.75 < 0.8 - margin
+                cut_short += under and size == minhash.HASHES
+                cut_long += under and size == minhash.LONG_HASHES
+            pairs += 1
+    assert pairs == 2700 and missed <= 2 and cut_short <= 2 and cut_long <= 2
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Unlike texts behind one long common passage share buckets; parts of three rows find the same links."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        own = [f"u{i // 2}_{k}" for k in range(50)]
+        if i % 2:
+            own[int(rng.integers(50))] = "changed"
+        rows.append((i, " ".join([f"p{k}" for k in range(60)] + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = components(rows)
+    assert len({top for _, top in want.values()}) == 30
+    for part in (3, 1024):
+        monkeypatch.setattr(minhash, "PART", part)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_digests_that_collide_stop_the_query(spark, monkeypatch):
+    same = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa")], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("00"))
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(1))
+    with pytest.raises(Exception, match="two texts share a digest"):
+        exact_dedup.exact_dedup(same).collect()
+
+
 def test_bit_estimate_is_near_the_truth(spark):
     known = minhash.WordHash()
     a = [b"w%d" % k for k in range(1000)]
@@ -121,13 +168,44 @@ def test_bit_estimate_is_near_the_truth(spark):
     assert abs(est - 897 / (997 + 997 - 897)) < 0.05
 
 
+def naive_merges(ids, ranks):
+    ids = list(ids)
+    while True:
+        found = [(ranks[p], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in ranks]
+        if not found:
+            return ids
+        r, k = min(found)
+        ids[k : k + 2] = [r]
+
+
+def test_merges_of_any_rank_order():
+    """Random pair tables, where a merge may give way to one of lower rank, in matrices and in rows of their own."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        base = int(rng.integers(2, 4))
+        order = rng.permutation(np.arange(base, base + 40))
+        ranks = {}
+        for r in order.tolist():
+            made = [*range(base), *ranks.values()]
+            ranks.setdefault((int(rng.choice(made)), int(rng.choice(made))), r)
+        left, right = (np.array(x) for x in zip(*ranks, strict=True))
+        r = np.array(list(ranks.values()), np.int32)
+        table = bpe.Merges(left, right, r, r)
+        rows = rng.integers(0, base, (6, int(rng.integers(2, 90)))).astype(np.int32)
+        want = [naive_merges(x, ranks) for x in rows.tolist()]
+        assert [bpe.merge_row(x, table).tolist() for x in rows] == want
+        got = {}
+        bpe.merge_matrix(rows.copy(), table, lambda at, done, got=got: got.update({int(k): [v for v in d.tolist() if v >= 0] for k, d in zip(at, done, strict=True)}))
+        assert [got[k] for k in range(len(rows))] == want
+
+
 def test_byte_bpe_round_trip(docs, odd, empty):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = bpe.byte_bpe(path, public_tokenizers.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
-    for df in (docs.limit(60), odd):
+    for df in (docs, odd):
         texts = [(r["doc_id"], r["text"] or "") for r in df.collect()]
         want = sorted(repr((i, len(e := lib.encode_ordinary(t)), np.array(e, "<u4").tobytes(), t.encode())) for i, t in texts)
         got = sorted(repr((r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"]))) for r in bpe.encode_and_decode(df, path, public_tokenizers.PATTERN).collect())
