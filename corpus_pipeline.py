@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, toxicity, exact dedup, near dedup and packing, each stage over what the last kept."""
+"""The corpus pipeline: language ID, toxicity, exact dedup, near dedup and packing, each stage over what the last kept.
+
+All stages but the last return the rows they keep with all their columns, whatever their names. Rows with a null text have no
+language and go in the first. Rows with a null id are judged like others where a stage judges texts, and stay where it
+compares documents. Rows that repeat an id and its text stay or go together. An empty table passes all stages.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import exact_dedup, langid, minhash, packing, toxicity
-from feedlens.llm.common import cut, fold, table
+from feedlens.llm.common import clear, cut, fold, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+__all__ = ["ORACLE_SQL", "STAGES", "clear", "run"]
+
 STAGES = [("language_id", language), ("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("best_fit_packing", pack)]
 
 #: Trained stages have no SQL form; tests hold each stage against a brute-force version.
@@ -43,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that the stages keep. clear(spark) removes the stages' tables when they are stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)

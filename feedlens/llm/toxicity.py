@@ -28,6 +28,8 @@ from feedlens.llm.common import by_rows, cut
 SAMPLE, ROWS = 6000, 6000
 #: A proposed voter occurs in this share of the toxic documents, and is this many times as frequent there as in clean ones.
 SUPPORT, LIFT = 0.015, 20.0
+#: What the share of clean documents flagged weighs against the share of toxic ones found.
+FALSE_ALARM = 5.0
 #: Lengths of word beginnings that serve as patterns.
 PREFIXES = (3, 4, 5)
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,24 +126,31 @@ def shares(corr: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.linalg.solve((1 - shrink) * corr + shrink * np.eye(len(corr)), np.ones(len(corr))), 0.0, 1.0)
 
 
+def _correlation(centred: np.ndarray) -> np.ndarray:
+    cov = (centred.T @ centred).astype(np.float64) / len(centred)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    corr = cov / np.outer(sd, sd)
+    np.fill_diagonal(corr, 1.0)
+    return corr
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From 0/1 votes of shape (rows, voters) and a first guess: the posterior of toxic per row, each voter's (rate on toxic,
     rate on clean), and the correlations given the class."""
     post, n = start.astype(np.float64), len(votes)
     votes = votes.astype(np.float32)
-    corr = np.eye(votes.shape[1])
-    share = np.ones(votes.shape[1])
+    # A class explains middling correlations and not those near one. Copies of a voter are known by the latter; without
+    # this bound they would found a class of their own, in which they look independent. Powers keep the matrix definite.
+    corr = _correlation(votes - votes.mean(axis=0))
+    share = most = shares(corr**4, n)
     for turn in range(rounds):
         on, off = post.sum(), n - post.sum()
         hit1 = (votes.T @ post.astype(np.float32) + 0.05) / (on + 1)
         hit0 = (votes.T @ (1 - post).astype(np.float32) + 0.01) / (off + 1)
         if turn % 8 == 2:  # correlations given the latent class
             centred = votes - np.outer(post, hit1).astype(np.float32) - np.outer(1 - post, hit0).astype(np.float32)
-            cov = (centred.T @ centred).astype(np.float64) / n
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = cov / np.outer(sd, sd)
-            np.fill_diagonal(corr, 1.0)
-            share = shares(corr, n)
+            corr = _correlation(centred)
+            share = np.minimum(shares(corr, n), most)
         fired = (np.log(hit1) - np.log(hit0)) * share
         silent = (np.log1p(-np.minimum(hit1, 0.999)) - np.log1p(-np.minimum(hit0, 0.999))) * share
         prior = np.clip(on / n, 0.005, 0.5)
@@ -242,12 +251,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
 
 def decision(z: np.ndarray, y: np.ndarray) -> float:
-    """The log odds between two neighbouring rows where most of the toxic share found is left, three times the share of
+    """The log odds between two neighbouring rows where most of the toxic share found is left, FALSE_ALARM times the share of
     false alarms taken off. 0 where one class is missing."""
     if y.all() or not y.any():
         return 0.0
     order = np.argsort(-z, kind="stable")
-    gain = np.cumsum(np.where(y[order], 1 / y.sum(), -3 / (~y).sum()))
+    gain = np.cumsum(np.where(y[order], 1 / y.sum(), -FALSE_ALARM / (~y).sum()))
     ends = np.flatnonzero(np.concatenate([z[order][:-1] > z[order][1:], [True]]))
     best = ends[gain[ends].argmax()]
     below = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1

@@ -301,13 +301,62 @@ def test_language(spark, docs, odd, empty):
     assert {r["doc_id"] for r in langid.keep_identified(odd, filters).collect()}.isdisjoint({1, 2, 3, 16})
 
 
+def brute_grams(text):
+    """The n-grams of each word between blanks, letters only, as strings."""
+    c = "".join(x if x.isalpha() else " " for x in (text or "").lower()).split()
+    out = []
+    for w in c:
+        padded = f" {w} "
+        out += [padded[k : k + n] for n in langid.ORDERS for k in range(len(padded) - n + 1) if padded[k : k + n] != " " and not (n == 2 and padded[k : k + n].isspace())]
+    return out
+
+
+def test_language_scores_against_plain_sets(spark):
+    """Scores and languages from sets of strings; all n-grams of the filter's texts, rare and shared ones too, are claimed."""
+    rng = np.random.default_rng(4)
+    stems = {"a": "ka lo mi ne ru ta".split(), "b": "ka sho vri ne zul ta".split(), "c": "бо ка ли".split()}
+    rows = [(k, " ".join("".join(rng.choice(stems[x], 3)) for _ in range(30)) + (" 12, x-y" if k % 3 else ""), x) for k, x in enumerate(list("abc") * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(df, F.lit(True))
+    trial = {r["id"] for r in df.select(F.col("doc_id").alias("id"), (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(langid.TRIAL)) == 0).alias("t")).collect() if r["t"]}
+    own = {x: {g for i, t, y in rows if y == x and i not in trial for g in brute_grams(t)} for x in "abc"}
+    for i, text, lang in [*rows, (-1, "Kaka lozul! бо", None), (-2, "x", None), (-3, "КАЛИ", None)]:
+        found = brute_grams(text)
+        assert sum(len(langid.grams(p)) for p in langid.steps(text)) == len(found)
+        share = {x: sum(g in own[x] for g in found) / len(found) for x in "abc"}
+        got, score = filters.predict(text)
+        assert abs(score - max(share.values())) < 0.05 + 3 / len(found)
+        assert share[got] >= max(share.values()) - 0.05 - 3 / len(found)
+        assert lang is None or got == lang
+    for x, grams_ in own.items():
+        bit = int(filters.bit(filters.languages.index(x)))
+        h = np.concatenate([langid.grams(p) for _, t, y in rows if y == x for p in [t]])
+        assert grams_ and ((filters.find(h)[0] & bit) > 0).mean() > 0.95
+
+
+def test_unseen_language_is_rejected(spark, docs):
+    filters = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
+    odd_texts = ["Tämä on suomenkielinen lause jossa on monta sanaa ja pitkiä yhdyssanoja", "これは日本語の文章です", "Это предложение написано по-русски", "1234 !!", None]
+    rows = spark.createDataFrame([(k, x, 1) for k, x in enumerate(odd_texts)], "doc_id long, text string, score int")
+    assert langid.keep_identified(rows, filters).count() == 0 and filters.least > 0.7
+    assert langid.keep_identified(docs, filters).count() > 0.97 * docs.where("text RLIKE '[a-z]'").count()
+
+
+def test_steps_of_a_long_text(monkeypatch):
+    text = "Été straße, " * 400 + "x" * 500 + " fin"
+    whole = np.sort(np.concatenate([langid.grams(p) for p in langid.steps(text)]))
+    monkeypatch.setattr(langid, "STEP", 37)
+    assert len(list(langid.steps(text))) > 50 and (np.sort(np.concatenate([langid.grams(p) for p in langid.steps(text)])) == whole).all()
+
+
 def test_bit_slices_return_all_languages():
-    f = langid.Filters(["a", "b"], np.zeros((1, 4096), np.uint64), np.zeros(2), "a")
-    h = langid.grams("word")
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for p in range(langid.PROBES):
-        f.slices[0, ((h + step * np.uint64(p)) & np.uint64(4095)).astype(int)] |= np.uint64(3)
-    assert (f.find(h) == 3).all()
+    for n in (2, 9, 70):
+        f = langid.Filters.empty([f"l{k}" for k in range(n)], 4096, "l0")
+        h = langid.grams("word")
+        for k in range(0, n, 2):
+            f.put(k, h)
+        masks = f.find(h)
+        assert all(((masks[k // 64] & f.bit(k)) > 0).all() == (k % 2 == 0) for k in range(n))
 
 
 def brute_licenses(text):
@@ -372,6 +421,50 @@ def test_toxicity(spark, docs, odd, empty):
     assert 0 <= toxicity.train(docs, labels.limit(0), F.lit(True)).score("text") <= 1
 
 
+def test_label_model_finds_accuracies_and_correlations():
+    """Votes drawn from known rates: three voters that copy one another count about as one, and rates are found without labels."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    truth = rng.random(n) < 0.15
+    rates = [(0.8, 0.02), (0.6, 0.01), (0.5, 0.03), (0.7, 0.05), (0.4, 0.01), (0.3, 0.02)]
+    votes = np.array([np.where(truth, rng.random(n) < a, rng.random(n) < b) for a, b in rates]).T
+    copies = np.stack([votes[:, 3], votes[:, 3], votes[:, 3] & (rng.random(n) < 0.98)], axis=1)
+    votes = np.concatenate([votes, copies], axis=1).astype(float)
+    post, hit, corr = toxicity.label_model(votes, np.where(votes.sum(axis=1) > 1, 0.9, 0.05))
+    assert ((post > 0.5) == truth).mean() > 0.97 and abs(post.mean() - truth.mean()) < 0.03
+    for k, (a, b) in enumerate(rates):
+        assert abs(hit[0, k] - a) < 0.12 and abs(hit[1, k] - b) < 0.05
+    share = toxicity.shares(corr, n)
+    assert 0.7 < share[[3, 6, 7, 8]].sum() < 2 and (share[[0, 1, 2, 4, 5]] > 0.6).all()
+
+
+def test_linear_and_decision_against_plain_loops():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 6)) < 0.3).astype(float)
+    target = 1 / (1 + np.exp(-(x @ np.array([3.0, -2, 0, 1, 2, -1]) - 1)))
+    w, b = toxicity.linear(x, target)
+    on = np.sqrt(np.where(target > 0.5, 150 / target.sum(), 150 / (300 - target.sum())))
+    loss = lambda w, b: np.mean(on * -(target * np.log(p := 1 / (1 + np.exp(-(x @ w + b)))) + (1 - target) * np.log(1 - p))) + 5e-4 * (w @ w)
+    assert all(loss(w, b) <= loss(w + 0.3 * rng.standard_normal(6), b + 0.3 * rng.standard_normal()) for _ in range(50))
+    z, y = rng.normal(0, 1, 80) + np.repeat([1.5, 0.0], 40), np.repeat([True, False], 40)
+    value = lambda t: (z[y] > t).mean() - toxicity.FALSE_ALARM * (z[~y] > t).mean()
+    assert value(toxicity.decision(z, y)) >= max(map(value, [*z, *(z + 1e-9), *(z - 1e-9)])) - 1e-9
+
+
+def test_toxicity_scores_are_those_of_dense_rows(docs):
+    model = toxicity.Model.over([*toxicity.LEXICON, *(n for n, _, _ in toxicity.PATTERNS), "alp*", "beta", "gamm*"])
+    model.weights = np.random.default_rng(2).normal(0, 1, len(model.features) + 2)
+    for text in [r["text"] for r in docs.limit(30).collect()] + [None, "", "You are an idiot. Shut up, idiot!", "alpha beta BETA gamma", "such trash; go to hell"]:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        n = collections.Counter(w for w in words if w in model.features)
+        n.update(w[:k] + "*" for w in words for k in toxicity.PREFIXES if len(w) > k and w[:k] + "*" in model.features)
+        n.update({name: c for name, _, p in toxicity.PATTERNS if (c := len(p.findall((text or "").lower())))})
+        z = model.bias + sum(model.weights[model.features[f]] * (1 + 0.5 * np.log(c)) for f, c in n.items())
+        z += model.weights[-2] * (not any(f[0] != "~" and f[-1] != "*" for f in n)) + model.weights[-1] * (not any(f[0] == "~" or f[-1] == "*" for f in n))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-6
+        assert abs(model.score(text) - 1 / (1 + np.exp(-(model.row(model.counts(text)) @ model.weights + model.bias)))) < 1e-5
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -397,6 +490,69 @@ def test_quality_rules(docs, odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def brute_limits(rows):
+    """rows: (lang, source, shares by metric) of texts with words. The limit of each group, from sorted values."""
+    floor = lambda v: (v >> (low := max(v.bit_length() - 7, 0))) << low
+    out = {}
+
+    def high(values):
+        values = sorted(map(floor, values))
+        return values[-(-quality_rules.KEEP * len(values) // 100) - 1]
+
+    for m in quality_rules.METRICS:
+        everything = high([r[2][m] for r in rows])
+        for lang in {r[0] for r in rows}:
+            of = [r for r in rows if r[0] == lang]
+            pull = quality_rules.PULL
+            wide = (len(of) * high([r[2][m] for r in of]) + pull * everything) // (len(of) + pull)
+            for source in {r[1] for r in of}:
+                own = [r[2][m] for r in of if r[1] == source]
+                out[lang, source, m] = (len(own) * high(own) + pull * wide) // (len(own) + pull)
+    return out
+
+
+def test_limits_follow_the_groups(spark, odd):
+    """Sources that differ have limits that differ; limits, shares and verdicts against plain sorted lists."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(600):
+        source = None if k % 7 == 0 else "abc"[k % 3]
+        marks = {"a": 0.0, "b": 0.3, "c": 0.05}.get(source, 0.1)
+        words = ["".join(rng.choice(list("abcdeXY"), int(rng.integers(2, 9)))) + ("#" if rng.random() < marks else "") for _ in range(int(rng.integers(5, 60)))]
+        lines = [" ".join(words[j : j + 7]) for j in range(0, len(words), 7)]
+        rows.append((k, "\n".join(lines + lines[:1] * int(rng.integers(0, 3))), "\0null" if k % 2 else None, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    for frame in (df, odd):
+        given = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in frame.collect()]
+        share = {}
+        for _, t, lang, source in given:
+            n, chars, symbols, dup, _ = brute_counts(t)
+            t = t or ""
+            letters, upper, lines = sum(c.isalpha() for c in t), sum(c.isupper() for c in t), len([x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")])
+            pairs = {"symbols": (symbols, n), "dup_lines": (dup, lines), "upper": (upper, letters), "word_len": (chars, n)}
+            share[t, lang, source] = n, {m: 1000 * a // b if b else 0 for m, (a, b) in pairs.items()}
+        limits = brute_limits([(x, y, share[t or "", x, y][1]) for _, t, x, y in given if share[t or "", x, y][0]])
+        want = []
+        for i, t, lang, source in given:
+            n, chars, symbols, dup, repeat = brute_counts(t)
+            shares = share[t or "", lang, source][1]
+            failed = n < 10 or 100 * repeat > 20 * n
+            kept = not failed and all(shares[m] <= limits[lang, source, m] for m in shares)
+            want.append((i, n, chars, symbols, dup, repeat, failed, kept, *shares.values(), *(limits.get((lang, source, m)) for m in shares)))
+        got = [tuple(r) for r in quality_rules.quality_rules(frame).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        if frame is df:
+            assert len({limits[None, s, "symbols"] for s in ("a", "b", "c", None)}) == 4 and 0 < sum(w[7] for w in want) < 600
+
+
+def test_repeated_words_of_long_and_short_texts():
+    rng = np.random.default_rng(1)
+    for n in (0, 4, 5, 6, 30, 500):
+        for words in (2, 6, 100):
+            text = " ".join(f"w{k}" for k in rng.integers(0, words, n))
+            assert quality_rules.count_text(text)[:5] == brute_counts(text)
+
+
 def test_quality_classifier(spark, odd, empty):
     rng = np.random.default_rng(3)
     good = lambda: " ".join(rng.choice(WORDS, 60))
@@ -504,6 +660,57 @@ def test_main_text_of_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+P = "This is one ordinary paragraph of an article, with some words in it."
+PAGES = [
+    (f"<html><body><article class='post has-comments no-sidebar'><p>{P}</p></article></body></html>", P),
+    (f"<body class='single-post with-sidebar has-banner'><p>{P}</p></body>", P),
+    (f"<html><head><title>x</title><p>{P}</p></html>", P),
+    (f"<head><title>x</title></head>{P}", P),
+    (f"<head><meta charset=u>{P}<p>Second one, as long as the first one.</p>", f"{P}\nSecond one, as long as the first one."),
+    (f"<p class=it's>{P}</p>", P),
+    (f"<p title='a > b' data-x=\"<p>\">{P}</p>", P),
+    (f"<p title=\"unclosed>{P}</p>", P),
+    (f"<article><p>{P}</p><p>See <math><mi>x</mi></math> there <object>obj</object></p><p><canvas>can</canvas> vas</p><noscript>no script</noscript></article>", f"{P}\nSee x there obj\ncan vas\nno script"),
+    (f"<div class='content-sidebar-wrap'><main><p>{P}</p></main><aside>{P} {P} {P} {P}</aside></div>", P),
+    (f"<form id=aspnetForm><div class=header>Site</div><p>{P}</p><div class=footer>foot</div></form>", P),
+    (f"<div id=content><p>{P}</p></div><div class='comments-area'><ol><li class=comment><p>{P} {P}</p></li></ol></div>", P),
+    (f"<article><p>{P}</p><aside><p>{P} {P}</p></aside><footer>By me</footer></article>", P),
+    (f"<div class=sidebar-content><p>{P} {P}</p></div><div class=main-content><p>{P}</p></div>", P),
+    (f"<div class='cookie-notice'>We use cookies. {P}</div><p>{P}</p><div role=navigation>Home</div><div class='advert'>{P}</div>", P),
+    (f"<article><h1>T</h1><p>{P}</p><ul><li>one</li><li>two</li></ul><p><a href=z>Only a link</a></p></article>", f"T\n{P}\none\ntwo\nOnly a link"),
+    ("<p>AT&<b>amp;</b> a < b &lt;i&gt; <span>c</p></span> tail of the text", "AT&amp; a < b <i> c\ntail of the text"),
+    ("<nav>Home</nav>", ""),
+    ("<ul class=menu><li><a href=x>Home</a><li><a href=y>About</a></ul>", ""),
+    ("<script>if (a < b) '</p>'</script ><style>p{}</style><textarea><p>x</p></textarea>", ""),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_main_text_of_everyday_pages(k):
+    assert html_text.main_text(PAGES[k][0]) == PAGES[k][1]
+
+
+def test_fitted_weights_stay_near_the_prior(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    weights = html_text.fit(pages)
+    assert weights != html_text.PRIOR and all(0.5 <= w / p <= 2 for w, p in zip(weights, html_text.PRIOR, strict=True))
+    assert [html_text.main_text(page, weights) for page, _ in PAGES] == [want for _, want in PAGES]
+    assert html_text.fit(pages.limit(0)) == html_text.PRIOR
+
+
+def test_page_graphs_are_cut_in_linear_time():
+    import time
+
+    rng = np.random.default_rng(0)
+    kinds = [f"<p>{P}</p>", "<div class=sidebar><p>word</p></div>", "<div><p><a href=x>link link</a></p></div>", "<p>w w</p>", "<div>x<span><div>y</div>z</span></div>", "<ul><li><a href=x>yy</a></ul>"]
+    found, tree = html_text.blocks_of("".join(kinds[k] for k in rng.integers(0, 6, 8000)))
+    start = time.perf_counter()
+    html_text.label(found, tree, html_text.PRIOR)
+    assert len(found) >= 8000 and time.perf_counter() - start < 2  # 0.1 s here
+    deep = time.perf_counter()
+    assert html_text.main_text("<div>w" * 20_000).count("\n") == 19_999 and time.perf_counter() - deep < 5
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -518,25 +725,61 @@ def test_min_cut_is_minimal():
         assert abs(cost(html_text.min_cut(odds, edges)) - best) < 1e-6
 
 
+def plain_stage(name, rows, spark, docs, small):
+    """The rows a stage keeps, by a loop over texts. rows: (doc_id, text)."""
+    if name == "language_id":
+        filters = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
+        return [i for i, t in rows if (got := filters.predict(t))[0] != "und" and got[1] >= filters.least]
+    if name == "toxicity":
+        model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
+        return [i for i, t in rows if model.score(t) < 0.5]
+    if name == "exact_dedup":
+        keep = {}
+        for i, t in rows:
+            keep[ascii_lower(t)] = max(keep.get(ascii_lower(t), -1), -1 if i is None else i)
+        return [i for i, t in rows if i is None or keep[ascii_lower(t)] == i]
+    if name == "near_dedup":
+        tops = components([r for r in rows if r[0] is not None])
+        return [i for i, _ in rows if i is None or tops[i][1] == i]
+    return [i for i, _ in rows]
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in pipeline.STAGES:
-        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
-        if name == "exact_dedup":
-            keep = {}
-            for r in docs.collect():
-                key = ascii_lower(r["text"])
-                keep[key] = max(keep.get(key, -1), r["doc_id"])
-            want = set(keep.values())
-        elif name == "near_dedup":
-            want = {i for i, (_, top) in components([(r["doc_id"], r["text"]) for r in docs.collect()]).items() if i == top}
-        else:
-            want = None
+        rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        want = plain_stage(name, rows, spark, docs, small)
         docs = pipeline.cut(stage(spark, docs, small), name)
-        got = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert got <= set(ids) and (want is None or got == want)
-        assert name == "best_fit_packing" or docs.columns == columns
-    assert 0.5 * before < len(got) <= before
+        got = docs.collect()
+        if name != "best_fit_packing":
+            assert sorted(r["doc_id"] for r in got) == sorted(want) and docs.columns == columns
+    assert 0.5 * before < len({r["doc_id"] for r in got}) == len(rows)
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert {i: sum(r["length"] for r in got if r["doc_id"] == i) for i, _ in rows} == {i: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    pipeline.clear(spark)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, small):
+    import corpus_pipeline as pipeline
+
+    for df in (odd, empty):
+        docs = df
+        for name, stage in pipeline.STAGES:
+            docs = pipeline.cut(stage(spark, docs, small), name)
+            assert name == "best_fit_packing" or docs.columns == df.columns
+        assert (docs.count() > 0) == (df is odd)
+
+
