@@ -28,6 +28,8 @@ from feedlens.llm.common import by_rows, cut
 SAMPLE, ROWS = 6000, 6000
 #: A proposed voter occurs in this share of the toxic documents, and is this many times as frequent there as in clean ones.
 SUPPORT, LIFT = 0.015, 20.0
+#: A voter that does not fire mostly abstains (it may be of another language): so much of its silence is evidence.
+QUIET = 0.3
 #: What the share of clean documents flagged weighs against the share of toxic ones found.
 FALSE_ALARM = 5.0
 #: Lengths of word beginnings that serve as patterns.
@@ -134,7 +136,7 @@ def _correlation(centred: np.ndarray) -> np.ndarray:
     return corr
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40, quiet: float = QUIET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From 0/1 votes of shape (rows, voters) and a first guess: the posterior of toxic per row, each voter's (rate on toxic,
     rate on clean), and the correlations given the class."""
     post, n = start.astype(np.float64), len(votes)
@@ -152,9 +154,9 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
             corr = _correlation(centred)
             share = np.minimum(shares(corr, n), most)
         fired = (np.log(hit1) - np.log(hit0)) * share
-        silent = (np.log1p(-np.minimum(hit1, 0.999)) - np.log1p(-np.minimum(hit0, 0.999))) * share
         prior = np.clip(on / n, 0.005, 0.5)
-        z = np.log(prior / (1 - prior)) + votes @ (fired - silent) + silent.sum()
+        silent = (np.log1p(-np.minimum(hit1, 0.999)) - np.log1p(-np.minimum(hit0, 0.999))) * share
+        z = np.log(prior / (1 - prior)) + votes @ fired + quiet * ((1 - votes) @ silent)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         moved = np.abs(new - post).max()
         post = new

@@ -430,7 +430,7 @@ def test_label_model_finds_accuracies_and_correlations():
     votes = np.array([np.where(truth, rng.random(n) < a, rng.random(n) < b) for a, b in rates]).T
     copies = np.stack([votes[:, 3], votes[:, 3], votes[:, 3] & (rng.random(n) < 0.98)], axis=1)
     votes = np.concatenate([votes, copies], axis=1).astype(float)
-    post, hit, corr = toxicity.label_model(votes, np.where(votes.sum(axis=1) > 1, 0.9, 0.05))
+    post, hit, corr = toxicity.label_model(votes, np.where(votes.sum(axis=1) > 1, 0.9, 0.05), quiet=1.0)
     assert ((post > 0.5) == truth).mean() > 0.97 and abs(post.mean() - truth.mean()) < 0.03
     for k, (a, b) in enumerate(rates):
         assert abs(hit[0, k] - a) < 0.12 and abs(hit[1, k] - b) < 0.05
@@ -438,6 +438,19 @@ def test_label_model_finds_accuracies_and_correlations():
     assert 0.7 < share[[3, 6, 7, 8]].sum() < 2 and (share[[0, 1, 2, 4, 5]] > 0.6).all()
 
 
+def test_label_model_with_voters_of_one_language_each():
+    """Four voters of each of two languages, and one that says clean where none fires."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    truth, second = rng.random(n) < 0.12, rng.random(n) < 0.3
+    own = lambda mine: np.array([np.where(truth, rng.random(n) < 0.6, rng.random(n) < 0.01) & mine for _ in range(4)]).T
+    votes = np.concatenate([own(~second), own(second)], axis=1)
+    none = ~votes.any(axis=1)
+    post, _, _ = toxicity.label_model(np.concatenate([votes, none[:, None]], axis=1).astype(float), np.where(none, 0.05, 0.9))
+    for mine in (second, ~second):
+        assert ((post > 0.5) == truth)[mine & truth].mean() > 0.95 and ((post > 0.5) == truth)[mine & ~truth].mean() > 0.93
+
+
 def test_linear_and_decision_against_plain_loops():
     rng = np.random.default_rng(5)
     x = (rng.random((300, 6)) < 0.3).astype(float)
