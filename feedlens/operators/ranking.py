@@ -230,6 +230,7 @@ def order_by(keys: Sequence[str]) -> list[Column]:
 def feed(ranked: DataFrame, n: int, bucket: Column | None = None) -> DataFrame:
     """The first n of the diversified order, with position from 1; the position is numbered over n rows only."""
     rows = diversify_order(ranked, F.coalesce("company", "source_platform") if bucket is None else bucket)
+    rows = rows.where(F.col("_round") <= n)  # a bucket has no more than n places among the first n
     top = rows.orderBy(*order_by(ROUND_ROBIN)).limit(n)
     return top.withColumn("position", F.row_number().over(W.orderBy(*order_by(ROUND_ROBIN))))
 

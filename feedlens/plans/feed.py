@@ -9,6 +9,7 @@ from feedlens.functions import pay
 from feedlens.operators import ranking as R
 from feedlens.plans import sqlparts as S
 from feedlens.sources import views
+from feedlens.sources.shared import stored
 
 PROFILE = R.Profile(major="A", interests=("X", "Y", "Z"), home_region="Canada", levels=("Intern",))
 
@@ -26,8 +27,8 @@ def derived(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
-    """The text is dropped as soon as it is classified; what is shuffled from there on is narrow."""
-    return R.personalize(derived(spark, d).drop("content_text"), PROFILE, as_of())
+    """The text is dropped as soon as it is classified, once; bars and scores read the narrow rows."""
+    return R.personalize(stored(derived(spark, d).drop("content_text"), "derived"), PROFILE, as_of())
 
 
 def feed_top400(spark: SparkSession, d: str) -> DataFrame:

@@ -93,7 +93,7 @@ def boards(spark: SparkSession, d: str) -> DataFrame:
 def continued(spark: SparkSession, d: str) -> DataFrame:
     li = views.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"))
     rows = li.withColumn("company", F.when(F.col("l_linenumber") % 3 == 1, F.col("s").cast("string")).otherwise("↳"))
-    return L.continued_rows(rows, "l_orderkey", "l_linenumber", "company", most=4).select("l_orderkey", "l_linenumber", "company")
+    return L.continued_rows(rows, "l_orderkey", "l_linenumber", "company").select("l_orderkey", "l_linenumber", "company")
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +186,7 @@ UNION ALL SELECT 'lever', {_U}, CASE WHEN o_orderkey % 2 = 0 THEN 'Internship' E
 UNION ALL SELECT 'ashby', {_U}, 'Internship', {_D}, NULL, {_PAY}, {_UNIT} FROM orders WHERE o_orderkey % 2 <> 0
 UNION ALL SELECT 'tenant', concat('https://t1.example.com/j/', CAST(k AS VARCHAR)), CASE WHEN min(t) = 'Clerk' THEN 'Job' ELSE 'Internship' END, '2000-05-29', NULL, NULL, NULL FROM (SELECT o_orderkey % 500 AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'Intern, ops' ELSE 'Clerk' END AS t FROM orders) GROUP BY k""",
     "continued_rows": """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, l_linenumber, company FROM (SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber % 3 = 1 THEN CAST(s AS VARCHAR) END IGNORE NULLS) OVER w AS company, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE n <= 4""",
+SELECT l_orderkey, l_linenumber, company FROM (SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber % 3 = 1 THEN CAST(s AS VARCHAR) END IGNORE NULLS) OVER w AS company, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE n <= 150""",
     "latest_issues": f"""WITH i AS (SELECT DISTINCT o_orderdate AS d FROM orders WHERE o_orderdate <= TIMESTAMP '2000-06-01 12:00:00' ORDER BY d DESC LIMIT 3), k AS (SELECT d FROM i WHERE d >= TIMESTAMP '2000-05-25 12:00:00' OR d = (SELECT max(d) FROM i))
 SELECT o_orderkey, {_D} AS day FROM orders WHERE o_orderdate IN (SELECT d FROM k)""",
     "board_registry": """WITH b AS (SELECT n AS r, CASE WHEN s_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS ats, CASE WHEN s_suppkey % 11 <> 0 THEN concat(CASE WHEN n = 2 THEN 'S' ELSE 's' END, CAST(s_suppkey % 40 AS VARCHAR)) END AS slug, concat(CAST(n AS VARCHAR), '-', s_name) AS name

@@ -75,7 +75,7 @@ def demands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    foc = M.focus(mining.parts(spark, d), {"user": 3.0, "assistant": 1.0}, mining.STOPS, most=40)
+    foc = M.focus(mining.parts(spark, d), {"user": 3.0, "assistant": 1.0}, mining.STOPS)
     b = bullets(spark, d)
     ech = M.echo(b.select(F.col("bullet").alias("id"), "url", "text"), foc, mining.STOPS)
     return X.bullet_relevance(b, demands(spark, d), ech)
@@ -98,7 +98,7 @@ def selected(spark: SparkSession, d: str) -> DataFrame:
 
 def tailored(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d)
-    kept = s.where("bullet < 4").select("url", "bullet")
+    kept = s.where(F.size("covered") >= 2).select("url", "bullet")
     return X.coverage_report(kept, s, demands(spark, d))
 
 
@@ -121,7 +121,7 @@ def stream_marks(spark: SparkSession, d: str) -> DataFrame:
     schema = views.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
     flag = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "error", "dismissed").when(F.col("event_type") == "view", "seen")
-    rows = events.select("user_id", (F.col("event_id") % 50).alias("url"), flag.alias("flag"), (F.col("value") > 5).alias("on"), "ts", "event_id").where("flag IS NOT NULL")
+    rows = events.select("user_id", (F.col("event_id") % state.n_documents(spark, d)).alias("url"), flag.alias("flag"), (F.col("value") > 5).alias("on"), "ts", "event_id").where("flag IS NOT NULL")
     path = ingest.fold_stream(rows, ingest.last_event_state(["user_id", "url", "flag"], ["ts", "event_id"], ["on"]), ingest.shared_folder(spark, "marks"))
     got = L.marks(spark.read.parquet(path), ["user_id", "url"], "flag", "on", "ts")
     return got.select("user_id", "url", *(F.date_format(f"{c}_at", "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("saved", "dismissed", "seen")))
@@ -167,10 +167,10 @@ CASE WHEN host IS NOT NULL AND NOT contains(url, '/search') AND NOT contains(url
     "bullet_relevance": f"WITH {_REL} SELECT bullet, url, round(relevance, 4) AS relevance, array_to_string(covered, ',') AS covered FROM rel",
     "promote_entries": f"""WITH {_REL}, en AS (SELECT url, bullet // 4 AS pos, max(relevance) + 0.3 * (sum(relevance) - max(relevance)) AS s FROM rel GROUP BY 1, 2)
 SELECT url, pos, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN url % 2 = 0 THEN -round(s, 6) ELSE 0 END, pos) AS place, round(s, 4) AS entry_score FROM en""",
-    "tailoring_coverage": f"""WITH {_REL}, hs AS (SELECT url, list_distinct(flatten(list(covered))) AS has FROM rel WHERE bullet < 4 GROUP BY url), ask AS (SELECT url, list(skill ORDER BY emphasis, skill) AS asked FROM dem GROUP BY url)
+    "tailoring_coverage": f"""WITH {_REL}, hs AS (SELECT url, list_distinct(flatten(list(covered))) AS has FROM rel WHERE len(covered) >= 2 GROUP BY url), ask AS (SELECT url, list(skill ORDER BY emphasis, skill) AS asked FROM dem GROUP BY url)
 SELECT ask.url, len(asked) AS required, len(list_filter(asked, lambda x: list_contains(coalesce(has, []), x))) AS covered, array_to_string(list_filter(asked, lambda x: NOT list_contains(coalesce(has, []), x)), ',') AS missing FROM ask LEFT JOIN hs ON hs.url = ask.url""",
     "variant_overrides": """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN p_brand ELSE p_name END AS text, CASE WHEN p_partkey % 9 = 0 THEN true ELSE p_partkey % 2 = 0 END AS included,
 CASE WHEN p_partkey % 15 = 0 THEN p_partkey ELSE 2147483647 END AS place, p_partkey % 6 = 0 AS own FROM part""",
-    "stream_marks": "WITH m AS (" + state.ORACLES["user_marks"].replace("WITH e AS", "WITH e AS", 1) + ") SELECT m.* FROM m WHERE EXISTS (SELECT 1 FROM events v WHERE v.user_id = m.user_id AND v.event_id % 50 = m.url AND v.event_type IN ('purchase', 'error', 'view'))",
+    "stream_marks": "WITH m AS (" + state.ORACLES["user_marks"].replace("WITH e AS", "WITH e AS", 1) + ") SELECT m.* FROM m WHERE EXISTS (SELECT 1 FROM events v WHERE v.user_id = m.user_id AND v.event_id % (SELECT count(*) FROM documents) = m.url AND v.event_type IN ('purchase', 'error', 'view'))",
     "stream_upsert": state.ORACLES["ranked_upsert"],
 }

@@ -37,7 +37,7 @@ def line_blocks(spark: SparkSession, d: str) -> DataFrame:
     lines = views.table(spark, d, "documents").select(F.col("doc_id").alias("url"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where("text <> ''")
     n = F.col("url") + F.col("line")
     head = F.when(n % 7 == 0, "Requirements:").when(n % 7 == 3, "What we offer:").when(n % 11 == 5, "Your duties")
-    return lines.select("url", "line", F.coalesce(head, F.substring("text", 1, 60)).alias("text"), (head.isNotNull() & head.endswith(":")).alias("heading"), (head.isNull() & (n % 3 == 0)).alias("bullet"))
+    return lines.select("url", "line", F.coalesce(head, F.col("text")).alias("text"), (head.isNotNull() & head.endswith(":")).alias("heading"), (head.isNull() & (n % 3 == 0)).alias("bullet"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -57,12 +57,12 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def focus(spark: SparkSession, d: str) -> DataFrame:
-    got = M.focus(parts(spark, d), {"user": 3.0, "assistant": 1.0}, STOPS, most=40)
+    got = M.focus(parts(spark, d), {"user": 3.0, "assistant": 1.0}, STOPS)
     return got.select("url", "term", F.round("weight", 4).alias("weight"))
 
 
 def echo(spark: SparkSession, d: str) -> DataFrame:
-    foc = M.focus(parts(spark, d), {"user": 3.0, "assistant": 1.0}, STOPS, most=40)
+    foc = M.focus(parts(spark, d), {"user": 3.0, "assistant": 1.0}, STOPS)
     c = views.table(spark, d, "conversations").where("role = 'user'")
     got = M.echo(c.select(F.col("turn").alias("id"), F.col("conv_id").alias("url"), "text"), foc, STOPS)
     return got.select("id", "url", F.round("echo", 4).alias("echo"), "shared")
@@ -108,7 +108,7 @@ t4 AS (SELECT *, CASE WHEN NOT regexp_matches(gap, '[.,;:!?\\n()|]') THEN lead(s
 _FOCUS = f"""parts AS (SELECT struct_pack(url := conv_id, part := role) AS g, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, role), {_terms_sql("parts")},
 c AS (SELECT g, term, sum(n) AS n FROM (SELECT g, stem AS term, 1 AS n FROM t5 UNION ALL SELECT g, concat(stem, ' ', nxt), 2 FROM t5 WHERE nxt IS NOT NULL) GROUP BY g, term),
 r AS (SELECT g.url AS url, term, round(sum(CASE g.part WHEN 'user' THEN 3.0 WHEN 'assistant' THEN 1.0 END * (1 + ln(n))), 9) AS raw FROM c GROUP BY 1, 2),
-f AS (SELECT url, term, raw / max(raw) OVER (PARTITION BY url) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY raw DESC, term) AS k FROM r) WHERE k <= 40)"""
+f AS (SELECT url, term, raw / max(raw) OVER (PARTITION BY url) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY raw DESC, term) AS k FROM r) WHERE k <= 400)"""
 
 
 def _section(h: str) -> str:
@@ -126,7 +126,7 @@ ORACLES = {
     "skill_demand_tight": f"WITH {_demand_sql("CASE WHEN long_ THEN contains(low, 'enth') ELSE contains(low, 'ent') END", True)} SELECT url, skill, round(weight, 4) AS weight, emphasis FROM dem",
     "demand_coverage": f"WITH {_demand_sql("contains(low, 'ent')", False)} SELECT url, CASE WHEN count(*) >= 2 THEN round(sum(CASE WHEN skill IN ('s1', 's2') THEN weight ELSE 0 END) / sum(weight), 4) END AS coverage, count(*) AS asked, count(*) FILTER (skill IN ('s1', 's2')) AS have FROM dem GROUP BY url",
     "sections": f"""WITH {_RAW}, h AS (SELECT url, line, text, CASE WHEN (url + line) % 7 = 0 THEN 'Requirements:' WHEN (url + line) % 7 = 3 THEN 'What we offer:' WHEN (url + line) % 11 = 5 THEN 'Your duties' END AS head FROM l WHERE text <> ''),
-b AS (SELECT url, line, coalesce(head, substr(text, 1, 60)) AS text, coalesce(ends_with(head, ':'), false) AS heading, head IS NULL AND (url + line) % 3 = 0 AS bullet FROM h), {_SECTIONS}
+b AS (SELECT url, line, coalesce(head, text) AS text, coalesce(ends_with(head, ':'), false) AS heading, head IS NULL AND (url + line) % 3 = 0 AS bullet FROM h), {_SECTIONS}
 SELECT url, section, count(*) AS n, min(line) AS first, max(line) AS last FROM z WHERE n_ <= 120 GROUP BY url, section""",
     "plain_sections": f"""WITH {_RAW}, b0 AS (SELECT url, line, trim(regexp_replace(regexp_replace(text, '^\\s*[-*•]\\s+', ''), '\\s+', ' ', 'g')) AS text, regexp_matches(text, '^\\s*[-*•]\\s+') AS bullet FROM l),
 b AS (SELECT *, NOT bullet AND ends_with(text, ':') AND strlen(text) <= 90 AS heading FROM b0 WHERE text <> ''), {_SECTIONS}

@@ -78,7 +78,7 @@ def readers(spark: SparkSession, d: str) -> DataFrame:
 
 def clocks(spark: SparkSession, d: str) -> DataFrame:
     """Staleness, failure and the hour bucket, from the event log as runs."""
-    e = views.table(spark, d, "events").select(F.col("ts").alias("run_at"), (F.col("event_type") != "error").alias("ok")).where(F.col("ts") < F.lit("2024-01-20").cast("timestamp"))
+    e = views.table(spark, d, "events").select(F.col("ts").alias("run_at"), (F.col("event_type") != "error").alias("ok"))
     stale, failed = P.is_stale(e, as_of()), P.all_failed(e)
     return stale.crossJoin(F.broadcast(failed)).withColumn("bucket", F.date_format(dates.hour_bucket(as_of()), "yyyy-MM-dd HH:mm"))  # one row each
 
@@ -111,10 +111,10 @@ def legacy_home(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_union(spark: SparkSession, d: str) -> DataFrame:
-    """Ingest of one batch: listings of three sources in order, derived columns, first copy by url."""
+    """Ingest of one batch: the listings of src2, then those of all sources, derived columns, first copy by url."""
     t = views.items(spark, d)
     base = t.select("url", "title", "content_text", "location", "company", "source_platform")
-    both = E.ordered_union([base.where("source_platform = 'src2'"), base.where("source_platform IN ('src1', 'src2')")])
+    both = E.ordered_union([base.where("source_platform = 'src2'"), base])
     once = E.first_wins(both, "url", F.struct("source_rank", "title"))
     got = E.derive_on_ingest(once, S.MAJORS, S.BANDS)
     return got.select("url", "discipline", "company", "seniority", F.array_join("location_tags", ",").alias("tags"), "source_rank")
@@ -124,7 +124,7 @@ def has_text(spark: SparkSession, d: str) -> DataFrame:
     c = views.table(spark, d, "conversations")
     rows = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("  ").alias("description"), F.array().cast("array<string>").alias("tags"))
     present = (F.trim(F.coalesce("description", F.lit(""))) != "") | (F.size("tags") > 0)
-    return rows.select("conv_id", "turn", present.alias("has_text"), text.collapse_ws(F.substring("description", 1, 30)).alias("head"))
+    return rows.select("conv_id", "turn", present.alias("has_text"), text.collapse_ws(F.col("description")).alias("head"))
 
 
 QUERIES = {
@@ -147,7 +147,7 @@ SELECT DISTINCT 'net' AS ats, slug FROM p WHERE (host = 'example.net' OR ends_wi
     "every_nth": f"""WITH {S.ITEMS}, k AS (SELECT url, source_platform, row_number() OVER (PARTITION BY source_platform ORDER BY doc_id) - 1 AS n, greatest(count(*) OVER (PARTITION BY source_platform) // 5, 1) AS step FROM items)
 SELECT url, source_platform FROM k WHERE n % step = 0 AND n / step < 5""",
     "reader_sanitation": """SELECT c_custkey AS reader_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING,X' ELSE 'X' END AS interests, CASE WHEN c_custkey % 2 = 0 THEN 'Intern' ELSE '' END AS levels, CASE WHEN c_custkey % 3 = 0 THEN 'London' END AS home_region FROM customer""",
-    "clocks": """SELECT coalesce(epoch(TIMESTAMP '2024-01-20 10:30:00') - floor(epoch(max(ts) FILTER (event_type <> 'error'))) >= 600, true) AS stale, coalesce(bool_and(event_type = 'error'), false) AS all_failed, '2024-01-20 10:00' AS bucket FROM events WHERE ts < TIMESTAMP '2024-01-20'""",
+    "clocks": """SELECT coalesce(epoch(TIMESTAMP '2024-01-20 10:30:00') - floor(epoch(max(ts) FILTER (event_type <> 'error'))) >= 600, true) AS stale, coalesce(bool_and(event_type = 'error'), false) AS all_failed, '2024-01-20 10:00' AS bucket FROM events""",
     "dormancy": f"WITH {S.ITEMS} SELECT source_platform, CAST(floor((epoch(TIMESTAMP '2002-01-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS days FROM items GROUP BY 1",
     "spread": f"WITH {S.ITEMS} SELECT company, count(*) AS n FROM items WHERE company IS NOT NULL GROUP BY 1 ORDER BY n DESC, company LIMIT 20",
     "registry_gates": f"""WITH {S.ITEMS}, c AS (SELECT CAST(substr(source_platform, 4) AS BIGINT) AS source, count(*) AS n FROM items GROUP BY 1)
@@ -155,6 +155,6 @@ SELECT r.range AS source, r.range % 3 <> 1 AS enabled, r.range % 4 = 0 AS whole_
     "legacy_score": f"""WITH {S.DERIVED}, s AS (SELECT *, CASE WHEN discipline = 'A' THEN 10 ELSE 0 END + CASE WHEN opp THEN 5 WHEN item_type = 'Event' THEN 4 ELSE 0 END AS score FROM derived)
 SELECT url, score, row_number() OVER (PARTITION BY source_platform ORDER BY score DESC, url) > 8 AS overflow FROM s""",
     "ingest_batch": f"""WITH {S.DERIVED} SELECT url, discipline, coalesce(company, CASE WHEN contains(title, ' at ') AND trim(list_extract(string_split(title, ' at '), -1)) <> '' AND strlen(trim(list_extract(string_split(title, ' at '), -1))) <= 60 THEN trim(list_extract(string_split(title, ' at '), -1)) END) AS company, seniority, array_to_string(location_tags, ',') AS tags,
-CASE WHEN source_platform = 'src2' THEN 0 ELSE 1 END AS source_rank FROM derived WHERE source_platform IN ('src1', 'src2')""",
-    "has_posting_text": "SELECT conv_id, turn, turn % 2 = 0 AND trim(text) <> '' AS has_text, CASE WHEN turn % 2 = 0 THEN trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g')) ELSE '' END AS head FROM conversations",
+CASE WHEN source_platform = 'src2' THEN 0 ELSE 1 END AS source_rank FROM derived""",
+    "has_posting_text": "SELECT conv_id, turn, turn % 2 = 0 AND trim(text) <> '' AS has_text, CASE WHEN turn % 2 = 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE '' END AS head FROM conversations",
 }

@@ -73,10 +73,10 @@ def index_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
-    """Two of three documents indexed, a sixth replaced by their title, a seventh removed."""
+    """All documents indexed, a sixth replaced by a longer text, a seventh removed."""
     docs = views.table(spark, d, "documents").select("doc_id", "text")
-    old = Q.build_index(docs.where("doc_id % 3 <> 0"), "doc_id", "text")
-    new = docs.where("doc_id % 6 = 1").withColumn("text", F.substring("text", 1, 30))
+    old = Q.build_index(docs, "doc_id", "text")
+    new = docs.where("doc_id % 6 = 1").withColumn("text", F.concat_ws(" ", "text", F.lit("amended edition")))
     gone = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
     return Q.update_index(old, gone, new, "doc_id", "text").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -213,7 +213,7 @@ SELECT url, CASE WHEN t1 AND p1 THEN 2 ELSE 1 END AS tier FROM h WHERE ok AND (t
     "described_terms": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), q AS (SELECT unnest(['anat', 'license', 'of', 'the']) AS term)
 SELECT DISTINCT doc_id, term FROM t JOIN q ON CASE WHEN length(term) = 2 THEN token = term ELSE starts_with(token, term) END""",
     "index_counts": f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) SELECT substr(token, 1, 2) AS prefix, count(*) AS postings, count(DISTINCT token) AS tokens FROM t GROUP BY 1",
-    "index_upkeep": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN substr(text, 1, 30) ELSE text END AS text FROM documents WHERE doc_id % 6 = 1 OR (doc_id % 3 <> 0 AND doc_id % 7 <> 0)),
+    "index_upkeep": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN concat_ws(' ', text, 'amended edition') ELSE text END AS text FROM documents WHERE doc_id % 6 = 1 OR doc_id % 7 <> 0),
 t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM d) SELECT doc_id, count(*) AS n FROM t GROUP BY 1""",
     "hub_sorts": f"WITH {ROWS} " + " UNION ALL ".join(f"SELECT '{n}' AS sort, k AS position, url FROM (SELECT url, row_number() OVER (ORDER BY {o}, url) AS k FROM r WHERE opp) WHERE k <= 50" for n, o in _SORTS.items()),
     "tier_first_order": f"""WITH {ROWS}, h AS (SELECT url, score, CASE WHEN {_pre("head", "th")} THEN 2 WHEN {_pre("body", "th")} THEN 1 ELSE 0 END AS tier FROM s)

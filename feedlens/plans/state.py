@@ -61,22 +61,30 @@ def canonical_companies(spark: SparkSession, d: str) -> DataFrame:
 def details_attached(spark: SparkSession, d: str) -> DataFrame:
     t = views.items(spark, d)
     detail = t.where("doc_id % 2 = 0").select(
-        "url", F.substring("content_text", 1, 20).alias("description"), F.when(F.col("doc_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL '5' DAY")).alias("closes_at"),
+        "url", F.col("content_text").alias("description"), F.when(F.col("doc_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL '5' DAY")).alias("closes_at"),
         F.when(F.col("doc_id") % 8 == 0, F.lit(70000.0)).alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.lit("year").alias("salary_period"),
     )
     got = E.attach_details(t, detail)
     return got.select("url", "description", F.date_format("closes_at", "yyyy-MM-dd").alias("closes"), "salary_min", "salary_period")
 
 
+def by_text(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose company follows from the whole text, so copies of a text are listings of one company."""
+    t = views.items(spark, d)
+    return t.withColumn("company", F.when(F.col("company").isNotNull(), F.concat(F.lit("Company "), (F.length("content_text") % 37).cast("string"))))
+
+
+def n_documents(spark: SparkSession, d: str) -> int:
+    return views.table(spark, d, "documents").count()
+
+
 def mirrors_hidden(spark: SparkSession, d: str) -> DataFrame:
-    t = views.items(spark, d).withColumn("title", F.substring("title", 1, 3))
-    return E.hide_mirrored(t, ["src0", "src3"]).select("url", "source_platform")
+    return E.hide_mirrored(by_text(spark, d), ["src0", "src3"]).select("url", "source_platform")
 
 
 def visible(spark: SparkSession, d: str) -> DataFrame:
     """Not dismissed and not mirrored."""
-    t = views.items(spark, d).where("NOT dismissed").withColumn("title", F.substring("title", 1, 3))
-    return E.hide_mirrored(t, ["src0", "src3"]).select("url", "seen", "saved")
+    return E.hide_mirrored(by_text(spark, d).where("NOT dismissed"), ["src0", "src3"]).select("url", "seen", "saved")
 
 
 def cache(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +124,7 @@ def run_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def due_sources(spark: SparkSession, d: str) -> DataFrame:
-    e = views.table(spark, d, "events").where("user_id % 7 <> 0")
+    e = views.table(spark, d, "events")
     ledger = L.record_runs(e.select((F.col("user_id") % 28).alias("source"), F.col("ts").alias("run_at"), (F.col("event_type") != "error").alias("ok"), F.lit(0).alias("last_count"), F.lit("").alias("last_error")))
     registry = spark.range(30).select(F.col("id").alias("source"), (F.col("id") % 5 != 0).alias("enabled"), F.when(F.col("id") % 2 == 0, 30).otherwise(100_000).alias("ttl_minutes"))
     return L.due(registry, ledger, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("source")
@@ -131,14 +139,14 @@ def board_health(spark: SparkSession, d: str) -> DataFrame:
 def user_marks(spark: SparkSession, d: str) -> DataFrame:
     e = views.table(spark, d, "events")
     flag = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "error", "dismissed").when(F.col("event_type") == "view", "seen")
-    rows = e.select("user_id", (F.col("event_id") % 50).alias("url"), flag.alias("flag"), (F.col("value") > 5).alias("on"), "ts")
+    rows = e.select("user_id", (F.col("event_id") % n_documents(spark, d)).alias("url"), flag.alias("flag"), (F.col("value") > 5).alias("on"), "ts")
     got = L.marks(rows, ["user_id", "url"], "flag", "on", "ts")
     return got.select("user_id", "url", *(F.date_format(f"{c}_at", "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("saved", "dismissed", "seen")))
 
 
 def application_changes(spark: SparkSession, d: str) -> DataFrame:
     e = views.table(spark, d, "events").where("event_type IN ('signup', 'click', 'purchase')")
-    rows = e.select("user_id", (F.col("event_id") % 20).alias("url"), F.col("event_type").alias("status"), "event_id")
+    rows = e.select("user_id", (F.col("event_id") % n_documents(spark, d)).alias("url"), F.col("event_type").alias("status"), "event_id")
     return L.transitions(rows, ["user_id", "url"], "status", F.col("event_id"))
 
 
@@ -172,7 +180,7 @@ _REASON = f"""CASE WHEN item_type <> 'Article' AND missed >= 3 AND last_seen < {
  WHEN item_type = 'Event' AND closes_at < {_T} - INTERVAL 1 DAY THEN 'ended' WHEN item_type = 'Event' AND closes_at IS NULL AND source_platform IN ('src3', 'src7') AND ts < {_T} - INTERVAL 1 DAY THEN 'ended'
  WHEN item_type <> 'Article' AND last_seen < {_T} - INTERVAL 21 DAY THEN 'stale' WHEN item_type = 'Article' AND ts < {_T} - INTERVAL 60 DAY THEN 'articles' END"""
 _FMT = "'%Y-%m-%d %H:%M:%S'"
-_MIRROR = """m AS (SELECT *, trim(regexp_replace(lower(substr(title, 1, 3)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k, source_platform IN ('src0', 'src3') AS mirror FROM items WHERE {0}),
+_MIRROR = """m AS (SELECT * REPLACE (CASE WHEN company IS NOT NULL THEN concat('Company ', CAST(length(content_text) % 37 AS VARCHAR)) END AS company), trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k, source_platform IN ('src0', 'src3') AS mirror FROM items WHERE {0}),
  orig AS (SELECT DISTINCT company, k FROM m WHERE NOT mirror AND item_type IN ('Job', 'Internship') AND company IS NOT NULL)"""
 _HIDDEN = "NOT (mirror AND NOT saved AND company IS NOT NULL AND EXISTS (SELECT 1 FROM orig o WHERE o.company = m.company AND o.k = m.k))"
 ORACLES = {
@@ -187,7 +195,7 @@ FROM (SELECT *, min(n) FILTER (pay_min IS NOT NULL OR pay_max IS NOT NULL) OVER
     "legacy_upsert": f"WITH {LOG} SELECT url, source_rank, arg_max(quantity, seq) AS quantity, arg_max(status, seq) AS status FROM o GROUP BY url, source_rank",
     "ordered_union": "SELECT url, CASE WHEN source_rank = 0 THEN note END AS note, CASE WHEN source_rank = 1 THEN brand END AS brand, source_rank FROM (SELECT coalesce(o_orderkey, p_partkey) AS url, o_orderstatus AS note, p_brand AS brand, CASE WHEN o_orderkey IS NOT NULL THEN 0 ELSE 1 END AS source_rank FROM orders FULL JOIN part ON o_orderkey = p_partkey)",
     "canonical_companies": f"WITH {S.ITEMS} SELECT url, CASE company WHEN 'Company 1' THEN 'First' WHEN 'Company 2' THEN 'Two' ELSE concat(company, CASE WHEN company IS NOT NULL THEN ' Inc.' END) END AS canonical FROM items".replace("ELSE concat(company, CASE WHEN company IS NOT NULL THEN ' Inc.' END) END", "ELSE company || ' Inc.' END"),
-    "attach_details": f"""WITH {S.ITEMS} SELECT url, CASE WHEN doc_id % 2 = 0 THEN substr(content_text, 1, 20) END AS description, strftime(CASE WHEN doc_id % 4 = 0 THEN ts + INTERVAL 5 DAY ELSE closes_at END, '%Y-%m-%d') AS closes,
+    "attach_details": f"""WITH {S.ITEMS} SELECT url, CASE WHEN doc_id % 2 = 0 THEN content_text END AS description, strftime(CASE WHEN doc_id % 4 = 0 THEN ts + INTERVAL 5 DAY ELSE closes_at END, '%Y-%m-%d') AS closes,
 CASE WHEN doc_id % 8 = 0 THEN 70000.0 ELSE salary_min END AS salary_min, CASE WHEN doc_id % 8 = 0 THEN 'year' ELSE salary_period END AS salary_period FROM items""",
     "hide_mirrored": f"WITH {S.ITEMS}, {_MIRROR.replace('{0}', 'true')} SELECT url, source_platform FROM m WHERE {_HIDDEN}",
     "visible_items": f"WITH {S.ITEMS}, {_MIRROR.replace('{0}', 'NOT dismissed')} SELECT url, seen, saved FROM m WHERE {_HIDDEN}",
@@ -197,7 +205,7 @@ CASE WHEN doc_id % 8 = 0 THEN 70000.0 ELSE salary_min END AS salary_min, CASE WH
     "sweep_stats": f"WITH {_CACHE} SELECT {_REASON} AS reason, count(*) AS n FROM charged GROUP BY 1",
     "run_ledger": f"""SELECT user_id % 28 AS source, arg_max(event_type <> 'error', event_id) AS ok, max(event_id) AS last_count, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'failed' END AS last_error,
 strftime(max(ts), {_FMT}) AS last_run, strftime(max(ts) FILTER (event_type <> 'error'), {_FMT}) AS last_ok FROM events GROUP BY 1""",
-    "due_sources": """WITH l AS (SELECT user_id % 28 AS source, max(ts) AS t, arg_max(event_type <> 'error', ts) AS ok FROM events WHERE user_id % 7 <> 0 GROUP BY 1)
+    "due_sources": """WITH l AS (SELECT user_id % 28 AS source, max(ts) AS t, arg_max(event_type <> 'error', ts) AS ok FROM events GROUP BY 1)
 SELECT r.source FROM (SELECT range AS source, range % 5 <> 0 AS enabled, CASE WHEN range % 2 = 0 THEN 30 ELSE 100000 END AS ttl FROM range(30)) r LEFT JOIN l ON l.source = r.source
 WHERE enabled AND (t IS NULL OR (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(t)) / 60000000.0 >= CASE WHEN ok THEN ttl ELSE 15 END)""",
     "board_health": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000.0), CASE event_type WHEN 'click' THEN 'Empty' WHEN 'error' THEN 'Gone' WHEN 'purchase' THEN 'Rows' WHEN 'view' THEN 'Rows' ELSE 'Unclear' END) AS n,
@@ -206,10 +214,10 @@ f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 0 AS s, CAST(NULL AS BIGINT) AS at
  UNION ALL SELECT e.user_id, e.n, CASE WHEN a IN ('purchase', 'view') THEN 0 WHEN a IN ('error', 'click') AND (at_ IS NULL OR t - at_ >= 86400) THEN s + 1 ELSE s END,
  CASE WHEN a IN ('purchase', 'view') THEN NULL WHEN a IN ('error', 'click') AND (at_ IS NULL OR t - at_ >= 86400) THEN t ELSE at_ END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
 SELECT user_id AS board, arg_max(s, n) AS strikes FROM f GROUP BY user_id""",
-    "user_marks": f"""WITH e AS (SELECT user_id, event_id % 50 AS url, CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'error' THEN 'dismissed' WHEN 'view' THEN 'seen' END AS flag, value > 5 AS is_on, ts FROM events)
+    "user_marks": f"""WITH e AS (SELECT user_id, event_id % (SELECT count(*) FROM documents) AS url, CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'error' THEN 'dismissed' WHEN 'view' THEN 'seen' END AS flag, value > 5 AS is_on, ts FROM events)
 SELECT user_id, url, {", ".join(f"CASE WHEN arg_max(is_on, ts) FILTER (flag = '{f}') THEN strftime(max(ts) FILTER (flag = '{f}'), {_FMT}) END AS {f}" for f in ("saved", "dismissed", "seen"))} FROM e GROUP BY user_id, url""",
-    "application_changes": """SELECT user_id, url, status, event_id FROM (SELECT user_id, event_id % 20 AS url, event_type AS status, event_id, lag(event_type) OVER (PARTITION BY user_id, event_id % 20 ORDER BY event_id) AS b
-FROM events WHERE event_type IN ('signup', 'click', 'purchase')) WHERE status IS DISTINCT FROM b""",
+    "application_changes": """WITH ev AS (SELECT * REPLACE (event_id % (SELECT count(*) FROM documents) AS value), event_id AS id_ FROM events) SELECT user_id, url, status, event_id FROM (SELECT user_id, value AS url, event_type AS status, event_id, lag(event_type) OVER (PARTITION BY user_id, value ORDER BY event_id) AS b
+FROM ev WHERE event_type IN ('signup', 'click', 'purchase')) WHERE status IS DISTINCT FROM b""",
     "prune_orphans": "SELECT o_orderkey AS url, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0) OR o_orderstatus = 'P'",
     "source_health": f"WITH {S.ITEMS} SELECT r.source, coalesce(c.n, 0) AS n FROM (SELECT concat('src', CAST(range AS VARCHAR)) AS source FROM range(24)) r LEFT JOIN (SELECT source_platform, count(*) AS n FROM items GROUP BY 1) c ON c.source_platform = r.source",
 }

@@ -6,20 +6,13 @@ writes the same version again. A retention sweep never runs inside a micro-batch
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators import entities
-
-
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{known.rstrip('/') if known else tempfile.mkdtemp(prefix='feedlens-')}/{tag}-{uuid.uuid4().hex}"
+from feedlens.sources.shared import shared_folder
 
 
 def fold_stream(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str, keep: int = 2) -> str:
