@@ -85,9 +85,9 @@ def company_normalize(c: Column, suffixes: Sequence[str] = tuple(D.COMPANY_SUFFI
     return F.regexp_replace(title_key(c), rf"^(\S+(?: \S+)*?)(?: (?:{tail}))+$", "$1")
 
 
-def classify_discipline(text: Column, majors: Sequence[tuple[str, Sequence[str]]] = tuple(D.MAJORS)) -> Column:
+def classify_discipline(text: Column, majors: Sequence[tuple[str, Sequence[str]]] = tuple(D.MAJORS), lowered: bool = False) -> Column:
     """The label with the most distinct keywords in the lower-cased text, the first of equals; "General" without any."""
-    low = F.lower(text)
+    low = text if lowered else F.lower(text)
     counts = [count_hits(low, words) for _, words in majors]
     best = F.greatest(*counts) if len(counts) > 1 else counts[0]
     out = F.when(best == 0, F.lit("General"))
@@ -96,9 +96,9 @@ def classify_discipline(text: Column, majors: Sequence[tuple[str, Sequence[str]]
     return out
 
 
-def match_interests(title: Column, content: Column, wanted: Column, interests: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Labels of `wanted`, in dictionary order, with a keyword in the padded lower-cased text."""
-    text = F.lower(F.concat(F.lit(" "), title, F.lit(" "), content, F.lit(" ")))
+def match_interests(title: Column, content: Column | None, wanted: Column, interests: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """Labels of `wanted`, in dictionary order, with a keyword in the padded lower-cased text. Without content, title is that text."""
+    text = title if content is None else F.lower(F.concat(F.lit(" "), title, F.lit(" "), content, F.lit(" ")))
     hits = [F.when(F.array_contains(wanted, name) & has_any(text, words), F.lit(name)) for name, words in interests]
     return F.array_compact(F.array(*hits))
 

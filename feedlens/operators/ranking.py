@@ -120,10 +120,12 @@ def derive(items: DataFrame, p: Profile, majors: Sequence, interests: Sequence,
     """Adds discipline, matched_interests, seniority, location_tags and company_tier. tiers: (company, tier), one row each."""
     from feedlens.functions.places import normalize_location
 
-    both = F.concat_ws(" ", "title", "content_text")
+    # one lower-cased copy of the text serves all dictionaries
+    items = items.withColumn("_low", F.lower(F.concat_ws(" ", "title", "content_text")))
     return (
-        items.withColumn("discipline", text.classify_discipline(both, majors))
-        .withColumn("matched_interests", text.match_interests(F.col("title"), F.col("content_text"), strings(p.interests), interests))
+        items.withColumn("discipline", text.classify_discipline(F.col("_low"), majors, lowered=True))
+        .withColumn("matched_interests", text.match_interests(F.concat(F.lit(" "), "_low", F.lit(" ")), None, strings(p.interests), interests))
+        .drop("_low")
         .withColumn("seniority", text.classify_seniority(F.col("title"), bands))
         .withColumn("location_tags", normalize_location(F.col("location")))
         .join(tiers.select("company", F.col("tier").alias("company_tier")), "company", "left")

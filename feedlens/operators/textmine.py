@@ -141,13 +141,36 @@ def terms(parts: DataFrame, stopwords: Sequence[str]) -> DataFrame:
     return words.withColumn("next_stem", follows).where("stem IS NOT NULL")
 
 
+def row_terms(text_col: Column, stopwords: Sequence[str]) -> Column:
+    """The terms of one text, inside its row: array of (term, c), c 1 for surviving words and 2 for pairs of neighbours.
+
+    Clause breaks are tokens of their own, and like dropped words they stand as empty strings, so no pair crosses them.
+    """
+    tokens = F.regexp_extract_all(F.lower(text_col), F.lit(r"[a-z0-9]+|[.,;:!?\n()|]"), F.lit(0))
+    stops = F.array(*(F.lit(s) for s in stopwords)) if stopwords else F.array().cast("array<string>")
+
+    def root(w: Column) -> Column:
+        r = stem(w)
+        fine = (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~F.array_contains(stops, w) & (F.length(r) >= 3) & ~F.array_contains(stops, r)
+        return F.when(fine, r).otherwise(F.lit(""))
+
+    stems = F.transform(tokens, root)
+    return F.transform(F.array(stems), _with_pairs)[0]
+
+
+def _with_pairs(stems: Column) -> Column:
+    one = F.transform(F.filter(stems, lambda w: w != ""), lambda w: F.struct(w.alias("term"), F.lit(1).alias("c")))
+    both = F.zip_with(stems, F.slice(stems, F.lit(2), F.greatest(F.size(stems) - 1, F.lit(0))), lambda a, b: F.when((a != "") & (b != ""), F.concat_ws(" ", a, b)))
+    two = F.transform(F.array_compact(both), lambda w: F.struct(w.alias("term"), F.lit(2).alias("c")))
+    return F.concat(one, two)
+
+
 def focus(parts: DataFrame, weights: dict[str, float], stopwords: Sequence[str], most: int = 400) -> DataFrame:
     """(url, term, weight): what a posting is about. Each section adds weight (1 + ln count) for its words and, counted
-    twice, its pairs of neighbours; the best `most` terms are scaled by the best."""
-    t = terms(parts, stopwords)
-    single = t.select("url", "part", F.col("stem").alias("term"), F.lit(1).alias("c"))
-    double = t.where("next_stem IS NOT NULL").select("url", "part", F.concat_ws(" ", "stem", "next_stem").alias("term"), F.lit(2).alias("c"))
-    counts = single.unionByName(double).groupBy("url", "part", "term").agg(F.sum("c").alias("c"))
+    twice, its pairs of neighbours; the best `most` terms are scaled by the best. Parts: url, part, text; a part may come
+    in several rows, and its pairs do not cross them."""
+    each = parts.select("url", "part", F.explode(row_terms(F.col("text"), stopwords)).alias("t"))
+    counts = each.groupBy("url", "part", F.col("t.term").alias("term")).agg(F.sum("t.c").alias("c"))
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("part")]
     raw = counts.groupBy("url", "term").agg(F.round(F.sum(w * (1.0 + F.log("c"))), 9).alias("raw"))
     best = W.partitionBy("url").orderBy(F.desc("raw"), "term")
@@ -158,7 +181,5 @@ def focus(parts: DataFrame, weights: dict[str, float], stopwords: Sequence[str],
 def echo(texts: DataFrame, focus_terms: DataFrame, stopwords: Sequence[str]) -> DataFrame:
     """(id, url, echo, shared): summed weights of the distinct focus terms that a text holds. Texts: id, url, text; the
     join is on (url, term)."""
-    t = terms(texts.select(F.struct("id", "url").alias("url"), F.lit("text").alias("part"), "text"), stopwords)
-    own = t.select("url", F.col("stem").alias("term")).unionByName(t.where("next_stem IS NOT NULL").select("url", F.concat_ws(" ", "stem", "next_stem").alias("term"))).distinct()
-    keyed = own.select("url.id", "url.url", "term")
+    keyed = texts.select("id", "url", F.explode(F.array_distinct(F.transform(row_terms(F.col("text"), stopwords), lambda t: t["term"]))).alias("term")).distinct()
     return keyed.join(focus_terms.select("url", "term", "weight"), ["url", "term"]).groupBy("id", "url").agg(F.sum("weight").alias("echo"), F.count(F.lit(1)).alias("shared"))

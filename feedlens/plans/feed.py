@@ -95,23 +95,25 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Best ten listings of each distinct reader profile (segment and home), scored items x profiles.
+    """Best ten listings of each distinct reader profile (segment and home).
 
-    Readers of one profile share its ranking; the profiles are a bounded table (segments x homes) and meet the items by
-    one broadcast of checked size.
+    A profile adds points for its home and for one interest, so all its readers share one of few tastes (home, interest). The
+    listings are thinned to the best ten of each employer and kind of listing (tags and interests) first, as no other can be
+    among ten; these meet the tastes by what they match, and the tastes meet the profiles by an equi-join.
     """
     homes = F.when(F.col("c_nationkey") % 2 == 0, F.lit("Canada")).otherwise(F.lit("USA"))
     segment = F.col("c_mktsegment")
-    readers = views.table(spark, d, "customer").select(segment.alias("segment"), homes.alias("home")).distinct()
-    few = readers.limit(1001).count() <= 1000
-    base = derived(spark, d).select("url", "company", "source_platform", "location_tags", "matched_interests", R.fit(PROFILE).alias("base"))
-    met = base.crossJoin(F.broadcast(readers) if few else readers)
-    liked = F.array_contains("matched_interests", F.when(F.col("segment") < "C", "X").when(F.col("segment") < "H", "Y").otherwise("Z"))
-    score = F.col("base") + F.when(F.array_contains("location_tags", F.col("home")), 2.0).otherwise(0.0) + F.when(liked, 1.0).otherwise(0.0)
-    scored = met.withColumn("score", score).withColumn("reader_id", F.concat_ws("/", "segment", "home"))
-    mixed = R.diversify_order(scored, F.coalesce("company", "source_platform"), by=["reader_id"])
-    top = R.keep_per_group(mixed, ["reader_id"], R.order_by(R.ROUND_ROBIN), 10)
-    return top.select("reader_id", "url", F.round("score", 4).alias("score"))
+    liked = F.when(segment < "C", "X").when(segment < "H", "Y").otherwise("Z")
+    readers = views.table(spark, d, "customer").select(segment.alias("segment"), homes.alias("home"), liked.alias("liked")).distinct()
+    base = derived(spark, d).select("url", F.coalesce("company", "source_platform").alias("bucket"), "location_tags", "matched_interests", F.round(R.fit(PROFILE), 6).alias("base"))
+    thin = R.keep_per_group(base, ["bucket", "location_tags", "matched_interests"], [F.desc("base"), F.asc("url")], 10)
+    tastes = readers.groupBy("home", "liked").agg(F.lit(1).alias("one"))
+    options = F.array(*(F.struct(F.lit(h).alias("home"), F.lit(x).alias("liked")) for h in ("Canada", "USA") for x in PROFILE.interests))
+    met = thin.withColumn("taste", F.explode(options)).select("*", "taste.home", "taste.liked").join(tastes, ["home", "liked"])
+    score = F.col("base") + F.when(F.array_contains("location_tags", F.col("home")), 2.0).otherwise(0.0) + F.when(F.array_contains("matched_interests", F.col("liked")), 1.0).otherwise(0.0)
+    mixed = R.diversify_order(met.withColumn("score", score), F.col("bucket"), by=["home", "liked"])
+    top = R.keep_per_group(mixed.where("_round <= 10"), ["home", "liked"], R.order_by(R.ROUND_ROBIN), 10)
+    return top.join(readers, ["home", "liked"]).select(F.concat_ws("/", "segment", "home").alias("reader_id"), "url", F.round("score", 4).alias("score"))
 
 
 QUERIES = {

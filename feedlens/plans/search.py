@@ -12,6 +12,7 @@ from feedlens.operators import search as Q
 from feedlens.plans import feed
 from feedlens.plans import sqlparts as S
 from feedlens.sources import views
+from feedlens.sources.shared import stored
 
 
 def as_of() -> Column:
@@ -26,6 +27,11 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("matched_skills", F.array_intersect("required_skills", F.array(F.lit("s1"), F.lit("s3"), F.lit("s4")))).withColumn("score", F.round(R.fit(feed.PROFILE), 6))
 
 
+def narrow(spark: SparkSession, d: str) -> DataFrame:
+    """The classified rows without their texts, stored for queries that read them several times."""
+    return stored(rows(spark, d).drop("content_text"), "classified")
+
+
 FACETS = {
     "type": Q.Facets(item_type="Job"), "discipline": Q.Facets(discipline="A"), "sources": Q.Facets(sources=("src1", "src2")), "mode": Q.Facets(mode="Remote"),
     "places": Q.Facets(places=("Canada", "New York")), "fresh": Q.Facets(fresh_hours=24 * 30), "levels": Q.Facets(levels=("Intern",)), "pay_floor": Q.Facets(pay_floor=80_000.0),
@@ -83,7 +89,7 @@ def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
 
 def sorts(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty of each hub sort."""
-    t = rows(spark, d).where(R.is_opportunity(F.col("item_type"))).withColumn("last_call", F.col("doc_id") % 8 == 0)
+    t = narrow(spark, d).where(R.is_opportunity(F.col("item_type"))).withColumn("last_call", F.col("doc_id") % 8 == 0)
     out: DataFrame | None = None
     for name in ("best", "last_call", "newest", "closing_soonest", "closing_latest", "highest_pay", "company"):
         one = Q.numbered(t, Q.sort_keys(name, as_of()), 50).select(F.lit(name).alias("sort"), "position", "url")
@@ -100,7 +106,7 @@ def tier_first(spark: SparkSession, d: str) -> DataFrame:
 
 def per_source(spark: SparkSession, d: str) -> DataFrame:
     """Caps: 5 newest per employer, tier first per source, first 8 per source."""
-    t = rows(spark, d).where("company IS NOT NULL")
+    t = narrow(spark, d).where("company IS NOT NULL")
     best = R.keep_per_group(t, ["company"], [F.desc(F.col("discipline") == "A"), F.desc("ts"), F.asc("url")], 5).select("url", F.lit("keep_best").alias("cap"))
     tier = R.keep_per_group(t, ["source_platform"], [F.asc_nulls_last("company_tier"), F.desc("ts"), F.asc("url")], 5).select("url", F.lit("tier_first").alias("cap"))
     eight = R.keep_per_group(t, ["source_platform"], [F.desc("score"), F.asc("url")], 8).select("url", F.lit("legacy").alias("cap"))
@@ -118,7 +124,7 @@ def paced_queue(spark: SparkSession, d: str) -> DataFrame:
 
 def bands(spark: SparkSession, d: str) -> DataFrame:
     """The hero (first unseen role) and the fifteen that follow without it."""
-    t = rows(spark, d).where(R.is_opportunity(F.col("item_type")))
+    t = narrow(spark, d).where(R.is_opportunity(F.col("item_type")))
     first = t.orderBy(F.col("seen").asc(), F.desc("score"), "url").limit(1).select("url", F.lit("hero").alias("band"))
     rest = t.join(first.select("url"), "url", "left_anti").orderBy(F.desc("score"), "url").limit(15)
     n = F.row_number().over(W.orderBy(F.desc("score"), F.asc("url")))  # over fifteen rows
@@ -129,6 +135,7 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
     """Six roles and six others, with the totals of both groups."""
     q = Q.parse_query("th")
     t = Q.with_search_columns(rows(spark, d)).withColumn("tier", Q.search_tier(q)).where("tier > 0").withColumn("group", F.when(R.is_opportunity(F.col("item_type")), "roles").otherwise("other"))
+    t = stored(t.select("url", "group", "tier", "score"), "hits")
     totals = t.groupBy("group").agg(F.count(F.lit(1)).alias("total"))
     top = R.keep_per_group(t, ["group"], [F.desc("tier"), F.desc("score"), F.asc("url")], 6)
     return top.join(F.broadcast(totals), "group").select("group", "url", "total")  # two rows
