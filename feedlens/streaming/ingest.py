@@ -1,42 +1,84 @@
-"""Incremental state from a stream: every micro-batch folds into a versioned table.
+"""Incremental state from a stream: every micro-batch folds into a table of hash buckets.
 
-The state of batch n is written to state/v=n from that of v=n-1 and the batch, so a batch that runs again after a failure
-writes the same version again. A retention sweep never runs inside a micro-batch.
+The state is kept in buckets by a hash of its key. Batch n reads the newest earlier version of the buckets that its rows
+touch and writes only these, to state/v=n/_b=bucket, so a batch costs as much as the buckets it touches. A batch that
+runs again after a failure reads and writes the same versions. Old versions are removed after the stream has ended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators import entities
 from feedlens.sources.shared import shared_folder
 
 
-def fold_stream(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str, keep: int = 2) -> str:
-    """Runs the stream to its present end and returns the path of the last state version. keep: versions that stay."""
-    spark = stream.sparkSession
-    done: list[int] = []
-    at = lambda n: f"{folder}/state/v={n}"
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def versions(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, list[int]]:
+    """Bucket -> its finished versions, oldest first; only those of batches earlier than `before` where that is given."""
+    found: dict[int, list[int]] = {}
+    for name in _names(spark, f"{folder}/state"):
+        n = int(name.removeprefix("v="))
+        inside = _names(spark, f"{folder}/state/{name}") if before is None or n < before else []
+        for b in inside if "_SUCCESS" in inside else []:
+            if b.startswith("_b="):
+                found.setdefault(int(b.removeprefix("_b=")), []).append(n)
+    return {b: sorted(v) for b, v in found.items()}
 
-    def remove(path: str) -> None:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+def state_of(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The present state: the newest version of each bucket."""
+    paths = [f"{folder}/state/v={v[-1]}/_b={b}" for b, v in sorted(versions(spark, folder).items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def fold_stream(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str, key: Sequence[str], buckets: int = 64, keep: int = 2) -> DataFrame | None:
+    """Runs the stream to its present end and returns the state, also where there was nothing new; null before any data.
+
+    keep: versions of a bucket that stay.
+    """
+    spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def batch(rows: DataFrame, number: int) -> None:
-        before = spark.read.parquet(at(number - 1)) if number else None
-        fold(before, rows).write.mode("overwrite").parquet(at(number))
-        done.append(number)
-        if number - keep >= 0:
-            remove(at(number - keep))
+        rows = rows.persist()
+        touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())  # at most `buckets` numbers
+        if touched:
+            heads = versions(spark, folder, number)
+            paths = [f"{folder}/state/v={heads[b][-1]}/_b={b}" for b in touched if b in heads]
+            out = fold(spark.read.parquet(*paths) if paths else None, rows)
+            out.withColumn("_b", bucket).repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{folder}/state/v={number}")
+        rows.unpersist()
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not done:
-        raise ValueError("the stream held no data")
-    return at(done[-1])
+    for b, found in versions(spark, folder).items():
+        for n in found[:-keep]:
+            fs, where = _fs(spark, f"{folder}/state/v={n}/_b={b}")
+            fs.delete(where, True)
+    return state_of(spark, folder)
+
+
+def in_parts(rows: DataFrame, by: Column, parts: int, folder: str) -> str:
+    """Copies rows into a folder in `parts` appends, in ranges of `by`: a source of several ordered micro-batches."""
+    value = by.cast("timestamp").cast("double")
+    bounds = rows.select(F.percentile_approx(value, [k / parts for k in range(1, parts)]).alias("q")).first()["q"] or []
+    place = sum((F.when(value > x, 1).otherwise(0) for x in bounds), F.lit(0))
+    for k in range(parts):
+        rows.where(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def last_event_state(keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:

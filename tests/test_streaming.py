@@ -25,7 +25,10 @@ def test_upsert_stream_over_many_batches(spark, tmp_path):
         spark.createDataFrame(rows[k * 50 : (k + 1) * 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/log")
     fold = ingest.upsert_state("url", "run", "source_rank", "seq", ["quantity"], ["gain"])
-    got = spark.read.parquet(ingest.fold_stream(stream, fold, f"{tmp_path}/work")).select("url", "quantity", "gain", "last_run").collect()
+    work = f"{tmp_path}/work"
+    got = ingest.fold_stream(stream, fold, work, ["url"], buckets=5).select("url", "quantity", "gain", "last_run").collect()
+    again = ingest.fold_stream(stream, fold, work, ["url"], buckets=5)  # a restart without new data
+    assert sorted(map(tuple, again.select("url", "quantity", "gain", "last_run").collect())) == sorted(map(tuple, got))
     want = E.ranked_upsert(spark.createDataFrame(rows, schema), "url", "run", "source_rank", "seq", ["quantity"], ["gain"]).select("url", "quantity", "gain", "last_run").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
@@ -41,3 +44,20 @@ def test_board_health_stream(spark, tmp_path, small):
     got = {r["board"]: r["strikes"] for r in spark.table("health").collect()}
     want = {r["board"]: r["strikes"] for r in L.strikes(rows, "board", "ts", "answer").collect()}
     assert got == want
+
+
+def test_batches_write_only_the_buckets_they_touch(spark, tmp_path):
+    schema = "url int, at int, mark int"
+    fold = ingest.last_event_state(["url"], ["at"], ["mark"])
+    assert ingest.state_of(spark, f"{tmp_path}/work") is None
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        return ingest.fold_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), fold, f"{tmp_path}/work", ["url"], buckets=16)
+
+    feed([(k, 0, k) for k in range(200)])
+    before = ingest.versions(spark, f"{tmp_path}/work")
+    got = {r["url"]: r["mark"] for r in feed([(7, 1, -7), (500, 1, 5)]).collect()}
+    after = ingest.versions(spark, f"{tmp_path}/work")
+    assert got == {**{k: k for k in range(200)}, 7: -7, 500: 5}
+    assert len(before) == 16 and 1 <= sum(after[b] != before[b] for b in after) <= 2
