@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.plans import feed, landing, matching, mining, reports, scalars, search, state
+from feedlens.plans import feed, landing, matching, mining, reader, reports, scalars, search, state
 
-_PLANS = (feed, scalars, search, state, mining, landing, matching, reports)
+_PLANS = (feed, scalars, search, state, mining, landing, matching, reports, reader)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
