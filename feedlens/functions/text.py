@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedlens.functions import dictionaries as D
+from feedlens.functions.fixed import INTERESTS
 
 
 def collapse_ws(c: Column) -> Column:
@@ -96,7 +97,7 @@ def classify_discipline(text: Column, majors: Sequence[tuple[str, Sequence[str]]
     return out
 
 
-def match_interests(title: Column, content: Column | None, wanted: Column, interests: Sequence[tuple[str, Sequence[str]]]) -> Column:
+def match_interests(title: Column, content: Column | None, wanted: Column, interests: Sequence[tuple[str, Sequence[str]]] = tuple(INTERESTS)) -> Column:
     """Labels of `wanted`, in dictionary order, with a keyword in the padded lower-cased text. Without content, title is that text."""
     text = title if content is None else F.lower(F.concat(F.lit(" "), title, F.lit(" "), content, F.lit(" ")))
     hits = [F.when(F.array_contains(wanted, name) & has_any(text, words), F.lit(name)) for name, words in interests]

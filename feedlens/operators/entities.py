@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from feedlens.functions import text
+from feedlens.functions import fixed, text
 
 
 def ordered_union(sources: Sequence[DataFrame], failed: Sequence[int] = ()) -> DataFrame:
@@ -88,6 +88,24 @@ def canonical_companies(rows: DataFrame, names: DataFrame, company: str = "compa
     return keyed.join(known, keyed["_key"] == known["key"], "left").withColumn("canonical", F.coalesce("display", F.trim(company))).drop("_key", "key", "display")
 
 
+def default_names(spark: SparkSession) -> DataFrame:
+    """names for canonical_companies from the fixed tables: aliases first, then the employers themselves."""
+    rows = [(a, b, 0) for a, b in fixed.ALIASES] + [(n, n, 1) for names in fixed.TIERS.values() for n in names]
+    return spark.createDataFrame(rows, "name string, display string, priority int").select(text.company_normalize(F.col("name")).alias("key"), "display", "priority")
+
+
+def company_tiers(rows: DataFrame, overrides: DataFrame | None = None, company: str = "company") -> DataFrame:
+    """Adds canonical and company_tier: a reader's own tier of the canonical name (company, tier), else that of the fixed table, else null."""
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(n, k) for k, names in fixed.TIERS.items() for n in names], "_name string, _tier int")
+    named = canonical_companies(rows, default_names(spark), company).join(table, F.col("canonical") == F.col("_name"), "left")
+    own = F.lit(None).cast("int")
+    if overrides is not None:
+        named = named.join(overrides.select(F.col("company").alias("_over"), F.col("tier").alias("_own")), F.col("canonical") == F.col("_over"), "left")
+        own = F.col("_own")
+    return named.withColumn("company_tier", F.coalesce(own, "_tier")).drop("_name", "_tier", "_over", "_own")
+
+
 def attach_details(items: DataFrame, details: DataFrame) -> DataFrame:
     """Texts from the detail; its deadline and, as a group, its pay only where it has them."""
     d = details.select("url", *(F.col(c).alias(f"_{c}") for c in details.columns if c != "url"))
