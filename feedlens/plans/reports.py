@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import dates, places, text
 from feedlens.operators import entities as E
+from feedlens.operators import gates as G
 from feedlens.operators import ranking as R
 from feedlens.operators import reports as P
 from feedlens.plans import sqlparts as S
@@ -32,12 +33,7 @@ def applications(spark: SparkSession, d: str) -> DataFrame:
 
 
 def today(spark: SparkSession, d: str) -> DataFrame:
-    t = views.items(spark, d).withColumn("status", status_of())
-    at, opp = F.lit(S.AS_OF).cast("timestamp"), R.is_opportunity(F.col("item_type"))
-    return t.agg(
-        F.count_if(~F.col("seen") & (F.col("ts") >= at - F.expr("INTERVAL '240' HOUR"))).alias("fresh"), F.count_if(opp & F.coalesce(F.col("closes_at") >= at, F.lit(True))).alias("open_roles"),
-        F.count_if(F.col("closes_at").between(at, at + F.expr("INTERVAL '7' DAY"))).alias("closing"), F.count_if("saved").alias("saved"),
-    )
+    return G.today_stats(views.items(spark, d), F.lit(S.AS_OF).cast("timestamp"), fresh_hours=240)
 
 
 def boards_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,10 +54,7 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
 
 def tailoring(spark: SparkSession, d: str) -> DataFrame:
     """Candidates for a résumé: saved roles first, then the others."""
-    t = views.items(spark, d).where(R.is_opportunity(F.col("item_type")))
-    saved = t.where("saved").select("url", F.lit(0).alias("priority"))
-    rest = t.where("company = 'Company 3'").join(saved.select("url"), "url", "left_anti").select("url", F.lit(1).alias("priority"))
-    return saved.unionByName(rest)
+    return G.tailoring_candidates(views.items(spark, d), F.col("company") == "Company 3")
 
 
 def sampled(spark: SparkSession, d: str) -> DataFrame:
@@ -93,16 +86,22 @@ def spreads(spark: SparkSession, d: str) -> DataFrame:
 
 def registry_gates(spark: SparkSession, d: str) -> DataFrame:
     """Which sources are enabled by preferences, newly due, and judged by the early-career gate."""
-    r = spark.range(28).select(F.col("id").alias("source"), (F.col("id") % 3).alias("category"), (F.col("id") % 4 == 0).alias("whole_board"))
-    news = P.made_due(r, F.col("category") == 0, F.col("category").isin(0, 2)).select("source", F.lit(True).alias("due"))
-    return r.join(news, "source", "left").select("source", (F.col("category") != 1).alias("enabled"), "whole_board", F.coalesce("due", F.lit(False)).alias("made_due")).join(
-        views.items(spark, d).groupBy(F.substring("source_platform", 4, 9).cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n")), "source", "left"
-    )
+    r = spark.range(28).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"), F.when(F.col("id") % 3 == 0, "Article").when(F.col("id") % 3 == 1, "Event").otherwise("Job").alias("category"), (F.col("id") % 4 == 0).alias("whole_board"))
+    before, now = G.Wanted(jobs=False, internships=False, disabled=("src6",)), G.Wanted(internships=True, jobs=False, events=False)
+    on = lambda w: G.source_enabled(F.col("source"), F.col("category"), w)
+    news = P.made_due(r, on(before), on(now)).select("source", F.lit(True).alias("due"))
+    judged = derived_rows(spark, d).join(r.select("source", "whole_board"), F.col("source") == F.col("source_platform"))
+    passed = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(G.passes_board_gate(F.col("whole_board"), F.coalesce(F.col("seniority") == "Intern", F.lit(False)))).alias("passed"))
+    return r.select("source", on(now).alias("enabled")).join(news, "source", "left").join(passed, "source", "left").select("source", "enabled", F.coalesce("due", F.lit(False)).alias("made_due"), "n", "passed")
+
+
+def derived_rows(spark: SparkSession, d: str) -> DataFrame:
+    return R.derive(views.items(spark, d), R.Profile(major="A"), S.MAJORS, S.INTERESTS, S.BANDS, spark.createDataFrame([], "company string, tier int"))
 
 
 def legacy_home(spark: SparkSession, d: str) -> DataFrame:
     """The old score (field 10, kind 5 or 4), first eight per source, then the rest."""
-    t = R.derive(views.items(spark, d), R.Profile(major="A"), S.MAJORS, S.INTERESTS, S.BANDS, spark.createDataFrame([], "company string, tier int"))
+    t = derived_rows(spark, d)
     score = F.when(F.col("discipline") == "A", 10).otherwise(0) + F.when(R.is_opportunity(F.col("item_type")), 5).when(F.col("item_type") == "Event", 4).otherwise(0)
     from pyspark.sql.window import Window as W
 
@@ -150,8 +149,8 @@ SELECT url, source_platform FROM k WHERE n % step = 0 AND n / step < 5""",
     "clocks": """SELECT coalesce(epoch(TIMESTAMP '2024-01-20 10:30:00') - floor(epoch(max(ts) FILTER (event_type <> 'error'))) >= 600, true) AS stale, coalesce(bool_and(event_type = 'error'), false) AS all_failed, '2024-01-20 10:00' AS bucket FROM events""",
     "dormancy": f"WITH {S.ITEMS} SELECT source_platform, CAST(floor((epoch(TIMESTAMP '2002-01-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS days FROM items GROUP BY 1",
     "spread": f"WITH {S.ITEMS} SELECT company, count(*) AS n FROM items WHERE company IS NOT NULL GROUP BY 1 ORDER BY n DESC, company LIMIT 20",
-    "registry_gates": f"""WITH {S.ITEMS}, c AS (SELECT CAST(substr(source_platform, 4) AS BIGINT) AS source, count(*) AS n FROM items GROUP BY 1)
-SELECT r.range AS source, r.range % 3 <> 1 AS enabled, r.range % 4 = 0 AS whole_board, r.range % 3 = 2 AS made_due, c.n FROM range(28) r LEFT JOIN c ON c.source = r.range""",
+    "registry_gates": f"""WITH {S.DERIVED}, c AS (SELECT source_platform AS source, count(*) AS n, count(*) FILTER (CAST(substr(source_platform, 4) AS BIGINT) % 4 <> 0 OR coalesce(seniority = 'Intern', false)) AS passed FROM derived GROUP BY 1)
+SELECT concat('src', CAST(r.range AS VARCHAR)) AS source, r.range % 3 <> 1 AS enabled, r.range % 3 = 2 OR r.range = 6 AS made_due, c.n, c.passed FROM range(28) r LEFT JOIN c ON c.source = concat('src', CAST(r.range AS VARCHAR))""",
     "legacy_score": f"""WITH {S.DERIVED}, s AS (SELECT *, CASE WHEN discipline = 'A' THEN 10 ELSE 0 END + CASE WHEN opp THEN 5 WHEN item_type = 'Event' THEN 4 ELSE 0 END AS score FROM derived)
 SELECT url, score, row_number() OVER (PARTITION BY source_platform ORDER BY score DESC, url) > 8 AS overflow FROM s""",
     "ingest_batch": f"""WITH {S.DERIVED} SELECT url, discipline, coalesce(company, CASE WHEN contains(title, ' at ') AND trim(list_extract(string_split(title, ' at '), -1)) <> '' AND strlen(trim(list_extract(string_split(title, ' at '), -1))) <= 60 THEN trim(list_extract(string_split(title, ' at '), -1)) END) AS company, seniority, array_to_string(location_tags, ',') AS tags,

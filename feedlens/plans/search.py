@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from feedlens.functions import dates, pay
+from feedlens.functions import pay
+from feedlens.operators import gates as G
 from feedlens.operators import ranking as R
 from feedlens.operators import search as Q
 from feedlens.plans import feed
@@ -52,14 +52,10 @@ def filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def admitted(spark: SparkSession, d: str) -> DataFrame:
     """Preference gate: news off for two sources, internships only; and the fresh, upcoming and saved views."""
-    t = rows(spark, d)
-    intern = (F.col("item_type") == "Internship") | F.coalesce(F.col("seniority") == "Intern", F.lit(False))
-    opp = R.is_opportunity(F.col("item_type"))
-    off = F.col("source_platform").isin("src1", "src2")
-    ok = ~off & F.when(opp, intern).otherwise(F.col("item_type") == "Event")
-    return t.select(
-        "url", ok.alias("admitted"), (~F.col("seen") & (F.col("ts") >= as_of() - F.expr("INTERVAL '24' HOUR"))).alias("fresh_unseen"),
-        ((F.col("item_type") == "Event") & (dates.event_date(F.col("closes_at"), F.col("ts")) >= as_of())).alias("upcoming"), (F.col("saved") & opp).alias("saved_view"),
+    w = G.Wanted(jobs=False, news=False, disabled=("src1", "src2"))
+    return rows(spark, d).select(
+        "url", G.admits(w).alias("admitted"), G.fresh_unseen(as_of()).alias("fresh_unseen"), G.upcoming(as_of()).alias("upcoming"),
+        G.saved_view(R.OPPORTUNITY, status="seniority").alias("saved_view"), G.saved_view(R.OPPORTUNITY, "none", "seniority").alias("saved_unstaged"),
     )
 
 
@@ -116,19 +112,13 @@ def per_source(spark: SparkSession, d: str) -> DataFrame:
 def paced_queue(spark: SparkSession, d: str) -> DataFrame:
     """Detail queue by merit: 600 in all, 30 of each paced handler; rows over a handler's limit use none of the budget."""
     t = rows(spark, d).where(R.is_opportunity(F.col("item_type")))
-    paced = F.col("source_platform").isin("src0", "src1")
-    n = F.row_number().over(W.partitionBy("source_platform").orderBy(F.desc("score"), F.asc("url")))
-    fits = t.withColumn("n", n).where(~paced | (F.col("n") <= 30))
-    return fits.orderBy(F.desc("score"), "url").limit(600).select("url", "source_platform")
+    return G.paced_budget(t, [F.desc("score"), F.asc("url")], "source_platform", ["src0", "src1"]).select("url", "source_platform")
 
 
 def bands(spark: SparkSession, d: str) -> DataFrame:
     """The hero (first unseen role) and the fifteen that follow without it."""
     t = narrow(spark, d).where(R.is_opportunity(F.col("item_type")))
-    first = t.orderBy(F.col("seen").asc(), F.desc("score"), "url").limit(1).select("url", F.lit("hero").alias("band"))
-    rest = t.join(first.select("url"), "url", "left_anti").orderBy(F.desc("score"), "url").limit(15)
-    n = F.row_number().over(W.orderBy(F.desc("score"), F.asc("url")))  # over fifteen rows
-    return first.unionByName(rest.select("url", F.when(n <= 3, "top").otherwise("more").alias("band")))
+    return G.hero_and_bands(t, [F.desc("score"), F.asc("url")])
 
 
 def palette(spark: SparkSession, d: str) -> DataFrame:
@@ -136,9 +126,7 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
     q = Q.parse_query("th")
     t = Q.with_search_columns(rows(spark, d)).withColumn("tier", Q.search_tier(q)).where("tier > 0").withColumn("group", F.when(R.is_opportunity(F.col("item_type")), "roles").otherwise("other"))
     t = stored(t.select("url", "group", "tier", "score"), "hits")
-    totals = t.groupBy("group").agg(F.count(F.lit(1)).alias("total"))
-    top = R.keep_per_group(t, ["group"], [F.desc("tier"), F.desc("score"), F.asc("url")], 6)
-    return top.join(F.broadcast(totals), "group").select("group", "url", "total")  # two rows
+    return G.palette_groups(t).select("group", "url", "total")
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +202,7 @@ coalesce(closes_at >= {S.NOW}, false) AS f_deadline, coalesce(closes_at >= {S.NO
 contains(lower(concat(title, ' ', content_text)), 'license') OR contains(lower(concat(title, ' ', content_text)), 'th-e') OR contains(lower(concat(title, ' ', content_text)), 'th e') AS f_specialty FROM r""",
     "filter_roles": f"WITH {ROWS} SELECT url, item_type FROM r WHERE opp AND discipline = 'A' AND level = 'Intern' AND list_has_any(location_tags, ['Canada', 'USA']) AND annual IS NOT NULL",
     "admits": f"""WITH {ROWS} SELECT url, source_platform NOT IN ('src1', 'src2') AND CASE WHEN opp THEN item_type = 'Internship' OR coalesce(seniority = 'Intern', false) ELSE item_type = 'Event' END AS admitted,
-NOT seen AND ts >= {S.NOW} - INTERVAL 24 HOUR AS fresh_unseen, item_type = 'Event' AND coalesce(closes_at, ts) >= {S.NOW} AS upcoming, saved AND opp AS saved_view FROM r""",
+NOT seen AND ts >= {S.NOW} - INTERVAL 24 HOUR AS fresh_unseen, item_type = 'Event' AND coalesce(closes_at, ts) >= {S.NOW} AS upcoming, saved AND opp AS saved_view, saved AND opp AND seniority IS NULL AS saved_unstaged FROM r""",
     "search": f"""WITH {ROWS}, h AS (SELECT url, {_pre("head", "th")} AS t1, {_pre("body", "th")} AS t2, {_whole("head", "of the")} AS p1, {_whole("body", "of the")} AS p2, contains(employer, 'company') AND NOT {_pre("head", "license")} AND NOT {_pre("body", "license")} AS ok FROM s)
 SELECT url, CASE WHEN t1 AND p1 THEN 2 ELSE 1 END AS tier FROM h WHERE ok AND (t1 OR t2) AND (p1 OR p2)""",
     "described_terms": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), q AS (SELECT unnest(['anat', 'license', 'of', 'the']) AS term)
