@@ -146,7 +146,39 @@ def details(spark: SparkSession, d: str) -> DataFrame:
     return L.detail_lines(p, mapping)
 
 
+def feed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as entries of a feed per priority, the first 30 of each."""
+    n = F.col(KEY)
+    e = views.table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("source"), n.alias("entry_no"), F.concat(F.lit(" A  title\n"), n.cast("string")).alias("title"), URL().alias("link"), F.when(n % 2 == 0, F.col("o_orderstatus")).alias("summary"),
+        F.when(n % 3 == 0, F.lit("body")).alias("content"), F.when(n % 5 != 0, F.col("o_orderdate").cast("timestamp")).alias("published"), F.lit("1999-01-02").cast("timestamp").alias("updated"),
+    )
+    return shown(L.feed_entries(e, 30))
+
+
+def page_events(spark: SparkSession, d: str) -> DataFrame:
+    """A page per order whose script blob lists its lines as events."""
+    no = F.col("l_linenumber")
+    event = F.struct(
+        no, F.concat(F.lit("Event "), no.cast("string")).alias("name"), F.concat(F.lit("https://x.example/"), F.col("l_orderkey").cast("string"), F.lit("/"), no.cast("string"), F.lit("/"), F.col("l_partkey").cast("string")).alias("url"),
+        DAY("l_shipdate").alias("start"), F.when(no % 2 == 0, F.col("l_linestatus")).alias("city"), (no % 3 == 0).alias("offline"),
+    )
+    lines = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    blob = F.to_json(F.struct(F.struct("events").alias("props")))
+    html = F.concat(F.lit('<p>x</p><script id="__NEXT_DATA__" type="application/json">'), blob, F.lit("</script>"))
+    return shown(L.page_events(lines.select(F.lit("x").alias("source"), html.alias("html"))))
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as saved rows; some snapshots cannot be read, some rows are no longer saved."""
+    n, at = F.col(KEY), as_of()
+    body = F.to_json(F.struct(F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("salary_min")))
+    state = views.table(spark, d, "orders").select(n.alias("url"), F.when(n % 4 != 0, at).alias("saved_at"), F.when(n % 2 == 0, at).alias("seen_at"), F.when(n % 5 != 0, body).otherwise("{").alias("snapshot"))
+    return L.saved_snapshots(state, "title string, salary_min double").select("url", "seen", "saved", "title", F.round("salary_min", 2).alias("salary_min"))
+
+
 QUERIES = {
+    "land_feed_entries": feed_entries, "land_page_events": page_events, "saved_snapshots": snapshots,
     "land_variants": variants, "land_countries": countries, "detail_lines": details,
     "land_listings": listings, "land_front_page": link_page, "land_hiring_thread": thread, "land_graph_edges": edges, "land_hackathons": contests, "land_remote": remote, "land_boards": boards,
     "continued_rows": continued, "latest_issues": issues, "board_registry": registry, "permissive_items": permissive, "list_rows": rows_out, "reader_preferences": prefs,
@@ -164,7 +196,13 @@ def _row(**c: str) -> str:
 _I = "CASE WHEN o_orderkey % 4 = 0 THEN 'Internship' ELSE 'Job' END"
 _PAY = "CASE WHEN o_totalprice BETWEEN 10000 AND 2000000 THEN round(o_totalprice, 2) END"
 _UNIT = "CASE WHEN o_totalprice BETWEEN 10000 AND 2000000 THEN 'year' END"
+_NONE = "CAST(NULL AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS closes, CAST(NULL AS DOUBLE) AS salary_min, CAST(NULL AS VARCHAR) AS salary_period, CAST(NULL AS VARCHAR) AS simplify_id"
 ORACLES = {
+    "land_feed_entries": f"""SELECT concat('A title ', CAST(o_orderkey AS VARCHAR)) AS title, 'Article' AS item_type, concat('https://x.example/', CAST(o_orderkey AS VARCHAR)) AS url, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 0 THEN 'body' ELSE '' END AS content_text,
+strftime(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate ELSE DATE '1999-01-02' END, '%Y-%m-%d') AS day, CAST(NULL AS VARCHAR) AS location, {_NONE} FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 30""",
+    "land_page_events": f"""SELECT concat('Event ', CAST(l_linenumber AS VARCHAR)) AS title, 'Event' AS item_type, concat('https://x.example/', CAST(l_orderkey AS VARCHAR), '/', CAST(l_linenumber AS VARCHAR), '/', CAST(l_partkey AS VARCHAR)) AS url, '' AS content_text, strftime(l_shipdate, '%Y-%m-%d') AS day,
+CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus WHEN l_linenumber % 3 <> 0 THEN 'Online' END AS location, {_NONE} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) WHERE k <= 20""",
+    "saved_snapshots": "SELECT o_orderkey AS url, o_orderkey % 2 = 0 AS seen, true AS saved, o_orderpriority AS title, round(o_totalprice, 2) AS salary_min FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0",
     "land_variants": f"SELECT {_row(title='o_orderpriority', item_type='CASE WHEN o_orderkey % 5 = 0 THEN ' + chr(39) + 'Internship' + chr(39) + ' ELSE ' + chr(39) + 'Job' + chr(39) + ' END', url=_U, day=_D, location='CASE WHEN o_orderkey % 6 IN (0, 2, 3, 4) THEN ' + chr(39) + 'Oslo, Norway' + chr(39) + ' ELSE ' + chr(39) + 'Norway' + chr(39) + ' END')} FROM orders",
     "land_countries": f"""SELECT {_row(title='o_orderpriority', item_type=chr(39) + 'Job' + chr(39), url=_U, day=_D, location='CASE WHEN o_orderkey % 2 = 0 THEN ' + chr(39) + 'Canada | USA | UK' + chr(39) + ' ELSE ' + chr(39) + 'Peru' + chr(39) + ' END', salary_min='CASE WHEN o_totalprice >= 10000 THEN floor(o_totalprice) END', salary_period='CASE WHEN o_totalprice >= 10000 THEN ' + chr(39) + 'year' + chr(39) + ' END')} FROM orders""",
     "detail_lines": f"""SELECT {_U} AS url, section, line, text FROM orders, (VALUES (0, 'overview', 0, NULL), (0, 'overview', 1, 'And more'), (0, 'requirements', 10000, 'one'), (0, 'requirements', 10001, 'two'), (1, 'requirements', 0, 'one'), (1, 'requirements', 1, 'two')) v(odd, section, line, t0),

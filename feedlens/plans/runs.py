@@ -190,10 +190,18 @@ def frozen(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("resume").agg(F.count_if(~F.col("included")).alias("off")).join(n, "resume", "left").select("resume", "off", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
+def explained(spark: SparkSession, d: str) -> DataFrame:
+    """The feed with skill coverage in the merit, and the names of a row's terms, the weightiest first."""
+    asked, have = F.size("required_skills"), F.size("matched_skills")
+    rows = search.narrow(spark, d).withColumn("coverage", F.when(asked >= 2, have / asked))
+    got = feed.R.personalize(rows, feed.PROFILE, feed.as_of(), coverage=F.col("coverage"))
+    return got.select("url", F.round("merit", 4).alias("merit"), F.round("score", 4).alias("score"), F.array_join(F.transform("breakdown", lambda t: t["label"]), ",").alias("terms"))
+
+
 QUERIES = {
     "run_end": run_end, "search_watermarks": watermarks, "current_year": this_year, "pasted_postings": pasted, "stored_details": stored_details, "posting_routes": routes, "route_report": route_report,
     "board_tally": boards, "detail_coverage": detail_report, "corpus_report": corpus, "calibration": calibration, "queue_overlap": overlap, "home_widgets": widgets, "resume_import": imported,
-    "resume_round_trip": round_trip, "skills_block": skills_block, "frozen_choices": frozen,
+    "resume_round_trip": round_trip, "skills_block": skills_block, "frozen_choices": frozen, "feed_explained": explained,
 }
 
 _FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -210,7 +218,21 @@ p AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN
 h AS (SELECT conv_id, turn, role, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM c),
 b AS (SELECT p.*, unnest(CASE WHEN len(lines) = 0 THEN [NULL] ELSE lines END) AS line, unnest(CASE WHEN len(lines) = 0 THEN [NULL] ELSE range(len(lines)) END) AS bullet FROM p JOIN h USING (conv_id, turn, role))"""
 _MERIT = f"{S.RANKED}, q AS (SELECT *, round(merit, 9) AS m FROM ranked), o AS (SELECT *, row_number() OVER (ORDER BY m DESC, url) AS k FROM q WHERE opp)"
+_COVER = "CASE WHEN opp AND len(required_skills) >= 2 THEN 6.0 * len(matched_skills) / len(required_skills) ELSE 0.0 END"
+_LABELS = {
+    "field": "CASE WHEN discipline = 'A' THEN 4.0 ELSE 0.0 END", "kind": "CASE WHEN opp THEN 5.0 WHEN item_type = 'Event' THEN 4.0 ELSE 0.0 END", "interests": "least(len(matched_interests) * 4.0, 8.0)",
+    "prestige": "8.0 * CASE company_tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.4 WHEN 4 THEN 0.2 ELSE 0.0 END",
+    "level": "CASE WHEN opp THEN 6.0 * CASE WHEN seniority IS NULL THEN 0.0 WHEN seniority = 'Intern' THEN 1.0 ELSE -1.0 END ELSE 0.0 END", "home": "CASE WHEN list_contains(location_tags, 'Canada') THEN 3.0 ELSE 0.0 END",
+    "skills": "cover", "pay": f"CASE WHEN opp THEN 4.0 * coalesce(greatest(0.0, least(1.0, ({S.annual()} - 60000.0) / 140000.0)), 0.0) ELSE 0.0 END",
+    "recent": f"6.0 * pow(0.5, abs({S.minutes(S.NOW, 'ts')}) / 60.0 / 48.0)", "closed": "CASE WHEN t.kind IS NOT NULL AND days < 0 THEN -20.0 ELSE 0.0 END", "seen": "CASE WHEN seen THEN -3.0 ELSE 0.0 END",
+    "closing": "CASE WHEN t.kind IS NOT NULL AND days >= 0 THEN 8.0 * urgency * greatest(0.0, least(1.0, (merit + cover - b.lo) / (b.hi - b.lo))) ELSE 0.0 END",
+}
 ORACLES = {
+    "feed_explained": f"""WITH {search.ROWS}, t AS (SELECT *, {_COVER} AS cover FROM r), o2 AS (SELECT kind, merit + cover AS m, row_number() OVER (PARTITION BY kind ORDER BY merit + cover) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n FROM t WHERE kind IS NOT NULL),
+m2 AS (SELECT kind, max(m) FILTER (k = round((n - 1) * 0.5)) AS p50, max(m) FILTER (k = round((n - 1) * 0.9)) AS p90 FROM o2 GROUP BY kind),
+b AS (SELECT f.kind, greatest(f.lo, coalesce(p50, f.lo)) AS lo, greatest(greatest(f.hi, coalesce(p90, f.hi)), greatest(f.lo, coalesce(p50, f.lo)) + 1.0) AS hi FROM (VALUES ('opportunity', 9.0, 13.0), ('event', 6.0, 12.0)) f(kind, lo, hi) LEFT JOIN m2 ON m2.kind = f.kind),
+x AS (SELECT url, merit + cover AS merit, score1 + cover + {_LABELS["closing"]} AS score, list_sort(list_filter([{", ".join(f"struct_pack(k := -({e}), l := '{n}')" for n, e in _LABELS.items())}], lambda q: q.k <> 0)) AS terms FROM t LEFT JOIN b ON b.kind = t.kind)
+SELECT url, round(merit, 4) AS merit, round(score, 4) AS score, array_to_string(list_transform(terms, lambda q: q.l), ',') AS terms FROM x""",
     "run_end": f"""WITH {state._CACHE}, {_MARKS}, {S.PASS_ONE.replace(S.ITEMS + ", ", "", 1)}, fits AS (SELECT doc_id, row_number() OVER (ORDER BY round(merit - CASE WHEN opp THEN 4.0 * coalesce(greatest(0.0, least(1.0, ({S.annual()} - 60000.0) / 140000.0)), 0.0) ELSE 0.0 END, 6) DESC, c.ts DESC, url) AS k
  FROM two t JOIN (SELECT doc_id, ts FROM cache) c USING (doc_id) WHERE opp), kept AS (SELECT * FROM charged WHERE item_type NOT IN ('Job', 'Internship') OR doc_id IN (SELECT doc_id FROM fits WHERE k <= 3000)),
 j AS (SELECT *, {state._REASON} AS reason FROM kept), m AS (SELECT i.url, saved_at FROM marks m JOIN items i ON i.doc_id = m.url),
