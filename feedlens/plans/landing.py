@@ -200,7 +200,7 @@ _NONE = "CAST(NULL AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS closes, CAST
 ORACLES = {
     "land_feed_entries": f"""SELECT concat('A title ', CAST(o_orderkey AS VARCHAR)) AS title, 'Article' AS item_type, concat('https://x.example/', CAST(o_orderkey AS VARCHAR)) AS url, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 0 THEN 'body' ELSE '' END AS content_text,
 strftime(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate ELSE DATE '1999-01-02' END, '%Y-%m-%d') AS day, CAST(NULL AS VARCHAR) AS location, {_NONE} FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 30""",
-    "land_page_events": f"""SELECT concat('Event ', CAST(l_linenumber AS VARCHAR)) AS title, 'Event' AS item_type, concat('https://x.example/', CAST(l_orderkey AS VARCHAR), '/', CAST(l_linenumber AS VARCHAR), '/', CAST(l_partkey AS VARCHAR)) AS url, '' AS content_text, strftime(l_shipdate, '%Y-%m-%d') AS day,
+    "land_page_events": f"""SELECT concat('Event ', CAST(l_linenumber AS VARCHAR)) AS title, 'Event' AS item_type, concat('https://x.example/', CAST(l_orderkey AS VARCHAR), '/', CAST(l_linenumber AS VARCHAR), '/', CAST(l_partkey AS VARCHAR)) AS url, CAST(NULL AS VARCHAR) AS content_text, strftime(l_shipdate, '%Y-%m-%d') AS day,
 CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus WHEN l_linenumber % 3 <> 0 THEN 'Online' END AS location, {_NONE} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) WHERE k <= 20""",
     "saved_snapshots": "SELECT o_orderkey AS url, o_orderkey % 2 = 0 AS seen, true AS saved, o_orderpriority AS title, round(o_totalprice, 2) AS salary_min FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0",
     "land_variants": f"SELECT {_row(title='o_orderpriority', item_type='CASE WHEN o_orderkey % 5 = 0 THEN ' + chr(39) + 'Internship' + chr(39) + ' ELSE ' + chr(39) + 'Job' + chr(39) + ' END', url=_U, day=_D, location='CASE WHEN o_orderkey % 6 IN (0, 2, 3, 4) THEN ' + chr(39) + 'Oslo, Norway' + chr(39) + ' ELSE ' + chr(39) + 'Norway' + chr(39) + ' END')} FROM orders",
