@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import bpe, exact_dedup, html_text, langid, licenses, minhash, packing, quality_cnn, quality_rules, toxicity
+from feedlens.llm import bpe, exact_dedup, html_text, langid, licenses, minhash, packing, quality_cnn, quality_rules, spelling, toxicity, treap_search
 from feedlens.llm.common import fold, table
 
 
@@ -65,6 +65,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(treap_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_main_text": op2_main_text,
@@ -76,10 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_spelling": op12_spelling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_licenses": licenses.oracle(),
     "op7_quality_rules": quality_rules.oracle(),
+    "op12_spelling": spelling.ORACLE,
+    "op13_ranked_search": treap_search.ORACLE,
 }
