@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import bpe, exact_dedup, html_text, langid, licenses, minhash, packing, quality_cnn, quality_rules, spelling, toxicity, treap_search
+from feedlens.llm import bpe, exact_dedup, html_text, langid, licenses, minhash, packing, pii, quality_cnn, quality_rules, spelling, toxicity, treap_search
 from feedlens.llm.common import fold, table
 
 
@@ -65,6 +65,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_personal_data": op11_personal_data,
     "op12_spelling": op12_spelling,
     "op13_ranked_search": op13_ranked_search,
 }
