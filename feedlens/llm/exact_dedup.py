@@ -44,7 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("digest", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len"), "keep_id", "group_size")
         .groupBy("digest", "h", "len")
         .agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("long")))
+        # A filter, as no later projection can leave it out.
+        .where(F.when(F.col("texts") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("boolean")))
         .drop("texts")
     )
     keys = rows.select("doc_id", "digest", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len"))

@@ -4,8 +4,8 @@ The limit of a group is the quantile KEEP of its own sketch; no constant is adde
 from its size without a switch: its quantile and that of its language are averaged with weights n and PULL documents, and
 that of the language was averaged with the corpus' before in the same way.
 
-A sketch is a table of (bucket, count) rows. Its buckets are whole per-mille values below 128 and keep the seven
-highest bits above, so a quantile is exact or within 1/64 of its value. Two sketches merge by adding counts, which makes
+A sketch is a table of (bucket, count) rows. A bucket is named by its largest value; it is one per-mille value below 128 and holds
+those with the same seven highest bits above, so a quantile is exact or at most 1/64 above its value, and never below it. Two sketches merge by adding counts, which makes
 the map-side combine of a hot source a merge too, and gives the sketch of a language from those of its sources.
 """
 
@@ -123,9 +123,9 @@ def _share(metric: str) -> Column:
 
 
 def _bucket(value: Column) -> Column:
-    """Keeps the seven highest bits."""
+    """The largest value with the same seven highest bits."""
     low = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low) + 1, low) - 1
 
 
 def limits(counts: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ c AS (SELECT d.doc_id, d.lang, d.source, len(w.words) AS n_words, length(array_t
   coalesce(r.n, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters, coalesce(n.n_lines, 0) AS n_lines
   FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
 long0 AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {share(m)} AS v FROM c WHERE n_words > 0" for m in METRICS)}),
-long_ AS (SELECT lang, source, metric, (v >> {low}) << {low} AS bucket FROM long0),
+long_ AS (SELECT lang, source, metric, (((v >> {low}) + 1) << {low}) - 1 AS bucket FROM long0),
 k AS (SELECT lang, source, metric, bucket, count(*) AS n FROM long_ GROUP BY ALL),
 {quantiles("o", "lang, source")}, {quantiles("l", "lang")}, {quantiles("a", "")},
 e AS (SELECT l.lang, l.metric, (l.t * l.q + {PULL} * a.q) // (l.t + {PULL}) AS q FROM l JOIN a USING (metric)),

@@ -155,6 +155,10 @@ def test_digests_that_collide_stop_the_query(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(1))
     with pytest.raises(Exception, match="two texts share a digest"):
         exact_dedup.exact_dedup(same).collect()
+    import corpus_pipeline
+
+    with pytest.raises(Exception, match="two texts share a digest"):
+        corpus_pipeline.exact(spark, same, "").count()
 
 
 def test_bit_estimate_is_near_the_truth(spark):
@@ -504,13 +508,11 @@ def test_quality_rules(docs, odd, empty):
 
 
 def brute_limits(rows):
-    """rows: (lang, source, shares by metric) of texts with words. The limit of each group, from sorted values."""
-    floor = lambda v: (v >> (low := max(v.bit_length() - 7, 0))) << low
+    """rows: (lang, source, shares by metric) of texts with words. The limit of each group, from sorted values without buckets."""
     out = {}
 
     def high(values):
-        values = sorted(map(floor, values))
-        return values[-(-quality_rules.KEEP * len(values) // 100) - 1]
+        return sorted(values)[-(-quality_rules.KEEP * len(values) // 100) - 1]
 
     for m in quality_rules.METRICS:
         everything = high([r[2][m] for r in rows])
@@ -524,6 +526,17 @@ def brute_limits(rows):
     return out
 
 
+def test_limits_hold_their_group(spark):
+    """500 documents of one source that all have the same share, within a bucket that holds more values than one."""
+    text = " ".join(["abcde"] * 97 + ["abcdef"] * 3)
+    text = " ".join(w + chr(97 + k % 26) + chr(97 + k // 26) for k, w in enumerate(text.split()))
+    df = spark.createDataFrame([(k, text) for k in range(500)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = quality_rules.quality_rules(df)
+    row = got.first()
+    assert row["share_word_len"] == 7030 and row["share_word_len"] <= row["limit_word_len"] <= row["share_word_len"] * 65 // 64
+    assert got.where("kept").count() == 500
+
+
 def test_limits_follow_the_groups(spark, odd):
     """Sources that differ have limits that differ; limits, shares and verdicts against plain sorted lists."""
     rng = np.random.default_rng(9)
@@ -550,12 +563,17 @@ def test_limits_follow_the_groups(spark, odd):
             n, chars, symbols, dup, repeat = brute_counts(t)
             shares = share[t or "", lang, source][1]
             failed = n < 10 or 100 * repeat > 20 * n
-            kept = not failed and all(shares[m] <= limits[lang, source, m] for m in shares)
-            want.append((i, n, chars, symbols, dup, repeat, failed, kept, *shares.values(), *(limits.get((lang, source, m)) for m in shares)))
+            want.append((i, n, chars, symbols, dup, repeat, failed, *shares.values(), *(limits.get((lang, source, m)) for m in shares)))
+        k, own = len(quality_rules.METRICS), 7
         got = [tuple(r) for r in quality_rules.quality_rules(frame).collect()]
-        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        near = lambda have, exact: have == exact or exact is not None and exact <= have <= exact + exact // 64 + 1
+        plain = sorted(got, key=lambda r: repr(r[:own] + r[own + 1 : own + 1 + k]))
+        for have, exact in zip(plain, sorted(want, key=lambda r: repr(r[: own + k])), strict=True):
+            shares, limit = have[own + 1 : own + 1 + k], have[own + 1 + k :]
+            assert have[:own] + shares == exact[: own + k] and all(map(near, limit, exact[own + k :]))
+            assert have[own] == (not have[6] and all(s <= x for s, x in zip(shares, limit, strict=True)))
         if frame is df:
-            assert len({limits[None, s, "symbols"] for s in ("a", "b", "c", None)}) == 4 and 0 < sum(w[7] for w in want) < 600
+            assert len({limits[None, s, "symbols"] for s in ("a", "b", "c", None)}) == 4 and 0 < sum(g[own] for g in got) < 600
 
 
 def test_repeated_words_of_long_and_short_texts():
