@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,28 +38,44 @@ def promote(entries: DataFrame, by: Sequence[str], reorderable: Column) -> DataF
     return entries.withColumn("place", rank)
 
 
+def kept_within(entry: Sequence, pos: Sequence, relevance: Sequence[float], covered: Sequence[Sequence[str]], pinned: Sequence[bool], budget: int) -> list[int]:
+    """Rows that stay, by select_within's rule. Dropping a bullet never makes another cheaper, so a heap of old costs is enough: a cost
+    is brought up to date when it comes to the top."""
+    n = len(entry)
+    entries, skills = Counter(entry), Counter(s for c in covered for s in c)
+    owed = [Counter(c) for c in covered]
+
+    def cost(i: int) -> float:
+        return 0.5 + relevance[i] + 1.5 * sum(m for s, m in owed[i].items() if skills[s] == 1) + 100 * (entries[entry[i]] == 1)
+
+    heap = [(cost(i), -pos[i], i) for i in range(n) if not pinned[i]]
+    heapify(heap)
+    gone, left = set(), n
+    while heap and left > budget:
+        old, place, i = heappop(heap)
+        if (now := cost(i)) > old:
+            heappush(heap, (now, place, i))
+            continue
+        gone.add(i)
+        left -= 1
+        entries[entry[i]] -= 1
+        skills.subtract(owed[i])
+    return [i for i in range(n) if i not in gone]
+
+
 def select_within(scored: DataFrame, budget: int) -> DataFrame:
     """Bullets that stay when the cheapest is dropped again and again until `budget` of a (résumé, posting) are left.
 
-    A bullet costs 0.5 + relevance, 1.5 per want of a skill that it alone covers, and 100 if it is the last of its entry;
+    A bullet costs 0.5 + relevance, 1.5 per skill that it alone covers, and 100 if it is the last of its entry;
     pinned ones stay; of equals the later goes. The choice is sequential, but a group is the bullets of one résumé.
     scored: url, bullet, entry, pos, relevance, covered, pinned.
     """
     kind = dict(scored.dtypes)
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["pos"])
-        while sum(not r["pinned"] for r in rows) and len(rows) > budget:
-            count: dict = {}
-            entries: dict = {}
-            for r in rows:
-                entries[r["entry"]] = entries.get(r["entry"], 0) + 1
-                for s in r["covered"]:
-                    count[s] = count.get(s, 0) + 1
-            cost = lambda r: 0.5 + r["relevance"] + 1.5 * sum(count[s] == 1 for s in r["covered"]) + 100 * (entries[r["entry"]] == 1)  # noqa: E731, B023
-            gone = min((r for r in rows if not r["pinned"]), key=lambda r: (cost(r), -r["pos"]))
-            rows.remove(gone)
-        return pa.table({"url": pa.array([r["url"] for r in rows], group.schema.field("url").type), "bullet": pa.array([r["bullet"] for r in rows], group.schema.field("bullet").type)})
+        columns = [group.column(c).to_pylist() for c in ("entry", "pos", "relevance", "covered", "pinned")]
+        stays = kept_within(*columns, budget)
+        return group.select(["url", "bullet"]).take(pa.array(stays, pa.int64()))
 
     return scored.groupBy("url").applyInArrow(run, f"url {kind['url']}, bullet {kind['bullet']}")
 

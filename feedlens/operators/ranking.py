@@ -230,9 +230,15 @@ def order_by(keys: Sequence[str]) -> list[Column]:
 
 
 def feed(ranked: DataFrame, n: int, bucket: Column | None = None) -> DataFrame:
-    """The first n of the diversified order, with position from 1; the position is numbered over n rows only."""
-    rows = diversify_order(ranked, F.coalesce("company", "source_platform") if bucket is None else bucket)
-    rows = rows.where(F.col("_round") <= n)  # a bucket has no more than n places among the first n
+    """The first n of the diversified order, with position from 1; the position is numbered over n rows only.
+
+    A bucket has no more than n places among the first n, so each task keeps its best n of a bucket before rows are shuffled, and
+    a hot bucket brings n rows of each task to its window.
+    """
+    rows = ranked.withColumn("_bucket", F.coalesce("company", "source_platform") if bucket is None else bucket)
+    best = W.partitionBy("_bucket").orderBy(F.desc("score"), F.asc("url"))
+    rows = rows.withColumn("_round", F.row_number().over(best)).where(F.col("_round") <= n)
+    rows = rows.select(*ranked.columns, "_round", F.first("score").over(best).alias("_top"), F.first("url").over(best).alias("_first"))
     top = rows.orderBy(*order_by(ROUND_ROBIN)).limit(n)
     return top.withColumn("position", F.row_number().over(W.orderBy(*order_by(ROUND_ROBIN))))
 

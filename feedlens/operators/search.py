@@ -191,3 +191,36 @@ def sort_keys(sort: str, as_of: Column) -> list[Column]:
 def numbered(items: DataFrame, keys: list[Column], n: int) -> DataFrame:
     """The first n rows in order, with a position; only these n rows are numbered."""
     return items.orderBy(*keys).limit(n).withColumn("position", F.row_number().over(W.orderBy(*keys)))
+
+
+def sort_ranks(items: DataFrame, as_of: Column) -> dict[str, Column]:
+    """The keys of all hub sorts as structs of one type, (place, number, name, second number), each ascending."""
+    year = pay.annual_equivalent(F.col("salary_min"), F.col("salary_max"), F.col("salary_period"))
+    ahead = F.unix_micros(F.when(F.col("closes_at") >= as_of, F.col("closes_at").cast("timestamp")))
+    company = F.lower(text.company_of(F.col("company"), F.col("title"), F.col("item_type")))
+
+    def key(number: Column | None = None, place: Column | None = None, name: Column | None = None, second: Column | None = None) -> Column:
+        absent = F.lit(0) if number is None and name is None else F.when((number if name is None else name).isNull(), 1).otherwise(0)
+        zero = F.lit(0.0)
+        return F.struct(
+            (absent if place is None else place).cast("int").alias("place"), (zero if number is None else F.coalesce(number.cast("double"), zero)).alias("number"),
+            (F.lit("") if name is None else F.coalesce(name, F.lit(""))).alias("name"), (zero if second is None else second.cast("double")).alias("second"),
+        )
+
+    return {
+        "best": key(-F.col("score")),
+        "last_call": key(ahead, F.when(ahead.isNull(), 2).when(F.col("last_call"), 0).otherwise(1), second=-F.col("score")),
+        "newest": key(-F.unix_micros(F.col("ts").cast("timestamp"))),
+        "closing_soonest": key(ahead),
+        "closing_latest": key(-F.unix_micros(F.col("closes_at").cast("timestamp"))),
+        "highest_pay": key(-year),
+        "company": key(name=company),
+    }
+
+
+def all_sorts(items: DataFrame, as_of: Column, n: int) -> DataFrame:
+    """(sort, position, url): the first n rows of every hub sort, from one scan. Each task keeps n rows of a sort before they are shuffled."""
+    keys = sort_ranks(items, as_of)
+    each = items.select("url", F.inline(F.array(*(F.struct(F.lit(name).alias("sort"), k.alias("key")) for name, k in keys.items()))))
+    place = F.row_number().over(W.partitionBy("sort").orderBy("key", "url"))
+    return each.withColumn("position", place).where(F.col("position") <= n).select("sort", "position", "url")

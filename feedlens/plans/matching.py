@@ -169,6 +169,13 @@ SELECT url, description, strftime(c, '%Y-%m-%d') AS closes, salary_min, CASE WHE
 SELECT page_id, array_to_string(list_filter([CASE WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'net' WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'org' END,
 CASE WHEN host IS NOT NULL AND NOT contains(url, '/search') AND NOT contains(url, '?q=') AND host <> 'example.org' AND NOT ends_with(host, '.example.org') THEN 'page' END, CASE WHEN page_id % 4 = 0 THEN 'mirror' END], lambda x: x IS NOT NULL), '>') AS route FROM h""",
     "bullet_relevance": f"WITH {_REL} SELECT bullet, url, round(relevance, 4) AS relevance, array_to_string(covered, ',') AS covered FROM rel",
+    "select_within_budget": f"""WITH RECURSIVE {_REL}, st AS (
+SELECT url, list(struct_pack(bullet := bullet, entry := bullet // 4, relevance := round(relevance, 9), covered := covered) ORDER BY bullet) AS bs FROM rel GROUP BY url
+UNION ALL
+SELECT url, list_filter(bs, lambda x: x.bullet <> -pick.p) FROM (SELECT url, bs, list_sort(list_transform(list_filter(bs, lambda r: r.bullet <> 0), lambda r: struct_pack(
+  c := 0.5 + r.relevance + 1.5 * len(list_filter(r.covered, lambda s: len(list_filter(bs, lambda x: list_contains(x.covered, s))) = 1)) + 100 * CAST(len(list_filter(bs, lambda x: x.entry = r.entry)) = 1 AS INT), p := -r.bullet)))[1] AS pick
+  FROM st WHERE len(bs) > 2) WHERE pick IS NOT NULL)
+SELECT url, unnest(bs).bullet AS bullet FROM (SELECT url, arg_min(bs, len(bs)) AS bs FROM st GROUP BY url)""",
     "promote_entries": f"""WITH {_REL}, en AS (SELECT url, bullet // 4 AS pos, max(relevance) + 0.3 * (sum(relevance) - max(relevance)) AS s FROM rel GROUP BY 1, 2)
 SELECT url, pos, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN url % 2 = 0 THEN -round(s, 6) ELSE 0 END, pos) AS place, round(s, 4) AS entry_score FROM en""",
     "tailoring_coverage": f"""WITH {_REL}, hs AS (SELECT url, list_distinct(flatten(list(covered))) AS has FROM rel WHERE len(covered) >= 2 GROUP BY url), ask AS (SELECT url, list(skill ORDER BY emphasis, skill) AS asked FROM dem GROUP BY url)

@@ -85,12 +85,8 @@ def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
 
 def sorts(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty of each hub sort."""
-    t = narrow(spark, d).where(R.is_opportunity(F.col("item_type"))).withColumn("last_call", F.col("doc_id") % 8 == 0)
-    out: DataFrame | None = None
-    for name in ("best", "last_call", "newest", "closing_soonest", "closing_latest", "highest_pay", "company"):
-        one = Q.numbered(t, Q.sort_keys(name, as_of()), 50).select(F.lit(name).alias("sort"), "position", "url")
-        out = one if out is None else out.unionByName(one)
-    return out
+    t = rows(spark, d).drop("content_text").where(R.is_opportunity(F.col("item_type"))).withColumn("last_call", F.col("doc_id") % 8 == 0)
+    return Q.all_sorts(t, as_of(), 50)
 
 
 def tier_first(spark: SparkSession, d: str) -> DataFrame:
