@@ -19,40 +19,36 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import LOWER, UPPER, cut, forget
+from feedlens.llm.common import cut, forget
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-NO_LETTER = re.compile("[^A-Za-zÀ-ÿ]")
-TO_LOWER = str.maketrans(UPPER, LOWER)
 #: One (document, run) in so many loses a code point.
 MISPRINT = 31
 #: Least code points and occurrences of a word; a form is so many times as frequent as its variant.
 LEAST, TWICE, TIMES = 7, 2, 10
+#: Runs that can be words; shorter runs lose letters only.
+RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST},}}")
+NO_LETTER = re.compile("[^A-Za-zÀ-ÿ]")
 #: Characters of a text that are cut into runs at a time, and words that a task counts before it hands them on.
-STEP, HELD = 1 << 20, 200_000
+STEP, HELD = 1 << 20, 100_000
 BASE, PRIME = 1_000_003, (1 << 61) - 1
 
 
-def runs(text: str | None) -> Iterator[list[str]]:
-    """The lower-cased runs of letters of a whole text, step by step."""
-    text, at = text or "", 0
+def runs(text: str) -> Iterator[list[str]]:
+    """The runs of at least LEAST letters of a whole text, with A-Z lower-cased, step by step."""
+    at = 0
     while at < len(text):
         end = NO_LETTER.search(text, at + STEP)
         end = end.start() if end else len(text)
-        yield RUN.findall(text[at:end].translate(TO_LOWER))
+        yield RUN.findall(text[at:end].encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
         at = end
 
 
-def misprint(doc_id: int | None, run: str) -> str:
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
-    return run if h % MISPRINT else run[: (at := h % len(run))] + run[at + 1 :]
-
-
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n): words of at least LEAST code points that occur at least TWICE, counted over all whole texts."""
 
@@ -63,15 +59,23 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         held: Counter = Counter()
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                doc_id, own = doc_id.as_py(), Counter()
-                for part in runs(text.as_py()):
-                    own.update(x for x in part if len(x) >= LEAST)
-                for x, n in own.items():
-                    if len(word := misprint(doc_id, x)) >= LEAST:
-                        held[word] += n
+                own: Counter = Counter()
+                for part in runs(text.as_py() or ""):
+                    own.update(part)
+                doc_id = doc_id.as_py()
+                start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+                for word, n in own.items():
+                    h = zlib.crc32(word.encode(), start)
+                    if h % MISPRINT == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                        if len(word) < LEAST:
+                            continue
+                    held[word] = held.get(word, 0) + n
                 if len(held) > HELD:
                     yield flush(held)
                     held.clear()
+            pa.default_memory_pool().release_unused()
         yield flush(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -83,6 +87,11 @@ def half(length: int, back: int) -> int:
     return length - length // 2 if back else length // 2
 
 
+def hashes(s: str, back: int) -> list[int]:
+    """A rolling hash of each prefix of s, the empty one first; the two tries start from different values."""
+    return list(accumulate(map(ord, s), lambda h, c: (h * BASE + c) % PRIME, initial=back + 1))
+
+
 def prefixes(words: DataFrame) -> DataFrame:
     """(id, back, depth, node, next, fixed): the nodes below the half of each word, in both tries.
 
@@ -90,28 +99,30 @@ def prefixes(words: DataFrame) -> DataFrame:
     this length start.
     """
 
+    names = ["id", "back", "depth", "node", "next", "fixed"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
         for batch in batches:
-            rows: list[tuple] = []
             for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = len(word)
                 for back in (0, 1):
-                    s, h = word[::-1] if back else word, back + 1
+                    s = word[::-1] if back else word
                     starts = {half(n + d, back) for d in (-1, 0, 1)}
                     low = min(starts)
-                    for depth in range(n + 1):
-                        c = s[depth] if depth < n else ""
-                        if depth >= low:
-                            rows.append((key, back, depth, h, c, depth == n or depth in starts))
-                        if c:
-                            h = (h * BASE + ord(c)) % PRIME
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=arrow)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=arrow)
+                    fixed = [False] * (n - low) + [True]
+                    for x in starts:
+                        if x <= n:
+                            fixed[x - low] = True
+                    here = [*s[low:], ""]
+                    for column, values in zip(out, ([key] * len(here), [back] * len(here), range(low, n + 1), hashes(s, back)[low:], here, fixed), strict=True):
+                        column.extend(values)
+                if len(out[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+                    out = [[] for _ in names]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
-    arrow = pa.schema([("id", pa.int64()), ("back", pa.int64()), ("depth", pa.int64()), ("node", pa.int64()), ("next", pa.string()), ("fixed", pa.bool_())])
     return words.select("id", "word").mapInArrow(run, "id long, back long, depth long, node long, next string, fixed boolean")
 
 
@@ -149,36 +160,39 @@ def seeds(words: DataFrame) -> DataFrame:
             rows = []
             for word in batch.column(0).to_pylist():
                 for back in (0, 1):
-                    s, h = word[::-1] if back else word, back + 1
                     upto = half(len(word), back)
-                    for c in s[:upto]:
-                        h = (h * BASE + ord(c)) % PRIME
-                    rows.append((word, back, upto, h))
+                    rows.append((word, back, upto, hashes((word[::-1] if back else word)[:upto], back)[-1]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["word", "back", "pos", "node"])
 
     return words.select("word").mapInArrow(run, "word string, back long, pos long, node long").select("word", "back", "pos", "node", F.lit(0).alias("edits"))
 
 
-#: A state without an edit meets a label of k letters: exactly, or by one edit against k, k - 1 or k + 1 letters of its word.
-BRANCH = """filter(array(
-  struct(pos + k AS pos, int(substring(s, int(pos) + 1, k) <> label) AS edits, length(s) >= pos + k AND levenshtein(label, substring(s, int(pos) + 1, k), 1) >= 0 AS ok),
-  struct(pos + k - 1 AS pos, 1 AS edits, length(s) >= pos + k - 1 AND levenshtein(label, substring(s, int(pos) + 1, k - 1), 1) = 1 AS ok),
-  struct(pos + k + 1 AS pos, 1 AS edits, length(s) >= pos + k + 1 AND levenshtein(label, substring(s, int(pos) + 1, k + 1), 1) = 1 AS ok)), x -> x.ok)"""
-#: A state lives on if an edge can follow, and is done if its word ends with its edit.
-ALIVE = "edits = 0 OR length(s) = pos AND ends OR instr(follow, substring(s, int(pos) + 1, 1)) > 0 AND length(s) > pos"
+def alive(pos: str) -> str:
+    """A state with its edit lives on at pos if an edge can follow, and is done if another word ends where its own does."""
+    return f"(length(s) = {pos} AND ends OR length(s) > {pos} AND instr(follow, substring(s, int({pos}) + 1, 1)) > 0)"
+
+
+#: A state without an edit meets a label of k letters: exactly, or by one edit against k, k - 1 or k + 1 letters of its word. Any letter
+#: stands for another by one edit, and any letter can be inserted, so most labels need no edit distance.
+SAME = "substring(s, int(pos) + 1, k) = label"
+REPLACED = f"{alive('pos + k')} AND (k = 1 OR levenshtein(label, substring(s, int(pos) + 1, k), 1) = 1)"
+INSERTED = f"{alive('pos + k - 1')} AND (k = 1 OR levenshtein(label, substring(s, int(pos) + 1, k - 1), 1) = 1)"
+DELETED = f"{alive('pos + k + 1')} AND levenshtein(label, substring(s, int(pos) + 1, k + 1), 1) = 1"
 
 
 def level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """All states one edge further."""
     own = frontier.withColumn("s", letters())
-    free = own.where("edits = 0").join(edges.drop("first"), "node").withColumn("k", F.length("label"))
-    free = free.select("word", "back", "s", "child", "follow", "ends", F.expr(f"inline({BRANCH})")).drop("ok")
-    bound = own.where("edits = 1 AND length(s) > pos").withColumn("first", F.expr("substring(s, int(pos) + 1, 1)")).join(edges, ["node", "first"])
-    bound = bound.where("substring(s, int(pos) + 1, length(label)) = label").select(
-        "word", "back", "s", "child", "follow", "ends", (F.col("pos") + F.length("label")).alias("pos"), "edits"
+    free = own.where("edits = 0").drop("edits").join(edges.drop("first"), "node").withColumn("k", F.length("label"))
+    free = free.withColumn("same", F.expr(SAME)).selectExpr(
+        "word", "back", "child", "same", "k", "pos", f"NOT same AND {REPLACED} AS replaced", f"{INSERTED} AS inserted", f"{DELETED} AS deleted"
     )
-    return free.unionByName(bound).where(ALIVE).select("word", "back", "pos", F.col("child").alias("node"), "edits")
+    ways = [f"if({flag}, struct(pos + k{d} AS pos, {n} AS edits), null)" for flag, d, n in (("same", "", 0), ("replaced", "", 1), ("inserted", " - 1", 1), ("deleted", " + 1", 1))]
+    free = free.where("same OR replaced OR inserted OR deleted").selectExpr("word", "back", "child", f"inline(array({', '.join(ways)}))").where("pos IS NOT NULL")
+    bound = own.where("edits = 1 AND length(s) > pos").withColumn("first", F.expr("substring(s, int(pos) + 1, 1)")).join(edges, ["node", "first"])
+    bound = bound.where("substring(s, int(pos) + 1, length(label)) = label").withColumn("pos", F.col("pos") + F.length("label")).where(alive("pos"))
+    return free.unionByName(bound.select("word", "back", "child", "pos", "edits")).select("word", "back", "pos", F.col("child").alias("node"), "edits")
 
 
 #: A word is used up with its edit, or its last letter is the one too many.
