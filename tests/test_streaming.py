@@ -1,12 +1,14 @@
 """Streams against their batch forms."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from feedlens.operators import entities as E
 from feedlens.operators import liveness as L
-from feedlens.streaming import boards, ingest
+from feedlens.streaming import boards, ingest, store
 
 
 def write_parts(df, path, by, n):
@@ -33,17 +35,49 @@ def test_upsert_stream_over_many_batches(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
-def test_board_health_stream(spark, tmp_path, small):
-    e = spark.read.parquet(f"{small}/events.parquet")
-    answer = F.when(F.col("event_type").isin("purchase", "view"), "Rows").when(F.col("event_type") == "error", "Gone").when(F.col("event_type") == "click", "Empty").otherwise("Unclear")
-    rows = e.select(F.col("user_id").alias("board"), F.col("ts").cast("timestamp").alias("ts"), answer.alias("answer"))
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").withWatermark("ts", "1 day")
-    q = boards.board_health(stream).writeStream.format("memory").queryName("health").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["board"]: r["strikes"] for r in spark.table("health").collect()}
-    want = {r["board"]: r["strikes"] for r in L.strikes(rows, "board", "ts", "answer").collect()}
+def answers_of(spark, rows, folder, parts=1):
+    df = spark.createDataFrame(rows, "board string, ts timestamp, answer string, n int")
+    df = df.withColumn("_k", F.ntile(parts).over(W.orderBy("ts")))
+    for k in range(1, parts + 1):
+        df.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.drop("_k").schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", "1 hour")
+
+
+def health(spark, stream, tmp_path, **more):
+    boards.rocks(spark)
+    kept = store.Store(spark, f"{tmp_path}/health", {"health": ["board"]})
+    store.run_stream(boards.board_health(stream, **more), kept, lambda _, batch: {"health": batch})
+    return {r["board"]: (r["strikes"], r["last_strike"], r["last_count"], r["last_try"]) for r in kept.read("health").collect()}
+
+
+def test_board_health_stream_of_five_batches(spark, tmp_path):
+    rng = random.Random(6)
+    start = dt.datetime(2020, 1, 1)
+    rows = [(f"b{rng.randrange(6)}", start + dt.timedelta(hours=3 * k), rng.choice(["Rows", "Gone", "Empty", "Gone", "Empty", "Unclear"]), rng.choice([None, 5])) for k in range(200)]
+    got = health(spark, answers_of(spark, rows, f"{tmp_path}/in", 5), tmp_path)
+    want: dict = {}
+    for board, ts, answer, n in rows:
+        t = int(ts.replace(tzinfo=dt.timezone.utc).timestamp())
+        strikes, last, count, _ = want.get(board, (0, None, None, None))
+        strikes, last = boards.advance(strikes, last, t, answer)
+        want[board] = strikes, last, {"Rows": n, "Unclear": count}.get(answer, 0), t
     assert got == want
+    batch = L.strikes(spark.createDataFrame(rows, "board string, ts timestamp, answer string, n int"), "board", "ts", "answer").collect()
+    assert {r["board"]: r["strikes"] for r in batch} == {b: v[0] for b, v in got.items()}
+
+
+def test_silent_boards_are_forgotten(spark, tmp_path):
+    day = lambda d: dt.datetime(2020, 1, 1) + dt.timedelta(days=d)
+    rows = [("quiet", day(0), "Gone", None), ("quiet", day(2), "Gone", None), ("loud", day(0), "Gone", None), ("loud", day(20), "Gone", None), ("loud", day(45), "Empty", None), ("loud", day(46), "Unclear", None), ("quiet", day(47), "Gone", None), ("loud", day(48), "Gone", None)]
+    stream = answers_of(spark, rows, f"{tmp_path}/in", 8)
+    got = health(spark, stream, tmp_path, forget_ms=30 * 24 * 3600 * 1000)
+    assert {b: v[0] for b, v in got.items()} == {"quiet": 1, "loud": 4}
+
+
+def test_runs_in_which_all_failed_are_not_trusted(spark):
+    answers = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "board string, run int")
+    outcomes = spark.createDataFrame([(1, True), (1, False), (2, False), (2, False), (3, None)], "run int, ok boolean")
+    assert [r["board"] for r in boards.trusted(answers, outcomes).collect()] == ["a"]
 
 
 def test_batches_write_only_the_buckets_they_touch(spark, tmp_path):
