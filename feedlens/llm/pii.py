@@ -28,6 +28,8 @@ TOKEN = re.compile(r" ?[^\W_]+| ?[^\w\s]|_|\s+")
 STEP, CELLS = 1 << 20, 1 << 18
 #: Tokens whose shapes a worker remembers.
 REMEMBERED = 200_000
+#: Rounds in which tokens become sure before the rest is decoded.
+ROUNDS = 4
 CUES = {
     "title": "mr mrs ms dr prof herr frau señor señora monsieur madame mme",
     "call": "phone tel telephone telefon fax mobile call teléfono téléphone whatsapp handy",
@@ -293,14 +295,17 @@ class Tagger:
     """A field with the shapes of the tokens seen last.
 
     Most tokens need no path: where the score of O is so far above all others that no transitions make up for it, the best label is O
-    whatever stands around. The chain falls apart there, and Viterbi decodes the runs between such tokens.
+    whatever stands around. Once a token is known to be O, its neighbours gain less by another label, so more become sure, round by
+    round. The chain falls apart at sure tokens, and Viterbi decodes the runs between them.
     """
 
     def __init__(self, field: Field):
         self.field = Field(field.shapes, field.near.astype(np.float32), field.pair.astype(np.float32), field.move.astype(np.float32))
         move = field.move
-        way = move[:, :, None] + move[None, :, :]  # from, by, to
-        self.sure = ((way[:, 1:] - way[:, :1]).max((0, 2)) + 1e-3).astype(np.float32)  # by label
+        into, out = move[:, 1:] - move[:, :1], (move[1:] - move[:1]).T  # what a label gains over O after and before each label
+        # By what stands beside: anything, O, or the end of a sequence.
+        self.left = np.stack([into.max(0), into[0], 0 * into[0]]).astype(np.float32) + np.float32(5e-4)
+        self.right = np.stack([out.max(0), out[0], 0 * out[0]]).astype(np.float32) + np.float32(5e-4)
         self.known: dict[str, int] = {}
 
     def packed(self, token: str) -> int:
@@ -339,12 +344,23 @@ class Tagger:
         place = np.arange(len(flat)) + 2 * np.cumsum(starts)
         padded = np.full(place[-1] + 3, EDGE, np.int32)
         padded[place] = flat
-        open_ = np.zeros(len(flat), bool)
+        edge = np.r_[starts, True]
+        unsure, gains = [], []
         for a in range(0, len(flat), CELLS):
-            e = self.field.emissions(padded[place[a] - 2 : place[min(a + CELLS, len(flat)) - 1] + 3])[place[a : a + CELLS] - place[a]]
-            open_[a : a + CELLS] = (e[:, :1] < e[:, 1:] + self.sure).any(1)
-        open_ &= ~line
-        hit = np.flatnonzero(open_)
+            b = min(a + CELLS, len(flat))
+            e = self.field.emissions(padded[place[a] - 2 : place[b - 1] + 3])[place[a:b] - place[a]]
+            gain = e[:, 1:] - e[:, :1]
+            kept = np.flatnonzero(((gain + self.left[0] + self.right[0]).max(1) > 0) & ~line[a:b])
+            unsure.append(kept + a)
+            gains.append(gain[kept])
+        hit, gain = np.concatenate(unsure), np.concatenate(gains)
+        known = np.ones(len(flat) + 2, np.int8)
+        known[hit + 1] = 0
+        for _ in range(ROUNDS):  # any number is exact
+            left, right = np.where(edge[hit], 2, known[hit]), np.where(edge[hit + 1], 2, known[hit + 2])
+            still = (gain + self.left[left] + self.right[right]).max(1) > 0
+            known[hit[~still] + 1] = 1
+            hit, gain = hit[still], gain[still]
         if not len(hit):
             return
         first = hit[np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | starts[hit[1:]]])]
