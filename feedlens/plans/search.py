@@ -12,7 +12,9 @@ from feedlens.operators import search as Q
 from feedlens.plans import feed
 from feedlens.plans import sqlparts as S
 from feedlens.sources import views
-from feedlens.sources.shared import stored
+from feedlens.sources.manifest import Log
+from feedlens.sources.shared import shared_folder, stored
+from feedlens.sources.text_index import TextIndex
 
 
 def as_of() -> Column:
@@ -65,9 +67,37 @@ def searched(spark: SparkSession, d: str) -> DataFrame:
     return got.where("tier > 0").select("url", "tier")
 
 
+_indexes: dict[str, TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of `documents`, built by the session's first query that asks for it and again when the table's files have changed."""
+    path = f"{d}/documents.parquet"
+    log = Log(spark, path)
+    fs, where = log.at(path)
+    files = fs.listStatus(where)
+    sign = f"{spark.sparkContext.applicationId}|{path}|" + ",".join(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in files)
+    if sign not in _indexes:
+        index = TextIndex(spark, shared_folder(spark, "index"))
+        index.add(views.table(spark, d, "documents"), "doc_id", "text")
+        _indexes[sign] = index
+    return _indexes[sign]
+
+
 def described_search(spark: SparkSession, d: str) -> DataFrame:
-    index = Q.build_index(views.table(spark, d, "documents"), "doc_id", "text")
-    return Q.described_terms(index, ["anat", "license", "of", "the"]).select(F.col("id").alias("doc_id"), "term")
+    return text_index(spark, d).lookup(["anat", "license", "of", "the"]).select(F.col("id").alias("doc_id"), "term")
+
+
+def index_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index after documents were replaced and removed in several segments, then merged: postings by first character."""
+    docs = views.table(spark, d, "documents").select("doc_id", "text")
+    index = TextIndex(spark, shared_folder(spark, "segments"), most=3)
+    index.add(docs, "doc_id", "text")
+    index.add(docs.where("doc_id % 6 = 1").withColumn("text", F.concat_ws(" ", "text", F.lit("amended edition"))), "doc_id", "text")
+    index.remove(docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    index.add(docs.where("doc_id % 21 = 0").withColumn("text", F.lit("Zurück again")), "doc_id", "text")
+    index.add(docs.where("doc_id % 5 = 2").withColumn("text", F.concat_ws(" ", F.lit("fifth"), "text")), "doc_id", "text")
+    return index.postings().groupBy(F.substring("token", 1, 1).alias("part")).agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("id").alias("documents"))
 
 
 def index_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +192,7 @@ def merit_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "facets": facets, "filter_roles": filtered, "admits": admitted, "search": searched, "described_terms": described_search, "index_counts": index_counts, "index_upkeep": index_upkeep,
+    "facets": facets, "filter_roles": filtered, "admits": admitted, "search": searched, "described_terms": described_search, "index_counts": index_counts, "index_upkeep": index_upkeep, "index_segments": index_segments,
     "hub_sorts": sorts, "tier_first_order": tier_first, "per_group_caps": per_source, "paced_queue": paced_queue, "bands": bands, "palette_groups": palette, "counts": counts,
     "source_counts": by_source, "saved_search_counts": saved_searches, "skill_coverage": coverage, "merit_report": merit_report,
 }
@@ -206,6 +236,8 @@ SELECT DISTINCT doc_id, term FROM t JOIN q ON CASE WHEN length(term) = 2 THEN to
     "index_counts": f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) SELECT substr(token, 1, 2) AS prefix, count(*) AS postings, count(DISTINCT token) AS tokens FROM t GROUP BY 1",
     "index_upkeep": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN concat_ws(' ', text, 'amended edition') ELSE text END AS text FROM documents WHERE doc_id % 6 = 1 OR doc_id % 7 <> 0),
 t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM d) SELECT doc_id, count(*) AS n FROM t GROUP BY 1""",
+    "index_segments": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN concat_ws(' ', 'fifth', text) WHEN doc_id % 21 = 0 THEN 'Zurück again' WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 6 = 1 THEN concat_ws(' ', text, 'amended edition') ELSE text END AS text FROM documents),
+t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM d) SELECT substr(token, 1, 1) AS part, count(*) AS postings, count(DISTINCT doc_id) AS documents FROM t GROUP BY 1""",
     "hub_sorts": f"WITH {ROWS} " + " UNION ALL ".join(f"SELECT '{n}' AS sort, k AS position, url FROM (SELECT url, row_number() OVER (ORDER BY {o}, url) AS k FROM r WHERE opp) WHERE k <= 50" for n, o in _SORTS.items()),
     "tier_first_order": f"""WITH {ROWS}, h AS (SELECT url, score, CASE WHEN {_pre("head", "th")} THEN 2 WHEN {_pre("body", "th")} THEN 1 ELSE 0 END AS tier FROM s)
 SELECT row_number() OVER (ORDER BY tier DESC, score DESC, url) AS position, url, tier FROM h WHERE tier > 0 ORDER BY position LIMIT 100""",

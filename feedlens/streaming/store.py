@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens.operators.entities import last_wins
+from feedlens.sources.manifest import Log
 
 #: A changed row with this column true is removed.
 GONE = "_gone"
@@ -37,52 +38,33 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, tables: dict[str, Sequence[str]], ratio: float = 0.5, least: int = 100_000, keep: int = 2):
         self.spark, self.folder, self.tables, self.ratio, self.least, self.keep = spark, folder.rstrip("/"), tables, ratio, least, keep
+        self.log = Log(spark, f"{self.folder}/log")
 
     # --- manifests
 
-    def _path(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _manifests(self) -> list[int]:
-        fs, where = self._path(f"{self.folder}/log")
-        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(int(x.removesuffix(".json")) for x in names if x.endswith(".json"))
-
     def _load(self, seq: int) -> tuple[int, dict[str, Part]]:
-        fs, where = self._path(f"{self.folder}/log/{seq:012d}.json")
-        stream = fs.open(where)
-        text = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        stream.close()
-        return text["batch"], {name: Part(p["base"], p["base_rows"], [tuple(x) for x in p["deltas"]], p["schema"]) for name, p in text["tables"].items()}
+        said = self.log.read(seq)
+        return said["batch"], {name: Part(p["base"], p["base_rows"], [tuple(x) for x in p["deltas"]], p["schema"]) for name, p in said["tables"].items()}
 
     def head(self) -> tuple[int, int, dict[str, Part]]:
         """The last commit and its batch, -1 before any, and its tables."""
-        found = self._manifests()
+        found = self.log.numbers()
         return (found[-1], *self._load(found[-1])) if found else (-1, -1, {})
 
     def _publish(self, seq: int, batch: int, parts: dict[str, Part]) -> None:
-        text = json.dumps({"batch": batch, "tables": {name: {"base": p.base, "base_rows": p.base_rows, "deltas": p.deltas, "schema": p.schema} for name, p in parts.items()}})
-        fs, temp = self._path(f"{self.folder}/log/_{seq:012d}.tmp")
-        out = fs.create(temp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not fs.rename(temp, self._path(f"{self.folder}/log/{seq:012d}.json")[1]):
-            raise RuntimeError(f"commit {seq} of batch {batch} could not be published")
+        self.log.publish(seq, {"batch": batch, "tables": {name: asdict(p) for name, p in parts.items()}})
 
     def _sweep(self) -> None:
         """Removes manifests but the last few, and folders that none of these names."""
-        found = self._manifests()
+        found = self.log.numbers()
         live = [self._load(n)[1] for n in found[-self.keep :]]
         for n in found[: -self.keep]:
-            fs, where = self._path(f"{self.folder}/log/{n:012d}.json")
-            fs.delete(where, False)
+            self.log.drop(n)
         for name in self.tables:
             used = {f"b={p[name].base}" for p in live if name in p} | {f"d={d}" for p in live if name in p for d, _ in p[name].deltas}
-            fs, where = self._path(f"{self.folder}/{name}")
-            for x in fs.listStatus(where) if fs.exists(where) else []:
-                if x.getPath().getName() not in used:
-                    fs.delete(x.getPath(), True)
+            for x in self.log.names(f"{self.folder}/{name}"):
+                if x not in used:
+                    self.log.remove(f"{self.folder}/{name}/{x}")
 
     # --- reading
 
