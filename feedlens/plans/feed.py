@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import pay
 from feedlens.operators import ranking as R
+from feedlens.operators import readers as N
 from feedlens.plans import sqlparts as S
 from feedlens.sources import views
 from feedlens.sources.shared import stored
@@ -116,7 +117,23 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     return top.join(readers, ["home", "liked"]).select(F.concat_ws("/", "segment", "home").alias("reader_id"), "url", F.round("score", 4).alias("score"))
 
 
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer as a reader: major, interests by the bits of the key, home by nation, and a wanted level for the even ones."""
+    n, nation = F.col("c_custkey"), F.col("c_nationkey") % 4
+    some = F.array_compact(F.array(*(F.when(n.bitwiseAND(1 << k) != 0, F.lit(x)) for k, x in enumerate(("X", "Y", "Z")))))
+    return views.table(spark, d, "customer").select(
+        n.alias("reader_id"), F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").alias("major"), some.alias("interests"),
+        F.when(nation == 0, "Canada").when(nation == 1, "USA").when(nation == 2, "Toronto").alias("home"), F.when(n % 2 == 0, F.array(F.lit("Intern"))).alias("levels"),
+    )
+
+
+def readers_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best listings of every customer."""
+    return N.top_of_readers(derived(spark, d), customers(spark, d), as_of()).select("reader_id", "rank", "url", F.round("score", 4).alias("score"))
+
+
 QUERIES = {
+    "readers_top": readers_top,
     "feed_top400": feed_top400, "feed_classified": classified, "feed_pass_one": pass_one, "feed_quality_bars": bars,
     "feed_pass_two": pass_two, "feed_rescored": rescored, "diversify_orders": diversified, "feed_roles": roles,
     "feed_last_calls": last_calls, "cap_opportunities": capped, "score_terms": scores, "reader_profiles": profiles,
@@ -124,6 +141,13 @@ QUERIES = {
 
 _ORDER = "round_, score DESC, top_ DESC, first_"
 ORACLES = {
+    "readers_top": f"""WITH {S.PASS_ONE}, st AS (SELECT url, opp, discipline, seniority, matched_interests, location_tags, round(score1 - CASE WHEN discipline = 'A' THEN 4.0 ELSE 0.0 END - least(len(matched_interests) * 4.0, 8.0)
+  - CASE WHEN opp THEN 6.0 * CASE WHEN seniority IS NULL THEN 0.0 WHEN seniority = 'Intern' THEN 1.0 ELSE -1.0 END ELSE 0.0 END - CASE WHEN list_contains(location_tags, 'Canada') THEN 3.0 ELSE 0.0 END, 6) AS static FROM two),
+rd AS (SELECT c_custkey AS reader_id, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS major, list_filter([CASE WHEN c_custkey & 1 <> 0 THEN 'X' END, CASE WHEN c_custkey & 2 <> 0 THEN 'Y' END, CASE WHEN c_custkey & 4 <> 0 THEN 'Z' END], lambda x: x IS NOT NULL) AS interests,
+  CASE c_nationkey % 4 WHEN 0 THEN 'Canada' WHEN 1 THEN 'USA' WHEN 2 THEN 'Toronto' END AS home, c_custkey % 2 = 0 AS intern FROM customer),
+sc AS (SELECT reader_id, url, round(static + CASE WHEN discipline = major THEN 4.0 ELSE 0.0 END + least(len(list_intersect(matched_interests, interests)) * 4.0, 8.0) + CASE WHEN list_contains(location_tags, home) THEN 3.0 ELSE 0.0 END
+  + CASE WHEN opp AND intern THEN 6.0 * CASE WHEN seniority IS NULL THEN 0.0 WHEN seniority = 'Intern' THEN 1.0 ELSE -1.0 END ELSE 0.0 END, 6) AS score FROM st, rd)
+SELECT reader_id, CAST(rank AS INT) AS rank, url, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY score DESC, url) AS rank FROM sc) WHERE rank <= 10""",
     "feed_top400": f"WITH {S.RANKED} SELECT row_number() OVER (ORDER BY {_ORDER}) AS position, url, round(score, 4) AS score, round(merit, 4) AS merit, last_call FROM mixed ORDER BY {_ORDER} LIMIT 400",
     "feed_classified": f"WITH {S.DERIVED} SELECT url, discipline, seniority, array_to_string(matched_interests, ',') AS interests, array_to_string(location_tags, ',') AS location_tags, CAST(company_tier AS INT) AS company_tier FROM derived",
     "feed_pass_one": f"WITH {S.PASS_ONE} SELECT url, round(merit, 4) AS merit, round(score1, 4) AS score, round(score1, 4) AS explained FROM two",
