@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from feedlens.operators import ranking as R
 from feedlens.operators import readers as N
 from feedlens.plans import sqlparts as S
 from feedlens.sources import views
-from feedlens.sources.shared import stored
+from feedlens.sources.results import Results
+from feedlens.sources.shared import shared_folder, stored
 
 PROFILE = R.Profile(major="A", interests=("X", "Y", "Z"), home_region="Canada", levels=("Intern",))
 
@@ -132,7 +135,21 @@ def readers_top(spark: SparkSession, d: str) -> DataFrame:
     return N.top_of_readers(derived(spark, d), customers(spark, d), as_of()).select("reader_id", "rank", "url", F.round("score", 4).alias("score"))
 
 
+def feed_reused(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked rows, stored under (generation, profile, hour) and read a second time without ranking."""
+    results = Results(spark, shared_folder(spark, "results"))
+    now = datetime.fromisoformat(S.AS_OF)
+    rank = lambda at: R.personalize(stored(derived(spark, d).drop("content_text"), "derived"), PROFILE, F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")).drop("breakdown")
+    results.read("feed", 0, PROFILE, now, rank)
+
+    def again(_: datetime) -> DataFrame:
+        raise RuntimeError("the stored result was not taken")
+
+    return results.read("feed", 0, PROFILE, now, again).select("url", F.round("score", 4).alias("score"), "last_call")
+
+
 QUERIES = {
+    "feed_reused": feed_reused,
     "readers_top": readers_top,
     "feed_top400": feed_top400, "feed_classified": classified, "feed_pass_one": pass_one, "feed_quality_bars": bars,
     "feed_pass_two": pass_two, "feed_rescored": rescored, "diversify_orders": diversified, "feed_roles": roles,
@@ -141,6 +158,7 @@ QUERIES = {
 
 _ORDER = "round_, score DESC, top_ DESC, first_"
 ORACLES = {
+    "feed_reused": f"WITH {S.RANKED} SELECT url, round(score, 4) AS score, last_call FROM ranked",
     "readers_top": f"""WITH {S.PASS_ONE}, st AS (SELECT url, opp, discipline, seniority, matched_interests, location_tags, round(score1 - CASE WHEN discipline = 'A' THEN 4.0 ELSE 0.0 END - least(len(matched_interests) * 4.0, 8.0)
   - CASE WHEN opp THEN 6.0 * CASE WHEN seniority IS NULL THEN 0.0 WHEN seniority = 'Intern' THEN 1.0 ELSE -1.0 END ELSE 0.0 END - CASE WHEN list_contains(location_tags, 'Canada') THEN 3.0 ELSE 0.0 END, 6) AS static FROM two),
 rd AS (SELECT c_custkey AS reader_id, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS major, list_filter([CASE WHEN c_custkey & 1 <> 0 THEN 'X' END, CASE WHEN c_custkey & 2 <> 0 THEN 'Y' END, CASE WHEN c_custkey & 4 <> 0 THEN 'Z' END], lambda x: x IS NOT NULL) AS interests,
