@@ -168,8 +168,8 @@ def _with_pairs(stems: Column) -> Column:
 def focus(parts: DataFrame, weights: dict[str, float], stopwords: Sequence[str], most: int = 400) -> DataFrame:
     """(url, term, weight): what a posting is about. Each section adds weight (1 + ln count) for its words and, counted
     twice, its pairs of neighbours; the best `most` terms are scaled by the best. Parts: url, part, text; a part may come
-    in several rows, and its pairs do not cross them."""
-    each = parts.select("url", "part", F.explode(row_terms(F.col("text"), stopwords)).alias("t"))
+    in several rows, and its pairs do not cross them. Parts without a weight add nothing."""
+    each = parts.where(F.col("part").isin(*weights)).select("url", "part", F.explode(row_terms(F.col("text"), stopwords)).alias("t"))
     counts = each.groupBy("url", "part", F.col("t.term").alias("term")).agg(F.sum("t.c").alias("c"))
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("part")]
     raw = counts.groupBy("url", "term").agg(F.round(F.sum(w * (1.0 + F.log("c"))), 9).alias("raw"))

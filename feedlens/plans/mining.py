@@ -107,7 +107,7 @@ t4 AS (SELECT *, CASE WHEN NOT regexp_matches(gap, '[.,;:!?\\n()|]') THEN lead(s
 
 _FOCUS = f"""parts AS (SELECT struct_pack(url := conv_id, part := role) AS g, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, role), {_terms_sql("parts")},
 c AS (SELECT g, term, sum(n) AS n FROM (SELECT g, stem AS term, 1 AS n FROM t5 UNION ALL SELECT g, concat(stem, ' ', nxt), 2 FROM t5 WHERE nxt IS NOT NULL) GROUP BY g, term),
-r AS (SELECT g.url AS url, term, round(sum(CASE g.part WHEN 'user' THEN 3.0 WHEN 'assistant' THEN 1.0 END * (1 + ln(n))), 9) AS raw FROM c GROUP BY 1, 2),
+r AS (SELECT g.url AS url, term, round(sum(CASE g.part WHEN 'user' THEN 3.0 WHEN 'assistant' THEN 1.0 END * (1 + ln(n))), 9) AS raw FROM c WHERE g.part IN ('user', 'assistant') GROUP BY 1, 2),
 f AS (SELECT url, term, raw / max(raw) OVER (PARTITION BY url) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY raw DESC, term) AS k FROM r) WHERE k <= 400)"""
 
 

@@ -9,9 +9,9 @@ from feedlens.operators import entities as E
 
 @pytest.fixture(scope="module")
 def found(spark):
-    names = ["Royal Bank of Canada", "RBC", "Facebook", "Meta", "Alphabet", " Some Local Consultancy ", "CIBC", "Stripe, Inc.", None]
+    names = ["Bank of Montreal", "BMO", "Facebook", "Meta", "Alphabet", " Lantern & Loom Studio ", "TD", "Stripe, Inc.", None]
     rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "id int, company string")
-    own = spark.createDataFrame([("CIBC", 1)], "company string, tier int")
+    own = spark.createDataFrame([("TD", 1)], "company string, tier int")
     tiers = {r["company"]: (r["canonical"], r["company_tier"]) for r in E.company_tiers(rows).collect()}
     mine = {r["company"]: r["company_tier"] for r in E.company_tiers(rows, own).collect()}
     return tiers, mine
@@ -19,15 +19,15 @@ def found(spark):
 
 def test_aliases_resolve_to_one_employer(found):
     tiers, _ = found
-    assert tiers["Royal Bank of Canada"] == tiers["RBC"] and tiers["RBC"][1] is not None
+    assert tiers["Bank of Montreal"] == tiers["BMO"] and tiers["BMO"][1] is not None
     assert tiers["Facebook"] == tiers["Meta"] == ("Meta", 1)
     assert tiers["Alphabet"] == ("Google", 1) and tiers["Stripe, Inc."] == ("Stripe", 1)
 
 
 def test_unknown_employers_have_no_tier(found):
     tiers, mine = found
-    assert tiers[" Some Local Consultancy "] == ("Some Local Consultancy", None) and tiers[None] == (None, None)
-    assert mine["CIBC"] == 1 and mine["RBC"] == tiers["RBC"][1]
+    assert tiers[" Lantern & Loom Studio "] == ("Lantern & Loom Studio", None) and tiers[None] == (None, None)
+    assert mine["TD"] == 1 and mine["BMO"] == tiers["BMO"][1]
 
 
 def test_interests_of_the_fixed_table(spark):
