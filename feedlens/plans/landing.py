@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens.sources import dispatch, views
 from feedlens.sources import landed as L
-from feedlens.sources import views
 
 
 def as_of() -> Column:
@@ -90,6 +90,35 @@ def boards(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def mixed_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of four board families and of a source that nobody reads, in one table."""
+    o = views.table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("timestamp"))
+    n, day = F.col(KEY), F.date_format("day", "yyyy-MM-dd")
+    title = F.when(n % 4 == 0, "Intern, ops").otherwise("Clerk")
+    green = F.struct(F.array(F.struct(title.alias("title"), URL().alias("absolute_url"), F.struct(F.lit("Rome").alias("name")).alias("location"), F.when(n % 3 != 0, day).alias("first_published"), F.when(n % 2 == 0, day).alias("updated_at"), F.when(n % 6 == 0, day).alias("application_deadline"))).alias("jobs"))
+    recruit = F.struct(F.array(F.struct(title.alias("title"), URL().alias("careers_url"), F.when(n % 3 == 0, "draft").when(n % 3 == 1, "published").alias("status"), F.lit("internship").alias("employment_type_code"), F.date_format("day", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("published_at"))).alias("offers"))
+    work = F.array(F.struct(title.alias("title"), URL().alias("url"), F.lit("Oslo").alias("city"), day.alias("published_on"), F.col("o_orderstatus").alias("company")))
+    smart = F.struct(title.alias("name"), URL().alias("ref"), F.struct(F.lit("Bern").alias("city")).alias("location"), day.alias("releasedDate"), F.struct(F.lit("Internship").alias("label")).alias("experienceLevel"), F.struct(F.lit("Co").alias("name")).alias("company"))
+    k = n % 6
+    body = F.when(k == 0, F.to_json(green)).when(k == 1, F.to_json(recruit)).when(k == 2, F.to_json(work)).when(k == 3, F.to_json(smart)).when(k == 4, "{broken").otherwise("{}")
+    return o.select(F.concat(F.lit("s"), k.cast("string")).alias("source"), as_of().alias("fetched_at"), body.alias("payload"))
+
+
+def source_registry(spark: SparkSession) -> DataFrame:
+    families = ["greenhouse", "recruitee", "workable", "smartrecruiters", "workable"]
+    return spark.createDataFrame([(f"s{k}", f, k) for k, f in enumerate(families)], "source string, family string, source_rank int")
+
+
+def dispatched(spark: SparkSession, d: str) -> DataFrame:
+    """All families from one scan, by the registry."""
+    got = dispatch.dispatch(mixed_payloads(spark, d), source_registry(spark))
+    return got.select("source", "family", "source_rank", "title", "item_type", "url", DAY("ts").alias("day"), "location", "company", DAY("closes_at").alias("closes"))
+
+
+def left_over(spark: SparkSession, d: str) -> DataFrame:
+    return dispatch.unrouted(mixed_payloads(spark, d), source_registry(spark))
+
+
 def continued(spark: SparkSession, d: str) -> DataFrame:
     li = views.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"))
     rows = li.withColumn("company", F.when(F.col("l_linenumber") % 3 == 1, F.col("s").cast("string")).otherwise("↳"))
@@ -181,7 +210,7 @@ QUERIES = {
     "land_feed_entries": feed_entries, "land_page_events": page_events, "saved_snapshots": snapshots,
     "land_variants": variants, "land_countries": countries, "detail_lines": details,
     "land_listings": listings, "land_front_page": link_page, "land_hiring_thread": thread, "land_graph_edges": edges, "land_hackathons": contests, "land_remote": remote, "land_boards": boards,
-    "continued_rows": continued, "latest_issues": issues, "board_registry": registry, "permissive_items": permissive, "list_rows": rows_out, "reader_preferences": prefs,
+    "dispatch_payloads": dispatched, "unrouted_payloads": left_over, "continued_rows": continued, "latest_issues": issues, "board_registry": registry, "permissive_items": permissive, "list_rows": rows_out, "reader_preferences": prefs,
 }
 
 _U = "concat('https://x.example/', CAST(o_orderkey AS VARCHAR))"
@@ -223,6 +252,12 @@ UNION ALL SELECT 'recruitee', {_U}, 'Internship', {_D}, NULL, NULL, NULL FROM or
 UNION ALL SELECT 'lever', {_U}, CASE WHEN o_orderkey % 2 = 0 THEN 'Internship' ELSE 'Job' END, {_D}, NULL, {_PAY}, {_UNIT} FROM orders
 UNION ALL SELECT 'ashby', {_U}, 'Internship', {_D}, NULL, {_PAY}, {_UNIT} FROM orders WHERE o_orderkey % 2 <> 0
 UNION ALL SELECT 'tenant', concat('https://t1.example.com/j/', CAST(k AS VARCHAR)), CASE WHEN min(t) = 'Clerk' THEN 'Job' ELSE 'Internship' END, '2000-05-29', NULL, NULL, NULL FROM (SELECT o_orderkey % 500 AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'Intern, ops' ELSE 'Clerk' END AS t FROM orders) GROUP BY k""",
+    "unrouted_payloads": "SELECT 's5' AS source, count(*) AS payloads FROM orders WHERE o_orderkey % 6 = 5",
+    "dispatch_payloads": f"""WITH o AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'Intern, ops' ELSE 'Clerk' END AS title, {_I} AS kind_, {_U} AS u, {_D} AS dd FROM orders)
+SELECT 's0' AS source, 'greenhouse' AS family, 0 AS source_rank, title, kind_ AS item_type, u AS url, CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 THEN dd ELSE '2000-05-02' END AS day, 'Rome' AS location, NULL AS company, dd AS closes FROM o WHERE o_orderkey % 6 = 0
+UNION ALL SELECT 's1', 'recruitee', 1, title, 'Internship', u, dd, NULL, NULL, NULL FROM o WHERE o_orderkey % 6 = 1 AND o_orderkey % 3 <> 0
+UNION ALL SELECT 's2', 'workable', 2, title, 'Job', u, dd, 'Oslo', o_orderstatus, NULL FROM o WHERE o_orderkey % 6 = 2
+UNION ALL SELECT 's3', 'smartrecruiters', 3, title, 'Internship', u, dd, 'Bern', 'Co', NULL FROM o WHERE o_orderkey % 6 = 3""",
     "continued_rows": """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, company FROM (SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber % 3 = 1 THEN CAST(s AS VARCHAR) END IGNORE NULLS) OVER w AS company, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE n <= 150""",
     "latest_issues": f"""WITH i AS (SELECT DISTINCT o_orderdate AS d FROM orders WHERE o_orderdate <= TIMESTAMP '2000-06-01 12:00:00' ORDER BY d DESC LIMIT 3), k AS (SELECT d FROM i WHERE d >= TIMESTAMP '2000-05-25 12:00:00' OR d = (SELECT max(d) FROM i))
