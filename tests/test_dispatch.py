@@ -27,7 +27,7 @@ def test_all_families_from_one_scan(spark, tmp_path):
     spark.createDataFrame(ROWS, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
     got = dispatch.dispatch(spark.read.parquet(f"{tmp_path}/in"), registry(spark))
     assert seen(got.collect()) == WANT
-    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
     left = {r["source"]: r["payloads"] for r in dispatch.unrouted(spark.read.parquet(f"{tmp_path}/in"), registry(spark)).collect()}
     assert left == {"nobody": 1, None: 1}
 
