@@ -814,3 +814,29 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty, small):
         assert (docs.count() > 0) == (df is odd)
 
 
+
+
+def test_toxicity_trial_decides_each_part_by_the_others():
+    y = np.array([True] * 5 + [False] * 5)
+    assert toxicity.trial(np.array([20.0, 19, 18, 17, 16, 5, 4, 3, 2, 1]), y) == 1.0
+    z = np.array([9.0, 8, 7, 6, 1, 5, 4, 3, 2, 0])
+    part = {0: [0, 5], 1: [1, 6], 2: [2, 7], 3: [3, 8], 4: [4, 9]}
+    right = wrong = 0
+    for own in part.values():
+        rest = [i for i in range(10) if i not in own]
+        limit = toxicity.decision(z[rest], y[rest])
+        right, wrong = right + sum(z[i] > limit for i in own if y[i]), wrong + sum(z[i] > limit for i in own if not y[i])
+    assert toxicity.trial(z, y) == pytest.approx(right / 5 - toxicity.FALSE_ALARM * wrong / 5)
+    assert toxicity.trial(z, y | True) == 0.0
+
+
+def test_toxicity_on_the_given_labels(spark):
+    """Held out over sf0.1: most toxic documents are found and few others."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    held = toxicity.score(docs.where(fold(F.col("doc_id"), 5) == 0), model).join(labels.where("toxic IS NOT NULL"), "doc_id").toPandas()
+    y, said = held["toxic"].to_numpy() > 0, held["score"].to_numpy() >= 0.5
+    rank = held["score"].rank().to_numpy()
+    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.96
+    assert (y & said).sum() / said.sum() > 0.95 and (y & said).sum() / y.sum() > 0.9
