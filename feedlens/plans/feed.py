@@ -36,8 +36,8 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feed_top400(spark: SparkSession, d: str) -> DataFrame:
-    top = R.feed(ranked(spark, d), 400)
-    return top.select("position", "url", F.round("score", 4).alias("score"), F.round("merit", 4).alias("merit"), "last_call")
+    top = R.feed(ranked(spark, d), 400, digits=4)
+    return top.select("position", "url", R.places(F.col("score"), 4).alias("score"), R.places(F.col("merit"), 4).alias("merit"), "last_call")
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def diversified(spark: SparkSession, d: str) -> DataFrame:
 
 def roles(spark: SparkSession, d: str) -> DataFrame:
     got = R.diversify_order(ranked(spark, d), F.coalesce("company", "source_platform"))
-    return got.where(R.is_opportunity(F.col("item_type"))).select("url", F.col("_round").alias("round"), F.round("score", 4).alias("score"))
+    return got.where(R.is_opportunity(F.col("item_type"))).select("url", F.col("_round").alias("round"), R.places(F.col("score"), 4).alias("score"))
 
 
 def last_calls(spark: SparkSession, d: str) -> DataFrame:
