@@ -119,12 +119,14 @@ def n_true(n: Column) -> Column:
 def stream_marks(spark: SparkSession, d: str) -> DataFrame:
     """User marks folded from a stream of events in five micro-batches, equal to the batch form."""
     table = views.table(spark, d, "events")
-    source = ingest.in_parts(table, F.col("ts"), 5, ingest.shared_folder(spark, "events"))
-    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    landed = ingest.landing(spark, ingest.shared_folder(spark, "events"))
+    events = spark.readStream.schema(table.schema).parquet(landed)
     flag = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "error", "dismissed").when(F.col("event_type") == "view", "seen")
     rows = events.select("user_id", (F.col("event_id") % state.n_documents(spark, d)).alias("url"), flag.alias("flag"), (F.col("value") > 5).alias("on"), "ts", "event_id").where("flag IS NOT NULL")
     keys = ["user_id", "url", "flag"]
-    folded = ingest.fold_stream(rows, ingest.last_event_state(keys, ["ts", "event_id"], ["on"]), ingest.shared_folder(spark, "marks"), keys)
+    fold, kept = ingest.last_event_state(keys, ["ts", "event_id"], ["on"]), ingest.shared_folder(spark, "marks")
+    for _ in ingest.in_parts(table, F.col("ts"), 5, landed):
+        folded = ingest.fold_stream(rows, fold, kept, keys)
     got = L.marks(folded, ["user_id", "url"], "flag", "on", "ts")
     return got.select("user_id", "url", *(F.date_format(f"{c}_at", "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("saved", "dismissed", "seen")))
 
@@ -132,12 +134,14 @@ def stream_marks(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The ranked upsert as a stream over lineitem in five micro-batches by ship date."""
     table = views.table(spark, d, "lineitem")
-    source = ingest.in_parts(table, F.col("l_shipdate"), 5, ingest.shared_folder(spark, "lineitem"))
-    li = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    landed = ingest.landing(spark, ingest.shared_folder(spark, "lineitem"))
+    li = spark.readStream.schema(table.schema).parquet(landed)
     seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_partkey", "l_quantity", "l_discount", "l_tax")
     rows = li.select(F.col("l_partkey").alias("url"), F.year("l_shipdate").alias("run"), (F.col("l_suppkey") % 28).alias("source_rank"), seq.alias("seq"), F.col("l_quantity").alias("quantity"), F.col("l_linestatus").alias("status"), F.when(F.col("l_returnflag") != "N", F.col("l_discount")).alias("gain"))
     fold = ingest.upsert_state("url", "run", "source_rank", "seq", ["quantity", "status"], ["gain"])
-    folded = ingest.fold_stream(rows, fold, ingest.shared_folder(spark, "upsert"), ["url"])
+    kept = ingest.shared_folder(spark, "upsert")
+    for _ in ingest.in_parts(table, F.col("l_shipdate"), 5, landed):
+        folded = ingest.fold_stream(rows, fold, kept, ["url"])
     return folded.select("url", "quantity", "status", "gain", "last_run", F.lit(0).alias("missed"))
 
 

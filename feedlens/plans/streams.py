@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,16 @@ from feedlens.streaming import store as S
 HOSTS = ["7"]
 
 
-def source(spark: SparkSession, d: str, name: str, by: str) -> DataFrame:
+def source(spark: SparkSession, d: str, name: str, by: str) -> tuple[DataFrame, Iterator[int]]:
+    """A stream over a copy of a table, and the arrival of its five parts."""
     table = views.table(spark, d, name)
-    folder = ingest.in_parts(table, F.col(by), 5, shared_folder(spark, name))
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    folder = ingest.landing(spark, shared_folder(spark, name))
+    return spark.readStream.schema(table.schema).parquet(folder), ingest.in_parts(table, F.col(by), 5, folder)
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Observations of listings: admitted by source, whole boards gated by quantity, upserted with their details in one commit."""
-    li, flag = source(spark, d, "lineitem", "l_shipdate"), F.col("l_returnflag")
+    (li, parts), flag = source(spark, d, "lineitem", "l_shipdate"), F.col("l_returnflag")
     seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_partkey", "l_quantity", "l_discount", "l_tax")
     rows = li.select(
         F.col("l_partkey").alias("url"), F.year("l_shipdate").alias("run"), (F.col("l_suppkey") % 28).alias("source_rank"), seq.alias("seq"), F.col("l_quantity").alias("quantity"),
@@ -32,20 +35,23 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     fold = ingest.upsert_state("url", "run", "source_rank", "seq", ["quantity", "status"], ["gain"])
     rank = F.col("source_rank")
     store = S.Store(spark, shared_folder(spark, "listings"), {"items": ["url"], "details": ["url"]})
-    S.run_stream(rows, store, S.ingest_step("url", "run", "seq", rank % 7 != 3, (rank % 5 != 0) | (F.col("quantity") >= 10), fold, ["description"]))
+    step = S.ingest_step("url", "run", "seq", rank % 7 != 3, (rank % 5 != 0) | (F.col("quantity") >= 10), fold, ["description"])
+    for _ in parts:
+        S.run_stream(rows, store, step)
     details = store.read("details").select("url", "description", F.col("status").alias("detail"))
     return store.read("items").join(details, "url", "left").select("url", "quantity", "status", "gain", "last_run", "description", "detail")
 
 
 def attempt_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Attempts at postings: the last of each stays, and those that count as none go back on the queue."""
-    e, kind, n = source(spark, d, "events", "ts"), F.col("event_type"), F.col("event_id")
+    (e, parts), kind, n = source(spark, d, "events", "ts"), F.col("event_type"), F.col("event_id")
     rows = e.select(
         F.col("user_id").alias("url"), F.struct("ts", "event_id").alias("at"), F.when(kind.isin("purchase", "view", "click"), "ok").when(kind == "error", "failed").otherwise("empty").alias("status"),
         F.when(n % 4 == 0, F.repeat(F.lit("x"), F.lit(450))).when(n % 4 == 1, F.lit("a\nb")).when(n % 4 == 2, F.lit("short")).alias("description"), F.when(n % 3 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("closes_at"),
     )
     store = S.Store(spark, shared_folder(spark, "attempts"), {"attempts": ["url"]})
-    S.run_stream(rows, store, S.attempts_step("at"))
+    for _ in parts:
+        S.run_stream(rows, store, S.attempts_step("at"))
     S.evict(store, "attempts", S.requeue(HOSTS))
     return store.read("attempts").select("url", "status", F.length("description").alias("length"), "closes_at", "at.event_id")
 
@@ -56,11 +62,12 @@ def stream_board_health(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     answer = F.when(kind.isin("purchase", "view"), "Rows").when(kind == "error", "Gone").when(kind == "click", "Empty").otherwise("Unclear")
     outcomes = views.table(spark, d, "events").groupBy(F.to_date("ts").alias("run")).agg(F.bool_or(kind != "error").alias("ok"))
-    e = source(spark, d, "events", "ts")
+    e, parts = source(spark, d, "events", "ts")
     rows = e.select(F.concat(F.lit("board "), F.col("user_id").cast("string")).alias("board"), F.col("ts").cast("timestamp").alias("ts"), answer.alias("answer"), F.floor("value").alias("n"), F.to_date("ts").alias("run"))
     told = boards.board_health(boards.trusted(rows.withWatermark("ts", "1 day"), outcomes), forget_ms=10 * 365 * 24 * 3600 * 1000)
     store = S.Store(spark, shared_folder(spark, "health"), {"health": ["board"]})
-    S.run_stream(told, store, lambda _, batch: {"health": batch})
+    for _ in parts:
+        S.run_stream(told, store, lambda _, batch: {"health": batch})
     return store.read("health").select("board", "strikes", "last_strike", "last_try")
 
 

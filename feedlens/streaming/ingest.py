@@ -7,7 +7,7 @@ runs again after a failure reads and writes the same versions. Old versions are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,14 +71,24 @@ def fold_stream(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame],
     return state_of(spark, folder)
 
 
-def in_parts(rows: DataFrame, by: Column, parts: int, folder: str) -> str:
-    """Copies rows into a folder in `parts` appends, in ranges of `by`: a source of several ordered micro-batches."""
+def landing(spark: SparkSession, folder: str) -> str:
+    """A folder that is there before its first files, so that a stream can be opened over it."""
+    fs, where = _fs(spark, folder)
+    fs.mkdirs(where)
+    return folder
+
+
+def in_parts(rows: DataFrame, by: Column, parts: int, folder: str) -> Iterator[int]:
+    """Copies rows into a folder in `parts` appends, in ranges of `by`, and stops after each: what a stream over the folder then drains is one micro-batch.
+
+    All tasks of a scan write a part together, each its own file; the stream must not limit the files of a batch.
+    """
     value = by.cast("timestamp").cast("double")
     bounds = rows.select(F.percentile_approx(value, [k / parts for k in range(1, parts)]).alias("q")).first()["q"] or []
     place = sum((F.when(value > x, 1).otherwise(0) for x in bounds), F.lit(0))
     for k in range(parts):
-        rows.where(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        rows.where(F.coalesce(place, F.lit(0)) == k).write.mode("append").parquet(folder)
+        yield k
 
 
 def last_event_state(keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
