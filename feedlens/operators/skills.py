@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,10 @@ DEMAND = T.ArrayType(T.StructType([T.StructField("skill", T.StringType()), T.Str
 DEMAND_ARROW = pa.list_(pa.struct([("skill", pa.string()), ("weight", pa.float64()), ("emphasis", pa.int32())]))
 
 
+#: So many rows of a batch are Python values at a time.
+ROWS = 256
+
+
 def lower(value: str) -> str:
     """Lower-cases A-Z; all keywords are ASCII."""
     return value.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -151,6 +155,12 @@ def skill_key(name: str) -> str:
     return kept[:-2] if len(kept) > 2 and kept.endswith("js") else kept
 
 
+def by_slices(work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """work over slices of few rows, as lists. The results of a batch stand ready as Arrow only, so a worker's memory follows the batch's bytes."""
+    parts = [work(*(c.slice(at, ROWS).to_pylist() for c in columns)) for at in range(0, max(len(columns[0]), 1), ROWS)]
+    return pa.concat_arrays(parts)
+
+
 def posting_demand(
     catalog: S.Catalog, title: Column, requirements: Column, responsibilities: Column, description: Column, scraped: Column, tags: Column | None = None,
     cues: Sequence[Sequence[str]] = (D.LEARN_CUES, D.NICE_CUES, D.MUST_CUES), long_bytes: int = 400, heading: int = 90,
@@ -167,9 +177,12 @@ def posting_demand(
     def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, t: pa.Array) -> pa.Array:
         if not reader:
             reader.append(Reader(catalog, cues, long_bytes, heading))
-        rows = zip(*(x.to_pylist() for x in (a, b, c, d, e, t)), strict=True)
-        found = [reader[0].read(row[:5], row[5]) for row in rows]
-        return pa.array([[{"skill": s, "weight": w, "emphasis": m} for s, w, m in x] for x in found], DEMAND_ARROW)
+
+        def work(*lists: list) -> pa.Array:
+            found = (reader[0].read(row[:5], row[5]) for row in zip(*lists, strict=True))
+            return pa.array([[{"skill": s, "weight": w, "emphasis": m} for s, w, m in x] for x in found], DEMAND_ARROW)
+
+        return by_slices(work, a, b, c, d, e, t)
 
     tags = tags if tags is not None else F.array().cast("array<string>")
     return run(*(c.cast("string") for c in (title, requirements, responsibilities, description, scraped)), tags.cast("array<string>"))
@@ -197,12 +210,16 @@ def names_in(catalog: S.Catalog, texts: Column, strict: bool = True, long_bytes:
     def run(a: pa.Array) -> pa.Array:
         if not matcher:
             matcher.append(Matcher(catalog))
-        out = []
-        for value in a.to_pylist():
-            low = lower(f" {value or ''} ")
-            long = strict or len(low.encode("utf-8", "surrogatepass")) > long_bytes
-            out.append([names[s] for s in sorted({s for _, s in matcher[0].hits(low, long)})])
-        return pa.array(out, pa.list_(pa.string()))
+
+        def work(values: list) -> pa.Array:
+            out = []
+            for value in values:
+                low = lower(f" {value or ''} ")
+                long = strict or len(low.encode("utf-8", "surrogatepass")) > long_bytes
+                out.append([names[s] for s in sorted({s for _, s in matcher[0].hits(low, long)})])
+            return pa.array(out, pa.list_(pa.string()))
+
+        return by_slices(work, a)
 
     return run(texts.cast("string"))
 

@@ -98,3 +98,30 @@ def test_a_catalog_is_bounded(spark):
     assert K.catalog_from(rows).names == ["0", "1", "2", "3", "4"]
     with pytest.raises(ValueError, match="more than 3"):
         K.catalog_from(rows, most=3)
+
+
+def test_a_batch_of_postings_is_not_held_as_python_values(monkeypatch):
+    """A batch of 4,000 postings with 40 demands each; as dicts its results alone took over 40 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made, words = [], [f"word{k}" for k in range(10, 50)]
+    monkeypatch.setattr(K.F, "arrow_udf", lambda kind: lambda f: lambda *columns: made.append(f) or columns[0])
+    K.posting_demand(S.Catalog([(w, "x", [w]) for w in words]), *(_Plain() for _ in range(6)))
+    n = 4000
+    none, text = pa.nulls(n, pa.string()), pa.array([" ".join(words)] * n)
+    tracemalloc.start()
+    got = made[0](none, none, none, text, none, pa.nulls(n, pa.list_(pa.string())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n and got[0].as_py() == got[n - 1].as_py() == [{"skill": w, "weight": 1.0, "emphasis": 2} for w in words]
+    assert got.type == K.DEMAND_ARROW and len(made[0](*(x.slice(0, 0) for x in (none, none, none, text, none, pa.nulls(n, pa.list_(pa.string())))))) == 0
+    assert peak < 12_000_000
+
+
+class _Plain:
+    """Stands for a column where no session is."""
+
+    def cast(self, kind):
+        return self
