@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,8 @@ def due(registry: DataFrame, ledger: DataFrame, as_of: Column, retry_minutes: in
 
 #: So many spans of time are joined into one at a time, three times over; the last join has a row per 4,096 gaps of a board.
 SPANS = 64
+#: Joined spans and limits that a task hands on at a time.
+HELD = 4096
 _SPAN = "first long, reset boolean, offs array<long>, n array<long>, last array<long>, none_n long, none_last long"
 
 
@@ -105,12 +108,33 @@ def _join_spans(spans: list[dict], gap: int) -> dict:
     return out
 
 
+def _fold_spans(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+    """One span for each group of spans. A group's rows follow one another in time order, also over batches; its first has _n = 1."""
+    schema, out, done, held = None, None, [], 0
+    for batch in batches:
+        schema = batch.schema.remove(batch.schema.get_field_index("_n"))
+        for at in range(0, batch.num_rows, SPANS):
+            for row in batch.slice(at, SPANS).to_pylist():
+                if row.pop("_n") > 1:
+                    out = _join_spans([out, row], gap) | {"_key": row["_key"]}
+                    continue
+                if out is not None:
+                    done.append(out)
+                    held += 1 + len(out["offs"])
+                out = row
+            if held >= HELD:
+                yield pa.RecordBatch.from_pylist(done, schema)
+                done, held = [], 0
+    if out is not None:
+        yield pa.RecordBatch.from_pylist([*done, out], schema)
+
+
 def strikes(answers: DataFrame, key: str, ts: str, answer: str, gap_hours: int = 24) -> DataFrame:
     """Board health: a Gone or Empty answer counts as a strike when the last counted one is gap_hours old; Rows reset.
 
     Within one gap of the clock at most one answer counts, so a board's answers become a span per gap with its distinct
-    seconds, and neighbouring spans are joined. No row or group holds the answers of more than a bounded time. Answers
-    without a time come first and count each.
+    seconds, and neighbouring spans are joined as they stream through a task in order, those before a reset not at all. No
+    row or group holds the answers of more than a bounded time. Answers without a time come first and count each.
     """
     gap = gap_hours * 3600
     if gap <= 0:
@@ -124,10 +148,14 @@ def strikes(answers: DataFrame, key: str, ts: str, answer: str, gap_hours: int =
         rows_at.alias("_rows"), F.array_sort(F.collect_set(F.when(struck, F.col("_off")))).alias("_offs"), F.count_if(struck & F.col("_t").isNull()).alias("_undated")
     )
     per_gap = per_gap.withColumn("_offs", F.when(F.col("_rows").isNull(), F.col("_offs")).otherwise(F.filter("_offs", lambda o: o > F.col("_rows"))))
+    in_part = W.partitionBy("_key", F.floor(F.col("_first") / SPANS))
+    per_gap = per_gap.withColumn("_cut", F.max(F.when(F.col("_rows").isNotNull(), F.col("_first"))).over(in_part)).where("_cut IS NULL OR _first >= _cut")
+    per_gap = per_gap.withColumn("_n", F.row_number().over(in_part.orderBy("_first")))
     reset, some, at = F.col("_rows").isNotNull(), F.size("_offs") > 0, lambda o: F.col("_first") * gap + o
     none = F.array().cast("array<long>")
     spans = per_gap.select(
         "_key",
+        "_n",
         F.col("_first").alias("first"),
         reset.alias("reset"),
         F.when(reset, none).otherwise(F.col("_offs")).alias("offs"),
@@ -136,17 +164,11 @@ def strikes(answers: DataFrame, key: str, ts: str, answer: str, gap_hours: int =
         F.when(reset, some.cast("long")).otherwise(F.col("_undated")).alias("none_n"),
         F.when(reset & some, at(F.get("_offs", F.lit(0)))).alias("none_last"),
     )
-    names = [x.partition(" ")[0] for x in _SPAN.split(", ")]
     schema = T.StructType([T.StructField("_key", answers.schema[key].dataType), *T.StructType.fromDDL(_SPAN)])
-
-    def join(group: pa.Table) -> pa.Table:
-        spans = sorted(group.select(names).to_pylist(), key=lambda x: (x["first"] is not None, x["first"] or 0))
-        one = _join_spans(spans, gap)
-        return pa.table([group.column("_key").slice(0, 1), *(pa.array([one[c]], group.schema.field(c).type) for c in names)], names=["_key", *names])
-
-    for part in (F.floor(F.col("first") / SPANS), F.floor(F.col("first") / SPANS**2), None):
-        grouped = spans.groupBy("_key") if part is None else spans.groupBy("_key", part.alias("_part"))
-        spans = grouped.applyInArrow(join, schema)
+    spans = spans.mapInArrow(lambda batches: _fold_spans(batches, gap), schema)
+    for part in ([F.floor(F.col("first") / SPANS**2)], []):
+        numbered = spans.withColumn("_n", F.row_number().over(W.partitionBy("_key", *part).orderBy("first")))
+        spans = numbered.mapInArrow(lambda batches: _fold_spans(batches, gap), schema)
     first = lambda many, other: F.coalesce(F.get(many, F.lit(0)), F.col(other))
     return spans.select(F.col("_key").alias(key), first("n", "none_n").cast("int").alias("strikes"), first("last", "none_last").alias("last_strike"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,20 @@ def test_strikes_hold_no_history_in_a_row(spark):
 def test_strikes_need_a_gap(spark):
     with pytest.raises(ValueError, match="gap_hours"):
         struck(spark, [(1, 0, "Gone")], 0)
+
+
+def test_boards_stream_through_tasks_without_a_call_each(spark):
+    """Each group's own call of Python, three to a board, took most of the time; groups may lie over batches of any size."""
+    rows = [(b, (b + 1) * k * DAY, "Gone") for b in range(300) for k in range(3)] + [(7, 100 * DAY, "Rows"), (7, 9000 * DAY, "Empty"), (None, None, "Gone")]
+    df = spark.createDataFrame(rows, "board long, t long, answer string")
+    got = L.strikes(df.select("board", F.timestamp_seconds("t").alias("ts"), "answer"), "board", "ts", "answer")
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["board"]: (r["strikes"], r["last_strike"]) for r in got.collect()} == folded(rows)
+
+    names = ["_key", "_n", "first", "reset", "offs", "n", "last", "none_n", "none_last"]
+    spans = [(None, 1, 0, False, [5], [1], [5], 0, None), (None, 2, 1, False, [4, 9], [1, 1], [DAY + 4, DAY + 9], 0, None), (None, 3, 3, True, [], [], [], 0, None), (2.5, 1, 0, False, [1], [1], [1], 0, None)]
+    table = pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in spans], pa.schema([("_key", pa.float64()), ("_n", pa.int32()), ("first", pa.int64()), ("reset", pa.bool_()), *((c, pa.list_(pa.int64())) for c in ("offs", "n", "last")), ("none_n", pa.int64()), ("none_last", pa.int64())]))
+    for rows in (1, 2, 4):
+        got = pa.Table.from_batches(L._fold_spans(iter(table.to_batches(max_chunksize=rows)), DAY)).to_pylist()
+        assert [(x["_key"], x["reset"], x["n"], x["none_n"]) for x in got] == [(None, True, [], 0), (2.5, False, [1], 0)]
+    assert list(L._fold_spans(iter([]), DAY)) == []
