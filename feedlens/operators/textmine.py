@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.window import Window as W
 from feedlens.functions import dictionaries as D
 from feedlens.functions import text
 
+#: Bytes of text that a task of focus() reads; their terms take some 60 times as much memory until they are counted.
+TASK_BYTES = 2 << 20
+
 #: Bytes that count as part of a word at a keyword's edge.
 EDGE = "[A-Za-z0-9+#&]"
 
@@ -165,14 +169,32 @@ def _with_pairs(stems: Column) -> Column:
     return F.concat(one, two)
 
 
+def row_counts(terms: Column) -> Column:
+    """The terms (term, c) of one row with each term once and its c summed, inside the row: runs of the sorted terms, all of which have the same c."""
+
+    def runs(s: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(s)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a)["term"].alias("term"), ((b - a) * F.get(s, a)["c"]).cast("long").alias("c")))
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i)["term"] != F.get(s, i - 1)["term"], F.lit(True)))
+        return F.when(F.size(s) > 0, F.transform(F.array(starts), lambda x: runs(s, x))[0])
+
+    return F.transform(F.array(F.sort_array(terms)), counted)[0]
+
+
 def focus(parts: DataFrame, weights: dict[str, float], stopwords: Sequence[str], most: int = 400) -> DataFrame:
     """(url, term, weight): what a posting is about. Each section adds weight (1 + ln count) for its words and, counted
     twice, its pairs of neighbours; the best `most` terms are scaled by the best. Parts: url, part, text; a part may come
-    in several rows, and its pairs do not cross them. Parts without a weight add nothing."""
-    each = parts.where(F.col("part").isin(*weights)).select("url", "part", F.explode(row_terms(F.col("text"), stopwords)).alias("t"))
-    counts = each.groupBy("url", "part", F.col("t.term").alias("term")).agg(F.sum("t.c").alias("c"))
-    w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("part")]
-    raw = counts.groupBy("url", "term").agg(F.round(F.sum(w * (1.0 + F.log("c"))), 9).alias("raw"))
+    in several rows, and its pairs do not cross them. Parts without a weight add nothing. Terms are counted in each row and
+    then by (url, term), in as many tasks as the texts' bytes, which are summed first, call for."""
+    known = parts.where(F.col("part").isin(*weights)).select("url", "part", "text")
+    n = (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES + 1
+    dealt = known.repartition(n, F.xxhash64("url", "part", "text"))
+    each = dealt.select("url", "part", F.explode(row_counts(row_terms(F.col("text"), stopwords))).alias("t")).select("url", "part", "t.*").repartition(n, "url", "term")
+    counts = each.groupBy("url", "term").agg(F.lit(True).alias("_any"), *(F.sum(F.when(F.col("part") == p, F.col("c"))).alias(f"_c{k}") for k, p in enumerate(weights)))
+    added = [F.coalesce(w * (1.0 + F.log(f"_c{k}")), F.lit(0.0)) for k, w in enumerate(weights.values())]
+    raw = counts.select("url", "term", F.round(reduce(lambda a, b: a + b, added, F.lit(0.0)), 9).alias("raw"))
     best = W.partitionBy("url").orderBy(F.desc("raw"), "term")
     top = raw.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
     return top.select("url", "term", (F.col("raw") / F.max("raw").over(W.partitionBy("url"))).alias("weight"), F.col("_n").alias("rank"))
