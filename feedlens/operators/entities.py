@@ -27,10 +27,20 @@ def ordered_union(sources: Sequence[DataFrame], failed: Sequence[int] = ()) -> D
 def first_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per non-empty key, the first in order. Rows are combined before the shuffle."""
     names = [c for c in rows.columns if c != key]
-    best = rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy(key).agg(F.min_by(F.struct(*names), order).alias("r"))
+    best = with_key(rows, key).groupBy(key).agg(F.min_by(F.struct(*names), order).alias("r"))
     return best.select(key, "r.*")
 
 
+def with_key(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+
+
+def first_columns(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """As first_wins, for a short order: each column is aggregated by itself, so those that nobody reads are never carried. All come from
+    one row, as rows of equal order meet every column in the same turn."""
+    return with_key(rows, key).groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in rows.columns if c != key))
+
+
 def last_wins(rows: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     names = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("r")).select(*key, "r.*")

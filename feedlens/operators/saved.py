@@ -38,7 +38,7 @@ def resolve_details(wanted: DataFrame, ranked: DataFrame, snapshots: DataFrame,
     """For each wanted key the ranked row, else the saved snapshot, with the details attached and its origin; none where both
     lack it. ranked and snapshots have the same columns. Score the result with the bars and the clock of the ranked set."""
     both = ranked.withColumn("_from", F.lit(0)).unionByName(snapshots.select(*ranked.columns).withColumn("_from", F.lit(1)))
-    rows = entities.first_wins(both.join(wanted.select(key).distinct(), key, "left_semi"), key, F.col("_from"))
+    rows = entities.first_columns(both.join(wanted.select(key).distinct(), key, "left_semi"), key, F.col("_from"))
     rows = rows.withColumn("origin", F.when(F.col("_from") == 0, "ranked").otherwise("saved")).drop("_from")
     return entities.attach_details(rows, details)
 

@@ -40,13 +40,14 @@ def saved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as a wanted one: visible rows from the list, dismissed ones only where they are saved."""
+    """Every document as a wanted one: visible rows from the list, dismissed ones only where they are saved. The items are read four
+    times; joined anew each time, the sorts of all their joins would stand in one task. A text's digest goes through the joins for it."""
     m = stored(marks(spark, d), "marks")
-    t = items(spark, d).select("url", "item_type", "closes_at", "salary_min", "salary_max", "salary_period", "content_text")
+    t = stored(items(spark, d).select("url", "item_type", "closes_at", "salary_min", "salary_max", "salary_period", "content_text"), "items")
     kept = t.join(m.where("saved_at IS NOT NULL").select("url"), "url", "left_semi")
-    details = t.where("url % 2 = 0").select("url", F.col("content_text").alias("description"), F.lit(None).cast("timestamp").alias("closes_at"), F.lit(None).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.lit(None).cast("string").alias("salary_period"))
+    details = t.where("url % 2 = 0").select("url", F.md5("content_text").alias("description"), F.lit(None).cast("timestamp").alias("closes_at"), F.lit(None).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.lit(None).cast("string").alias("salary_period"))
     got = X.resolve_details(t.select("url"), X.without_dismissed(t, m), kept, details)
-    return got.select("url", "origin", F.md5("description").alias("text"))
+    return got.select("url", "origin", F.col("description").alias("text"))
 
 
 def purged(spark: SparkSession, d: str) -> DataFrame:
