@@ -4,11 +4,13 @@ Rows of a grid are terms, columns are documents, and the value of a point is its
 the sum of weight times impact over the rows of an item. Each task of the build cuts its documents into shards of bounded size and
 stores one treap a shard. A treap lists its cells breadth first; of a cell it keeps a nibble that tells which quarters hold points,
 and the largest impact below. Children are found by counting bits, so no pointers are stored; a cell with one point ends its branch.
+Shards are small and stored in a row group each, since executors hold both whole; what a task holds does not follow the table.
 
-An item descends with all its rows at once. A state is a range of documents and, for each row, the cell that covers row and range;
-weights times the cells' maxima bound every score in the range from above. The best states are split first, and the descent ends
-when no bound reaches the k-th score found so far, in this shard or in the shards that the task has seen before. Bounds of single
-documents are their scores, so the result is exact. Items are met in blocks of bounded size, each against all shards.
+An item descends with all its rows at once, in all treaps of a grove. A state is a range of documents of one treap and, for each row,
+the cell that covers row and range; weights times the cells' maxima bound every score in the range from above. The best states are
+split first, and the descent ends when no bound reaches the k-th score found so far, in this grove or in those that the task has seen
+before. Bounds of single documents are their scores, so the result is exact. Items are met in blocks of bounded size, each against
+all shards.
 """
 
 from __future__ import annotations
@@ -32,7 +34,11 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else
 #: Bytes of a text that are cut into terms at a time.
 STEP = 1 << 20
 #: A shard is closed at so many documents or points, whichever comes first.
-SHARD_DOCS, SHARD_POINTS = 8192, 1_000_000
+SHARD_DOCS, SHARD_POINTS = 8192, 1 << 17
+#: How shards are stored: each in a row group of its own, as a writer and a reader hold a whole one. (A limit in bytes counts them compressed.)
+ROW_GROUPS = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+#: Cells at which a grove is closed.
+GROVE_CELLS = 1 << 20
 #: Items of a block, and bytes of their texts; a longer item is a block of its own.
 BLOCK_ITEMS, BLOCK_BYTES = 1024, 4 << 20
 #: States that are split at a time, and cells that this may touch.
@@ -115,70 +121,109 @@ class Treap:
         terms = shard["terms"].split(b"\n")
         self.row = {t: i for i, t in enumerate(terms) if t in wanted}
         self.levels = levels_of(len(terms), len(self.ids))
-        # One cell more, without points, stands for all that are missing.
-        self.masks = np.append(np.frombuffer(shard["masks"], np.uint8), np.uint8(0))
-        self.tops = np.append(np.frombuffer(shard["tops"], np.uint32), np.uint32(0)).astype(np.float64)
-        self.none = len(self.masks) - 1
+        self.masks = np.frombuffer(shard["masks"], np.uint8)
+        self.tops = np.frombuffer(shard["tops"], np.uint32)
         kids = BITS[self.masks]
         self.first = 1 + np.cumsum(kids, dtype=np.int32) - kids
         # Points of single cells, by cell; -1 elsewhere.
-        self.at_row, self.at_col = np.full(self.none + 1, -1, np.int32), np.full(self.none + 1, -1, np.int32)
-        alone = self.masks[:-1] == 0
-        self.at_row[:-1][alone] = np.frombuffer(shard["rows"], np.uint32)
-        self.at_col[:-1][alone] = np.frombuffer(shard["cols"], np.uint32)
+        self.at_row, self.at_col = np.full(len(kids), -1, np.int32), np.full(len(kids), -1, np.int32)
+        alone = self.masks == 0
+        self.at_row[alone] = np.frombuffer(shard["rows"], np.uint32)
+        self.at_col[alone] = np.frombuffer(shard["cols"], np.uint32)
 
     def best(self, rows: np.ndarray, weights: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
-        """The k best (score, document) with a score above 0 and at least `floor`; equal scores by id."""
-        found: list[tuple[int, int, int]] = []  # (-score, id, column)
-        bound, level, start = np.array([1 << 62]), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        cells = np.zeros((1, len(rows)), np.int32)
-        if self.at_row[0] >= 0:
-            cells[0, rows != self.at_row[0]] = self.none
+        """The k best (score, document) of this shard alone."""
+        return Grove([self]).best(rows[None, :], weights, k, floor)
+
+
+class Grove:
+    """Treaps side by side, for joint descents. Cells and documents are numbered through."""
+
+    def __init__(self, treaps: list[Treap]):
+        self.row = [t.row for t in treaps]
+        self.levels = np.array([t.levels for t in treaps])
+        self.ids = np.concatenate([t.ids for t in treaps])
+        self.root, self.base = (np.cumsum([0, *map(len, x)])[:-1] for x in ([t.masks for t in treaps], [t.ids for t in treaps]))
+        # One cell more, without points, stands for all that are missing.
+        self.masks = np.concatenate([*(t.masks for t in treaps), np.zeros(1, np.uint8)])
+        self.tops = np.concatenate([*(t.tops for t in treaps), np.zeros(1, np.uint32)]).astype(np.float64)
+        self.first = np.concatenate([*(t.first + np.int32(r) for t, r in zip(treaps, self.root, strict=True)), np.zeros(1, np.int32)])
+        self.at_row, self.at_col = (np.concatenate([*x, np.full(1, -1, np.int32)]) for x in ([t.at_row for t in treaps], [t.at_col for t in treaps]))
+        self.none = len(self.masks) - 1
+
+    def rows(self, terms: list[bytes]) -> np.ndarray:
+        """The rows of the terms in each treap; -1 where a term is missing."""
+        return np.array([[row.get(t, -1) for t in terms] for row in self.row], np.int32)
+
+    def best(self, rows: np.ndarray, weights: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
+        """The k best (score, document) with a score above 0 and at least `floor`; equal scores by id. rows: by treap."""
+        found: list[tuple[int, int, int]] = []  # (-score, id, document)
         rows = rows.astype(np.int32)
+        root = self.at_row[self.root][:, None]
+        cells = np.where((rows >= 0) & ((root < 0) | (root == rows)), self.root[:, None], self.none).astype(np.int32)
+        tree = np.flatnonzero((cells != self.none).any(axis=1))
+        # left: levels below the state.
+        bound, left, start, cells = np.full(len(tree), 1 << 62), self.levels[tree], np.zeros(len(tree), np.int64), cells[tree]
         if weights.sum() * 1_000_000 < 1 << 53:
             weights = weights.astype(np.float64)  # all sums are whole numbers that doubles hold
-        width = max(1, min(SPLIT, CELLS // len(rows)))
+        width = max(1, min(SPLIT, CELLS // rows.shape[1]))
         floor = max(floor, 1)
         while len(bound):
             chosen = np.argpartition(-bound, width)[:width] if len(bound) > width else np.arange(len(bound))
-            b, lv, st, ce = self._split(level[chosen], start[chosen], cells[chosen], rows, weights, floor)
+            b, tr, le, st, ce = self._split(tree[chosen], left[chosen], start[chosen], cells[chosen], rows, weights, floor)
             rest = np.ones(len(bound), bool)
             rest[chosen] = False
-            ends = lv == self.levels
-            found += [(-int(s), int(self.ids[c]), int(c)) for s, c in zip(b[ends], st[ends], strict=True)]
+            ends = le == 0
+            at = self.base[tr[ends]] + st[ends]
+            found += zip((-b[ends]).tolist(), self.ids[at].tolist(), at.tolist(), strict=True)
             if len(found) > k:
                 found = sorted(found)[:k]
             if len(found) == k:
                 floor = max(floor, -max(found)[0])
             more = ~ends
-            bound, level = np.concatenate([bound[rest], b[more]]), np.concatenate([level[rest], lv[more]])
-            start, cells = np.concatenate([start[rest], st[more]]), np.concatenate([cells[rest], ce[more]])
+            bound, tree = np.concatenate([bound[rest], b[more]]), np.concatenate([tree[rest], tr[more]])
+            left, start, cells = np.concatenate([left[rest], le[more]]), np.concatenate([start[rest], st[more]]), np.concatenate([cells[rest], ce[more]])
             if (low := bound < floor).any():
-                bound, level, start, cells = bound[~low], level[~low], start[~low], cells[~low]
+                bound, tree, left, start, cells = bound[~low], tree[~low], left[~low], start[~low], cells[~low]
         return [(-s, i) for s, i, _ in sorted(found)]
 
-    def _split(self, level, start, cells, rows, weights, floor):
-        """Halves ranges; returns (bound, level, start, cells) of the halves whose bound reaches the floor."""
-        below = (self.levels - 1 - level).astype(np.int32)
+    def _split(self, tree, left, start, cells, rows, weights, floor):
+        """Halves ranges; returns (bound, tree, left, start, cells) of the halves whose bound reaches the floor."""
+        below, own = (left - 1).astype(np.int32), rows[tree]
         half = 1 << below.astype(np.int64)  # documents of a half
         mask, first = self.masks[cells], self.first[cells]
         col = self.at_col[cells]
-        row_bit = (rows[None, :] >> below[:, None]) & 1
+        row_bit = (own >> below[:, None]) & 1
         out = []
         for side in (0, 1):
             quarter = 2 * row_bit + side
             child = np.where((mask >> quarter) & 1 == 1, first + BELOW[mask, quarter], self.none)
             row = self.at_row[child]
-            child[(row >= 0) & (row != rows[None, :])] = self.none
+            child[(row >= 0) & (row != own)] = self.none
             # A single cell goes on as it is, to the side where its point lies.
             child = np.where((col >= 0) & ((col >= (start + half)[:, None]) == side), cells, child)
             top = self.tops[child]
             b = (top @ weights if weights.dtype == np.float64 else top.astype(np.int64) @ weights).astype(np.int64)
             ok = b >= floor
-            out.append((b[ok], level[ok] + 1, start[ok] + side * half[ok], child[ok]))
+            out.append((b[ok], tree[ok], left[ok] - 1, start[ok] + side * half[ok], child[ok]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def groves(batches: Iterator[pa.RecordBatch], wanted: dict[bytes, int]) -> Iterator[Grove]:
+    """The shards of a task in groves of bounded size; those without a wanted term are left out."""
+    treaps: list[Treap] = []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            treap = Treap(batch.slice(at, 1).to_pylist()[0], wanted)
+            if treap.row:
+                treaps.append(treap)
+            if sum(len(t.masks) for t in treaps) >= GROVE_CELLS:
+                yield Grove(treaps)
+                treaps = []
+    if treaps:
+        yield Grove(treaps)
+
+
 @dataclass
 class Index:
     """Stored shards, documents with a term (N) and terms with repeats (L)."""
@@ -262,7 +307,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if shard.points:
             yield shard.close(n_docs, n_terms)
 
-    return Index(cut(docs.mapInArrow(run, SHARDS), "treaps"), n_docs, n_terms)
+    return Index(cut(docs.mapInArrow(run, SHARDS), "treaps", ROW_GROUPS), n_docs, n_terms)
 
 
 def blocks(rows: Iterable) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -322,24 +367,20 @@ def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: st
 
 def _descend(index: Index, block: list[tuple[int, list[bytes]]], wanted: dict[bytes, int], weight: dict[bytes, int], k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached: dict[int, list[int]] = {}  # the k best scores of each item so far
-        for batch in batches:
-            for at in range(batch.num_rows):
-                treap = Treap(batch.slice(at, 1).to_pylist()[0], wanted)
-                out: list[tuple[int, int, int]] = []
-                for item, terms in block:
-                    held = [(treap.row[t], weight[t]) for t in terms if t in treap.row and weight[t] > 0]
-                    if not held:
-                        continue
-                    rows, weights = (np.array(x, np.int64) for x in zip(*held, strict=True))
-                    best = reached.setdefault(item, [])
-                    hits = treap.best(rows, weights, k, best[-1] if len(best) == k else 0)
-                    out += [(item, i, s) for s, i in hits]
-                    reached[item] = sorted([*best, *(s for s, _ in hits)], reverse=True)[:k]
-                if out:
-                    item, ids, score = zip(*out, strict=True)
-                    ids = pa.array(ids, pa.int64(), mask=np.array([x == NO_ID for x in ids]))
-                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids, pa.array(score, pa.int64())], names=["item", "doc_id", "score"])
+        reached: dict[int, list[tuple[int, int]]] = {}  # the k best (-score, document) of each item so far
+        for grove in groves(batches, wanted):
+            for item, terms in block:
+                held = [t for t in terms if weight.get(t, 0) > 0]
+                if not held:
+                    continue
+                weights = np.array([weight[t] for t in held], np.int64)
+                best = reached.setdefault(item, [])
+                hits = grove.best(grove.rows(held), weights, k, -best[-1][0] if len(best) == k else 0)
+                reached[item] = sorted([*best, *((-s, i) for s, i in hits)])[:k]
+        if out := [(item, i, -s) for item, best in reached.items() for s, i in best]:
+            item, ids, score = zip(*out, strict=True)
+            ids = pa.array(ids, pa.int64(), mask=np.array([x == NO_ID for x in ids]))
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids, pa.array(score, pa.int64())], names=["item", "doc_id", "score"])
 
     return index.shards.drop("df", "n_docs").mapInArrow(run, "item long, doc_id long, score long")
 

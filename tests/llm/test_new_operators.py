@@ -7,8 +7,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +284,41 @@ def test_treap_cells_hold_maxima():
             score = weights @ grid[some]
             want = sorted(((int(s), i) for i, s in enumerate(score) if s > 0), key=lambda x: (-x[0], x[1]))[:4]
             assert treap.best(some.astype(np.int64), weights.astype(np.int64), 4, 0) == want
+
+
+def test_stored_shards_are_small(spark):
+    # 1,000 documents of 700 terms in one task.
+    words = "concat_ws(' ', transform(sequence(0, 699), k -> concat('w', (id * 700 + k) % 90000)))"
+    index = treap_search.build_index(spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.expr(words).alias("text")))
+    size = sum((F.length(n) for n in treap_search.SHARDS.names[1:]), F.lit(0))
+    largest, points, n_docs = index.shards.agg(F.max(size), F.sum(F.length("rows")) / 4, F.sum("n_docs")).first()
+    assert (points, n_docs) == (700_000, 1000) and largest < 4 << 20
+    files = [pq.ParquetFile(urlparse(f).path).metadata for f in index.shards.inputFiles()]
+    groups = [f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 4 << 20
+
+
+def test_groves_descend_in_all_treaps(monkeypatch):
+    rng = np.random.default_rng(2)
+    names = [b"t%d" % i for i in range(40)]
+    grids, rows = [], []
+    for n_rows, n_cols in ((1, 1), (3, 50), (40, 2), (1, 9), (25, 33), (7, 7)):
+        grid = np.where(rng.random((n_rows, n_cols)) < 0.3, rng.integers(1, 1000, (n_rows, n_cols)), 0)
+        grid[0, 0] = 5
+        here = rng.choice(40, n_rows, replace=False)
+        r, c = np.nonzero(grid)
+        tree = treap_search.build_treap(r, c, grid[r, c], treap_search.levels_of(n_rows, n_cols))
+        ids = len(grids) * 100 + np.arange(n_cols)
+        rows.append((ids.tobytes(), b"\n".join(names[i] for i in here), *(x.tobytes() for x in tree)))
+        grids.append((ids, {names[i]: grid[k] for k, i in enumerate(here)}))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)], names=["ids", "terms", "masks", "tops", "rows", "cols"])
+    asked = {t: i for i, t in enumerate(names)}
+    [grove] = treap_search.groves([batch.slice(0, 2), batch.slice(2)], asked)
+    for _ in range(60):
+        some = [names[i] for i in rng.choice(40, rng.integers(1, 8), replace=False)]
+        weights = rng.integers(1, 50, len(some))
+        found = [(int(s), int(i)) for ids, of in grids for i, s in zip(ids, sum((w * of.get(t, 0 * ids) for t, w in zip(some, weights, strict=True)), 0 * ids), strict=True) if s]
+        assert grove.best(grove.rows(some), weights, 4, 0) == sorted(found, key=lambda x: (-x[0], x[1]))[:4]
+    monkeypatch.setattr(treap_search, "GROVE_CELLS", 1)
+    assert sum(len(g.row) for g in treap_search.groves([batch], asked)) == len(rows)
+    assert sum(len(g.row) for g in treap_search.groves([batch], {names[0]: 0})) == sum(names[0] in of for _, of in grids)
